@@ -238,24 +238,27 @@ def list_to_cell(c) -> Column:
 
 
 def multipart_text(json_col) -> Column:
-    """A JSON string content -> itself; an array -> strings kept, objects give
-    ``text`` else ``content`` (when strings); parts joined without separator."""
-    j = _c(json_col)
-    as_str = F.get_json_object(j, "$")
-    is_array = F.ltrim(j).startswith("[")
-    items = F.from_json(j, "array<string>")
-    part = F.transform(
-        items,
-        lambda it: F.when(~F.ltrim(it).startswith("{"), it).otherwise(
-            F.coalesce(
-                F.when(F.get_json_object(it, "$.text").isNotNull()
-                       & ~F.ltrim(F.get_json_object(it, "$.text")).startswith("{"),
-                       F.get_json_object(it, "$.text")),
-                F.get_json_object(it, "$.content"),
-            )
-        ),
-    )
-    return F.when(is_array, F.array_join(part, "")).otherwise(F.coalesce(as_str, F.lit("")))
+    """A JSON string -> itself; a JSON array -> its string items, objects give
+    ``text`` else ``content`` when that is a string; other items dropped; joined
+    without separator.  Uses the VARIANT type so strings and numbers stay apart."""
+    v = F.try_parse_json(_c(json_col))
+    kind = F.schema_of_variant(v)
+    arr = F.try_variant_get(v, "$", "array<variant>")
+
+    def is_str(x):
+        return F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
+
+    def part(x):
+        t = F.try_variant_get(x, "$.text", "variant")
+        c = F.try_variant_get(x, "$.content", "variant")
+        return (F.when(is_str(x), F.variant_get(x, "$", "string"))
+                .when(F.schema_of_variant(x).startswith("OBJECT"),
+                      F.when(is_str(t), F.variant_get(t, "$", "string"))
+                      .when(is_str(c), F.variant_get(c, "$", "string"))))
+
+    return (F.when(arr.isNotNull(), F.array_join(F.transform(arr, part), ""))
+            .when(kind == "STRING", F.variant_get(v, "$", "string"))
+            .otherwise(F.lit("")))
 
 
 def mention_query(c) -> Column:

@@ -336,12 +336,14 @@ def _expand_macros(sql: str) -> str:
     out = sql
     while "PYSTRIP(" in out:
         i = out.index("PYSTRIP(")
-        depth, j = 0, i + len("PYSTRIP")
+        depth, j, in_str = 0, i + len("PYSTRIP"), False
         while True:
             ch = out[j]
-            if ch == "(":
+            if ch == "'":
+                in_str = not in_str
+            elif not in_str and ch == "(":
                 depth += 1
-            elif ch == ")":
+            elif not in_str and ch == ")":
                 depth -= 1
                 if depth == 0:
                     break
