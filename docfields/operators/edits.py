@@ -18,3 +18,157 @@ def attach_pairs(docs: DataFrame, pairs: DataFrame, key: str | None = None) -> D
             "pairs", F.coalesce("pairs", F.array().cast("array<struct<seq:bigint,old:string,new:string>>")))
     plist = pairs.agg(cols).withColumn("__k", F.lit(0))
     return docs.withColumn("__k", F.lit(0)).join(F.broadcast(plist), "__k").drop("__k")
+
+
+ARR_STR = "array<string>"
+
+
+def effective_replacements(fields: DataFrame, user_values: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(ref, new) pairs where the trimmed new value is non-empty and differs from
+    the trimmed reference; ``new`` is trimmed, ``ref`` kept as is.
+    fields: (keys, field_key, refs); user_values: (keys, field_key, ref, value)."""
+    from docfields.functions.text import py_strip
+
+    keys = keys or ["workspace_id"]
+    refs = fields.select(*keys, "field_key", F.posexplode("refs").alias("ref_pos", "ref"))
+    j = refs.join(user_values, [*keys, "field_key", "ref"], "left")
+    new = py_strip("value")
+    return j.where(F.col("value").isNotNull() & (F.length(new) > 0) & (new != py_strip("ref"))) \
+        .select(*keys, "field_key", "ref_pos", "ref", new.alias("new"))
+
+
+def split_edits(edits: DataFrame) -> DataFrame:
+    """An edit whose old or new value holds a newline becomes one edit per line
+    position that differs (the shorter side padded with ''); otherwise it is kept
+    only when the value changes.  Adds ``part`` (line position, 0 when not split)."""
+    multi = F.coalesce(F.col("old_value").contains("\n"), F.lit(False)) | \
+        F.coalesce(F.col("new_value").contains("\n"), F.lit(False))
+    old_l = F.coalesce(F.split("old_value", "\n", -1), F.array(F.lit("")))
+    new_l = F.coalesce(F.split("new_value", "\n", -1), F.array(F.lit("")))
+    n = F.greatest(F.size(old_l), F.size(new_l))
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+        (i - 1).alias("part"),
+        F.coalesce(F.get(old_l, i - 1), F.lit("")).alias("o"),
+        F.coalesce(F.get(new_l, i - 1), F.lit("")).alias("n")))
+    others = [c for c in edits.columns if c not in ("old_value", "new_value")]
+    split = edits.where(multi).select(*others, F.inline(pairs)).where(F.col("o") != F.col("n")) \
+        .select(*others, "part", F.col("o").alias("old_value"), F.col("n").alias("new_value"))
+    single = edits.where(~multi).where(~F.col("old_value").eqNullSafe(F.col("new_value"))) \
+        .select(*others, F.lit(0).alias("part"), "old_value", "new_value")
+    return split.unionByName(single)
+
+
+def replacement_count(text, old):
+    from docfields.functions.text import count_nonoverlapping
+
+    return count_nonoverlapping(text, old)
+
+
+def replace_runs(runs: DataFrame, pairs: DataFrame, key: str | None = None) -> DataFrame:
+    """Run-preserving replacement per paragraph.
+
+    runs: (doc_id, para_idx, run_idx, text); pairs: (seq, old, new[, key]).
+    For each pair in order: join the runs, count non-overlapping occurrences, replace,
+    then hand the text back to the runs by their previous lengths (the last run takes
+    the overflow); a paragraph without the old text is left as is.  Returns one row per
+    paragraph: (doc_id, para_idx, runs ARRAY<STRING>, count).
+    """
+    from docfields.functions.text import count_nonoverlapping
+
+    paras = runs.groupBy("doc_id", "para_idx").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "text"))), lambda x: x["text"]).alias("runs"))
+    if key:
+        paras = paras.join(runs.select("doc_id", key).distinct(), "doc_id")
+    paras = attach_pairs(paras, pairs, key)
+
+    def offsets(rs):
+        return F.aggregate(
+            rs, F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a")),
+            lambda acc, r: F.struct((acc["s"] + F.length(r)).alias("s"), F.array_append(acc["a"], acc["s"]).alias("a")),
+            lambda acc: acc["a"])
+
+    def step(st, p):
+        rs = st["runs"]
+        combined = F.array_join(rs, "")
+        old, new = p["old"], F.coalesce(p["new"], F.lit(""))
+        hit = (F.coalesce(F.length(old), F.lit(0)) > 0) & (F.size(rs) > 0) & combined.contains(old)
+        replaced = F.replace(combined, old, new)
+        n = F.size(rs)
+        # offsets are computed once per pair (zipped), never per element
+        zipped = F.arrays_zip(rs.alias("r"), offsets(rs).alias("o"))
+        new_runs = F.transform(zipped, lambda z, i: F.when(
+            i == n - 1, F.substring(replaced, z["o"] + 1, 1 << 30)
+        ).otherwise(F.substring(replaced, z["o"] + 1, F.length(z["r"]))))
+        return F.struct(
+            F.when(hit, new_runs).otherwise(rs).alias("runs"),
+            (st["count"] + F.when(hit, count_nonoverlapping(combined, old)).otherwise(F.lit(0))).alias("count"))
+
+    init = F.struct(F.col("runs").alias("runs"), F.lit(0).cast("bigint").alias("count"))
+    out = paras.select("doc_id", "para_idx", F.aggregate("pairs", init, step).alias("st"))
+    return out.select("doc_id", "para_idx", F.col("st.runs").alias("runs"), F.col("st.count").alias("count"))
+
+
+def last_write(edits: DataFrame, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
+    """Newest edit per (doc, table, row, col) wins."""
+    keys = keys or ["doc_id", "table_index", "row", "col"]
+    others = [c for c in edits.columns if c not in keys]
+    agg = edits.groupBy(*keys).agg(F.max_by(F.struct(*others), seq).alias("w"))
+    return agg.select(*keys, *[F.col(f"w.{c}").alias(c) for c in others])
+
+
+def group_edits(edits: DataFrame) -> DataFrame:
+    """A10: per (doc, table): the ordered edit list (row, col, old, new) -- D7 keys by
+    (doc_id, table_index)."""
+    return edits.groupBy("doc_id", "table_index").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "row", "col", "old_value", "new_value"))).alias("edits"))
+
+
+def apply_cell_edits(cells: DataFrame, edits: DataFrame) -> DataFrame:
+    """Apply ordered edits to table cells.
+
+    cells: (doc_id, table_index, row, col, paras ARRAY<STRING>); edits: (doc_id,
+    table_index, row, col, old_value, new_value, seq).  An edit only reaches an existing
+    cell (bounds check by the equi-join; negative or missing coordinates never match).
+    With old_value: replace its occurrences in every paragraph (applied when any
+    changed); empty old text appends the new value as a paragraph (D10).  Without
+    old_value: the first paragraph becomes new_value, later ones are blanked (applied
+    unless both are empty); a cell without paragraphs gets one.
+    Returns cells with new ``paras`` and ``n_applied``; plus (edits not applied) via
+    ``edit_outcomes``.
+    """
+    key = ["doc_id", "table_index", "row", "col"]
+    per_cell = edits.groupBy(*key).agg(F.array_sort(F.collect_list(
+        F.struct("seq", "old_value", "new_value"))).alias("log"))
+    j = cells.join(per_cell, key, "left")
+
+    def step(st, e):
+        ps = st["paras"]
+        old, new = e["old_value"], F.coalesce(e["new_value"], F.lit(""))
+        has_old = old.isNotNull()
+        empty_old = has_old & (F.length(old) == 0)
+        hit = has_old & (F.length(old) > 0) & F.exists(ps, lambda p: p.contains(old))
+        replaced = F.transform(ps, lambda p: F.replace(p, old, new))
+        first = F.get(ps, 0)
+        set_ok = (F.size(ps) == 0) | (F.length(F.coalesce(first, F.lit(""))) > 0) | (F.length(new) > 0)
+        set_paras = F.when(F.size(ps) == 0, F.array(new)).otherwise(
+            F.transform(ps, lambda p, i: F.when(i == 0, new).otherwise(F.lit(""))))
+        new_ps = (F.when(hit, replaced)
+                  .when(empty_old & (F.length(new) > 0), F.concat(ps, F.array(new)))
+                  .when(~has_old & set_ok, set_paras)
+                  .otherwise(ps))
+        applied = hit | (empty_old & (F.length(new) > 0)) | (~has_old & set_ok)
+        return F.struct(new_ps.alias("paras"), (st["n"] + applied.cast("int")).alias("n"))
+
+    init = F.struct(F.col("paras").alias("paras"), F.lit(0).alias("n"))
+    st = F.when(F.col("log").isNull(), init).otherwise(F.aggregate("log", init, step))
+    others = [c for c in cells.columns if c not in (*key, "paras")]
+    return j.select(*key, *others, st.alias("st")).select(
+        *key, *others, F.col("st.paras").alias("paras"), F.col("st.n").cast("bigint").alias("n_applied"))
+
+
+def preview_overlay(cells: DataFrame, edits: DataFrame) -> DataFrame:
+    """Original grid with the newest new value put over in-range cells."""
+    key = ["doc_id", "table_index", "row", "col"]
+    lw = last_write(edits.select(*key, "new_value", "seq"))
+    j = cells.join(lw, key, "left")
+    return j.withColumn("shown", F.coalesce("new_value", "display")).drop("new_value", "seq")
