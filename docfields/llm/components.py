@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two grouped minima and two equi-joins, so a node with very many
-neighbours is pre-aggregated and its rows can be split by AQE; rounds grow with
-the logarithm of the longest path.  Edges never reach the driver.
+Each round is two grouped minima and two equi-joins.  The minima are written before
+they are joined, so a node with very many neighbours is pre-aggregated and AQE can
+split its rows; rounds grow with the logarithm of the longest path.  Edges never reach the driver.
 """
 from __future__ import annotations
 
@@ -62,10 +62,12 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")),
+                          f"{tag}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(
             "u != v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = write_table(large, f"{tag}-large")
+        low2 = write_table(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-low2")
         small = large.join(low2, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("s")).select(
             F.col("s.u").alias("u"), F.col("s.m").alias("v")).where("u != v").distinct()

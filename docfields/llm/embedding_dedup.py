@@ -154,8 +154,8 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         _keys(passes, bits, seed), "label long, dim int, pass int, key long, node long"), "vector-keys")
     head = F.shiftright("key", bits - min(bits, HEAD_BITS))
     order = Window.partitionBy("label", "dim", "pass").orderBy("head")
-    heads = slim.groupBy("label", "dim", "pass", head.alias("head")).agg(F.count("*").alias("m")).withColumn(
-        "before", F.sum("m").over(order) - F.col("m"))
+    heads = write_table(slim.groupBy("label", "dim", "pass", head.alias("head")).agg(F.count("*").alias("m")).withColumn(
+        "before", F.sum("m").over(order) - F.col("m")), "vector-heads")
     # A head with more rows than a range (a dense group) is dealt over several neighbouring ranges.
     spots = F.greatest(F.lit(1), F.ceil(F.col("m") / range_rows))
     placed = slim.withColumn("head", head).join(heads, ["label", "dim", "pass", "head"]).withColumn(
@@ -176,7 +176,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         "label", "dim", "pass", "range", "turn", "key", "node").mapInArrow(_compare(window, threshold), "u long, v long")
     comp = write_table(connected_components(edges, "vectors"), "vector-components")
     member = cls.join(comp, "node")
-    size = comp.groupBy("component").agg(F.count("*").alias("m"))
+    size = write_table(comp.groupBy("component").agg(F.count("*").alias("m")), "vector-sizes")
     chunks = F.ceil(F.col("m") / BLOCK).cast("long")
     dealt = member.join(size, "component").withColumn("s", chunks).withColumn(
         "c", F.pmod(F.xxhash64("node"), "s"))

@@ -123,7 +123,7 @@ def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def extents(sym: np.ndarray, off: np.ndarray, n: int, k: int, chunk: int = CHUNK):
-    """All extents of a batch: (document, start, windows, anchor hash, extent hash).
+    """All extents of a batch: (document, start, windows, anchor distance, anchor hash, extent hash).
 
     ``start`` counts symbols of the document; the extent covers symbols
     [start, start + windows - 1 + n)."""
@@ -154,10 +154,10 @@ def extents(sym: np.ndarray, off: np.ndarray, n: int, k: int, chunk: int = CHUNK
         rel = (at[st] - st).astype(U) * U(BASE1) + (en - st).astype(U)
         eh = mix(p2.ranges(st, en + n) ^ rel)
         dd = doc[st]
-        parts.append((dd, st + lo - off[dd], en - st + 1, g[at[st]], eh))
+        parts.append((dd, st + lo - off[dd], en - st + 1, at[st] - st, g[at[st]], eh))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, U), np.zeros(0, U)
+        return z, z, z, z, np.zeros(0, U), np.zeros(0, U)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 

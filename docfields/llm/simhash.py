@@ -189,7 +189,8 @@ def link_fingerprints(distinct: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
                        for i, m in enumerate(signed)])
     rows = distinct.select("fp", F.explode(tables).alias("e")).select("fp", "e.t", "e.key")
-    size = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # written first: both sides of the join are then plain exchanges that AQE can split
+    size = write_table(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     rows = rows.join(size, ["t", "key"]).withColumn("s", F.ceil(F.col("n") / BUCKET).cast("long"))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("fp"), "s")).withColumn(
         "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
@@ -207,7 +208,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = MA
     comp = link_fingerprints(own.select("fp"), budget)
     named = own.join(comp, own["fp"] == comp["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    low = write_table(named.groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
     classes = named.select("fp", "root").join(low, "root").select("fp", "component_id")
     return f.join(classes, "fp").select("doc_id", "fp", "component_id")
 

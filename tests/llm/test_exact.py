@@ -107,7 +107,7 @@ def test_long_text_in_parts():
     sym = rng.integers(0, 3, 5000).astype(np.uint64)
     off = np.array([0, 10, 10, 4000, 5000])
     for chunk in (64, 700, 1 << 20):
-        doc, start, cnt, _, _ = R.extents(sym, off, 20, 6, chunk)
+        doc, start, cnt, _, _, _ = R.extents(sym, off, 20, 6, chunk)
         seen = sorted((d, s + i) for d, s, c in zip(doc.tolist(), start.tolist(), cnt.tolist()) for i in range(c))
         assert seen == [(d, i) for d in range(4) for i in range(off[d + 1] - off[d] - 19)]
 
