@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.common import shared_path
+from docfields.llm.common import doc_slices, shared_path, text_bytes, write_table
 from docfields.llm.tokens import text_groups, tokenizer
 
 MAGIC, HEAD = b"TIDS", struct.Struct("<4sIQQ")
 END_ID = 1
-BLOCK_IDS = 1 << 18
+BLOCK_BYTES = 512 << 10
 FILE_BYTES = 32 << 20
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -93,23 +93,43 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
 
 
-def frequency_ranks(docs: DataFrame, tokenizer_path: str) -> np.ndarray:
+def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, k, ids) written to the shared folder: each text is tokenized once.  ``k`` is the hash of
+    the text; ids are little-endian, of two bytes where the vocabulary allows it."""
+    def run(batches):
+        tok = tokenizer(tokenizer_path)
+        kind, end = id_type(tok.vocab_size), np.array([END_ID], np.uint32).tobytes()
+        for b in batches:
+            for at, texts in text_groups(b.column("text")):
+                ids = [np.frombuffer(x + end, np.uint32).astype(kind).tobytes() for x in tok.encode(texts)]
+                part = b.slice(at, len(ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(ids, pa.binary())],
+                                                 names=["doc_id", "k", "ids"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
+    return write_table(rows.mapInArrow(run, "doc_id long, k long, ids binary"), "tokenized")
+
+
+def id_type(vocab_size: int) -> str:
+    return "<u2" if vocab_size <= 1 << 16 else "<u4"
+
+
+def frequency_ranks(ids: DataFrame, vocab_size: int) -> np.ndarray:
     """ids[rank]: ids by falling count over all documents, unused ids last.  What reaches the driver
     is bounded by the vocabulary."""
     def count(batches):
-        tok = tokenizer(tokenizer_path)
-        total = np.zeros(tok.vocab_size, np.int64)
+        total = np.zeros(vocab_size, np.int64)
         for b in batches:
-            for _, texts in text_groups(b.column(0)):
-                total += np.bincount(np.frombuffer(b"".join(tok.encode(texts)), np.uint32), minlength=len(total))
-            total[END_ID] += b.num_rows
+            raw, off = text_bytes(b.column(0))
+            for x, y in doc_slices(off, 4 << 20):
+                part = np.frombuffer(raw[off[x]:off[y]].tobytes(), id_type(vocab_size))
+                total += np.bincount(part, minlength=vocab_size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-    rows = docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(tokenizer(tokenizer_path).vocab_size, np.int64)
+    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(vocab_size, np.int64)
     for r in rows:
         total[r["id"]] = r["n"]
-    return np.lexsort((np.arange(len(total)), -total)).astype(np.uint32)
+    return np.lexsort((np.arange(vocab_size), -total)).astype(np.uint32)
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str) -> None:
@@ -117,7 +137,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
     A task writes its documents in order into files of about ``FILE_BYTES`` under a temporary name and
     renames them; the content depends on the rows only, so a repeated task writes the same files."""
-    ids = frequency_ranks(docs, tokenizer_path)
+    vocab_size = tokenizer(tokenizer_path).vocab_size
+    rows = tokenized(docs, tokenizer_path)
+    ids = frequency_ranks(rows, vocab_size)
     store, root = filesystem(path)
     store.create_dir(root)
     with store.open_output_stream(f"{root}/ranks.bin") as f:
@@ -128,47 +150,43 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
     def write(batches):
         store, root = filesystem(path)
-        tok, rank, part = tokenizer(tokenizer_path), shared.value, TaskContext.get().partitionId()
-        end = np.array([END_ID], np.uint32).tobytes()
-        number, out, name, size, names, held, load = 0, None, "", 0, [], [], 0
+        rank, part, kind = shared.value, TaskContext.get().partitionId(), id_type(vocab_size)
+        names, held, load, size, out, temp = [], [], 0, 0, None, ""
 
         def flush():
             nonlocal size, held, load
-            all_ids = np.frombuffer(b"".join(x for _, x in held), np.uint32)
-            block = pack_block([d for d, _ in held], [len(x) // 4 for _, x in held], rank[all_ids])
+            all_ids = np.frombuffer(b"".join(x for _, x in held), kind)
+            width = all_ids.dtype.itemsize
+            block = pack_block([d for d, _ in held], [len(x) // width for _, x in held], rank[all_ids])
             out.write(block)
             size, held, load = size + len(block), [], 0
 
-        temp = ""
-        for b in batches:
-            doc = b.column(0)
-            for at, texts in text_groups(b.column(1)):
-                for i, x in enumerate(tok.encode(texts)):
-                    if out is None:
-                        temp = f"{root}/.{uuid.uuid4().hex}.tmp"
-                        name = f"{root}/shard-{part:08d}-{number:05d}.tids"
-                        out = store.open_output_stream(temp)
-                    held.append((doc[at + i].as_py(), x + end))
-                    load += len(x) // 4 + 1
-                    if load >= BLOCK_IDS:
-                        flush()
-                        if size >= FILE_BYTES:
-                            out.close()
-                            store.move(temp, name)
-                            names.append(name)
-                            number, out, size = number + 1, None, 0
-        if out is not None:
+        def close():
+            nonlocal out, size
             if held:
                 flush()
             out.close()
-            store.move(temp, name)
-            names.append(name)
+            names.append(f"{root}/shard-{part:08d}-{len(names):05d}.tids")
+            store.move(temp, names[-1])
+            out, size = None, 0
+        for b in batches:
+            for d, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if out is None:
+                    temp = f"{root}/.{uuid.uuid4().hex}.tmp"
+                    out = store.open_output_stream(temp)
+                held.append((d, x.as_py()))
+                load += len(held[-1][1])
+                if load >= BLOCK_BYTES:
+                    flush()
+                    if size >= FILE_BYTES:
+                        close()
+        if out is not None:
+            close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "k", F.xxhash64("text")).repartitionByRange(n, "doc_id", "k").sortWithinPartitions("doc_id", "k", "text")
-    dealt.select("doc_id", "text").mapInArrow(write, "file string").agg(F.count("*")).collect()
+    dealt = rows.repartitionByRange(n, "doc_id", "k").sortWithinPartitions("doc_id", "k", "ids")
+    dealt.select("doc_id", "ids").mapInArrow(write, "file string").agg(F.count("*")).collect()
 
 
 def read_token_ids(spark, path: str) -> DataFrame:

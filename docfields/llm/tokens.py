@@ -15,7 +15,12 @@ import numpy as np
 _LOADED: dict[str, "UnitTokenizer"] = {}
 _ODD = re.compile("[\x1c-\x1f]")
 _BYTE_UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHE_UNITS = 500_000
+#: A unit that ends in marks after a Latin letter: both vocabularies cut there.
+_TAIL = re.compile("(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?|#$%&*]+)", re.S)
+#: Units of plain letters, which each vocabulary keeps as one piece.
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SPECIAL = "<|endoftext|>"
+CACHE_UNITS = 1_200_000
 
 
 class UnitTokenizer:
@@ -25,13 +30,59 @@ class UnitTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings inside a text are ordinary text
+        self.cutter = Tokenizer.from_file(path)  # here the end mark parts the units of a batch
+        self.mark = self.cutter.token_to_id(_SPECIAL)
         self.drops_blanks = self.tok.normalizer is not None
         self.vocab_size = self.tok.get_vocab_size()
+        if self.drops_blanks:  # a piece ends with an id that carries the word-end mark
+            self.ends = np.zeros(self.vocab_size, bool)
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        else:
+            self.line = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in
-                self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _letters(self, units: list[str]) -> list[bytes]:
+        """Ids of units of plain letters: one call for many, a line feed between them."""
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, np.uint32)
+        raw = ids.tobytes()
+        if self.drops_blanks:
+            z = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            return [raw[i:j] for i, j in zip([0, *z[:-1]], z)]
+        z = (np.append(np.flatnonzero(ids == self.line), len(ids)) * 4).tolist()
+        return [raw[i:j] for i, j in zip([0, *(e + 4 for e in z[:-1])], z)]
+
+    def _marked(self, units: list[str]) -> list[bytes]:
+        """Ids of any units: one call for many, parted by the end mark, which no text can produce."""
+        ids = np.array(self.cutter.encode_batch_fast([_SPECIAL.join(units)], add_special_tokens=False)[0].ids, np.uint32)
+        raw, z = ids.tobytes(), (np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4).tolist()
+        return [raw[i:j] for i, j in zip([0, *(e + 4 for e in z[:-1])], z)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        cache, parts, todo = self.cache, [], {}
+        for u in fresh:
+            m = _TAIL.fullmatch(u)
+            pair = m.groups() if m else (u, "")
+            parts.append(pair)
+            for x in pair:
+                if x and x not in cache:
+                    todo[x] = None
+        letters = [x for x in todo if _LETTERS.fullmatch(x)]
+        for i in range(0, len(letters), 10_000):
+            part = letters[i:i + 10_000]
+            cache.update(zip(part, self._letters(part)))
+        other = [x for x in todo if x not in cache and "<|" not in x and "|>" not in x]
+        for i in range(0, len(other), 100):
+            part = other[i:i + 100]
+            cache.update(zip(part, self._marked(part)))
+        for x in todo:
+            if x not in cache:
+                cache[x] = self._whole(x)
+        for u, (a, b) in zip(fresh, parts):
+            if b:
+                cache[u] = cache[a] + cache[b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text; null = empty."""
@@ -39,20 +90,17 @@ class UnitTokenizer:
         if len(cache) > CACHE_UNITS:
             cache.clear()
         units: list[list[str] | None] = []
-        fresh: set[str] = set()
+        seen: set[str] = set()
         for t in texts:
             if t and _ODD.search(t):
                 units.append(None)
                 continue
             u = [] if not t else t.split() if self.drops_blanks else _BYTE_UNITS.findall(t)
             units.append(u)
-            fresh.update(u)
-        todo = [u for u in fresh if u not in cache]
-        for i in range(0, len(todo), 20_000):
-            part = todo[i:i + 20_000]
-            cache.update(zip(part, self._encode(part)))
+            seen.update(u)
+        self._learn([u for u in seen if u not in cache])
         get = cache.__getitem__
-        return [self._encode([t])[0] if u is None else b"".join(map(get, u)) for t, u in zip(texts, units)]
+        return [self._whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, units)]
 
 
 def tokenizer(path: str) -> UnitTokenizer:
