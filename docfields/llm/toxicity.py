@@ -2,10 +2,10 @@
 
 A text's tokens are runs of ASCII letters and digits (lower case) and bytes above 127; features are
 the distinct hashed unigrams, bigrams and pairs with one or two tokens between, so length does not
-matter.  Training takes at most ``SAMPLE`` labelled rows in hash order, dealt over ``SHARDS`` groups;
-in each round every shard walks its rows once from the shared per-coordinate state and the changes
-are added up.  L1 leaves few weights; ``DIM`` of them at most are broadcast, and every document is
-scored in one pass without a shuffle.
+matter.  FTRL-proximal learns row by row, with a rate of its own for every coordinate, so one task
+walks the training rows: at most ``SAMPLE`` labelled rows in hash order, written once and read again in
+each of ``ROUNDS`` rounds, which start from the state of the round before.  L1 leaves few weights;
+``DIM`` of them at most are broadcast, and every document is scored in one pass without a shuffle.
 
 Defined results: null or empty text has no features and gets the score of the intercept; rows without
 a label or with a null doc_id never train; a doc_id that is labelled twice trains with its larger
@@ -24,8 +24,8 @@ from docfields.llm.common import doc_slices, text_bytes, write_table
 
 BITS = 18
 DIM = 1 << BITS
-SAMPLE, SHARDS, ROUNDS = 24_000, 4, 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+SAMPLE, ROUNDS = 24_000, 8
+ALPHA, BETA, L1 = 2.0, 1.0, 5.0
 CUT = 0.7
 _ALNUM = [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]
 _SEPARATOR = np.ones(256, bool)
@@ -60,7 +60,7 @@ class Ftrl:
     def weights(self, i) -> np.ndarray:
         z = self.z[i]
         l1 = np.where(np.asarray(i) == DIM, 0.0, L1)
-        w = (np.sign(z) * l1 - z) / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2)
+        w = (np.sign(z) * l1 - z) / ((BETA + np.sqrt(self.n[i])) / ALPHA)
         return np.where(np.abs(z) > l1, w, 0.0)
 
     def learn(self, i: np.ndarray, y: int) -> None:
@@ -77,7 +77,7 @@ def sigmoid(x):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(shard, place, toxic, feats) of the bounded sample."""
+    """(toxic, feats) of the bounded sample, in hash order."""
     chosen = F.broadcast(labels.where("doc_id is not null and toxic is not null").select(
         F.col("doc_id").cast("long").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).where(
         F.pmod(F.crc32(F.col("labelled").cast("string").cast("binary")), F.lit(3)) != 1).groupBy("labelled").agg(
@@ -99,7 +99,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     names=["doc_id", "toxic", "feats"])
     out = rows.mapInArrow(extract, "doc_id long, toxic int, feats binary")
     place = F.xxhash64("doc_id", "feats")
-    return out.select(F.pmod(place, F.lit(SHARDS)).alias("shard"), place.alias("place"), "toxic", "feats")
+    return out.withColumn("place", place).repartition(1).sortWithinPartitions("place").select("toxic", "feats")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -110,17 +110,19 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     for _ in range(ROUNDS):
         state = sc.broadcast((z, n))
 
-        def walk(table: pa.Table) -> pa.Table:
+        def walk(batches):
             z0, n0 = state.value
             f = Ftrl(z0.copy(), n0.copy())
-            for r in table.sort_by("place").to_batches():
-                for y, x in zip(r.column("toxic").to_pylist(), r.column("feats").to_pylist()):
-                    f.learn(np.append(np.frombuffer(x, "<i4").astype(np.int64), DIM), y)
-            return pa.table({"z": pa.array([(f.z - z0).tobytes()], pa.binary()),
-                             "n": pa.array([(f.n - n0).tobytes()], pa.binary())})
-        changes = rows.groupBy("shard").applyInArrow(walk, "z binary, n binary").collect()  # SHARDS rows
-        z = z + sum((np.frombuffer(c["z"]) for c in changes), np.zeros(DIM + 1))
-        n = n + sum((np.frombuffer(c["n"]) for c in changes), np.zeros(DIM + 1))
+            for b in batches:
+                for y, x in zip(b.column(0).to_pylist(), b.column(1)):
+                    f.learn(np.append(np.frombuffer(x.as_py(), "<i4").astype(np.int64), DIM), y)
+            i = np.flatnonzero(f.n - n0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.tobytes()], pa.binary()) for x in (i, (f.z - z0)[i], (f.n - n0)[i])], names=["i", "z", "n"])
+        for c in rows.coalesce(1).mapInArrow(walk, "i binary, z binary, n binary").collect():  # one row
+            i = np.frombuffer(c["i"], np.int64)
+            z[i] += np.frombuffer(c["z"])
+            n[i] += np.frombuffer(c["n"])
     return Ftrl(z, n).weights(np.arange(DIM + 1))
 
 
