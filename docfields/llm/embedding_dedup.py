@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.llm.common import write_table
-from docfields.llm.components import connected_components
+from docfields.llm.components import connected_components, np_components
 
 THRESHOLD, PASSES, BITS, WINDOW = 0.98, 16, 48, 64
 HEAD_BITS, BLOCK = 20, 2_000
@@ -87,7 +87,8 @@ def _compare(window: int, threshold: float):
                     us.append(node[at[j[near]]])
                     vs.append(node[at[j[near] + d]])
         if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
+            u, v = np_components(np.concatenate(us), np.concatenate(vs))  # a spanning forest says as much
+            u, v = u[u != v], v[u != v]
             for c in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[c:c + 100_000]), pa.array(v[c:c + 100_000])],
                                                  names=["u", "v"])
