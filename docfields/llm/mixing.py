@@ -5,10 +5,12 @@ document a posterior over the domains clean / low / toxic.  The rates r >= 0 of
 
     sum over domains of (expected share of tokens - target share)^2 / present share
 
-by projected gradient steps from r = 1.  A step needs the expected tokens by domain only -- one
-aggregate over the narrow table of posteriors -- and the rate of a document is a fold over the
-gradients so far, so no rate is stored or sent.  With tokens as the metric and the present shares as
-weights the largest eigenvalue is 1, so a step of 1 always descends.
+by projected gradient steps from r = 1, with lazy projection: the gradients add up to one number a
+domain, G, and the rate of a document is max(0, 1 - sum_k p_k G_k).  A step needs the expected tokens by
+domain only -- one aggregate over the narrow table of posteriors -- and no rate is stored or sent.  With
+tokens as the metric and the present shares as weights the largest eigenvalue is 1, so a step of 1
+descends.  It ends once every share is within ``TOLERANCE``, or after ``MAX_STEPS`` steps where the
+targets cannot be met (a domain that no document belongs to).
 
 Defined results: null or blank text has no words, the prior as posterior and takes no part in the
 token totals; rows that repeat id and text get one rate each, the same; null ids are rows like any
@@ -27,7 +29,7 @@ from docfields.llm.common import keyed, same_row, write_table
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 BUCKETS, SAMPLE, EVIDENCE = 1 << 14, 20_000, 64
-TOLERANCE, STALL = 1e-4, 1e-7
+TOLERANCE, MAX_STEPS = 1e-4, 60
 
 
 def _words(d: DataFrame, *keys: str) -> DataFrame:
@@ -75,45 +77,38 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return per.select("doc_id", "tkey", "copies", "n_words", *[(odds[k] / total).alias(f"p_{k}") for k in DOMAINS])
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """Rate after the given gradients: r <- max(0, r - sum_k p_k g_k)."""
-    if not steps:
-        return F.lit(1.0)
-    grads = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    return F.aggregate(grads, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum(
-        (F.col(f"p_{k}") * g[i] for i, k in enumerate(DOMAINS)), F.lit(0.0))))
+def _rate(gradient: list[float]) -> Column:
+    """Rate of a document after gradients that add up to ``gradient``."""
+    pull = sum((F.col(f"p_{k}") * F.lit(float(g)) for k, g in zip(DOMAINS, gradient)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - pull)
 
 
-def solve_rates(p: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """Gradients of the projected steps until the shares meet the targets or no longer improve."""
+def solve_rates(p: DataFrame, targets: dict[str, float]) -> list[float]:
+    """Sum of the projected steps' gradients by domain."""
     tokens = F.col("copies") * F.col("n_words")
 
-    def shares(steps):
-        row = p.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * F.col(f"p_{k}") * _rate(steps)).alias(k)
+    def shares(gradient):
+        row = p.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * F.col(f"p_{k}") * _rate(gradient)).alias(k)
                                                 for k in DOMAINS]).first()
         return row["n"] or 0, [row[k] or 0.0 for k in DOMAINS]
-    n, now = shares([])
-    if not n:
-        return []
+    gradient = [0.0] * len(DOMAINS)
+    n, tokens_now = shares(gradient)
     goal = [targets[k] / sum(targets.values()) for k in DOMAINS]
-    here = [x / n for x in now]
-    cur, steps, last = here, [], float("inf")
-    while True:
-        gap = [c - t for c, t in zip(cur, goal)]
-        loss = sum(g * g / h for g, h in zip(gap, here) if h > 0)
-        if max(map(abs, gap)) < TOLERANCE or last - loss < STALL * max(loss, 1e-12):
-            return steps
-        last = loss
-        steps = [*steps, [g / h if h > 0 else 0.0 for g, h in zip(gap, here)]]
-        cur = [x / n for x in shares(steps)[1]]
+    here = [x / n for x in tokens_now] if n else []
+    for _ in range(MAX_STEPS if n else 0):
+        gap = [x / n - t for x, t in zip(tokens_now, goal)]
+        if max(map(abs, gap)) < TOLERANCE:
+            break
+        gradient = [g + d / h if h > 0 else g for g, d, h in zip(gradient, gap, here)]
+        tokens_now = shares(gradient)[1]
+    return gradient
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, tkey, copies, n_words, p_..., rate, times): ``times`` is the whole part of the rate plus
     one where a hash of the row falls below its fraction."""
     p = write_table(posteriors(docs, labels), "posteriors")
-    steps = solve_rates(p, targets or TARGETS)
-    out = p.withColumn("rate", _rate(steps))
+    out = p.withColumn("rate", _rate(solve_rates(p, targets or TARGETS)))
     draw = F.pmod(F.xxhash64("doc_id", "tkey", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("times", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
