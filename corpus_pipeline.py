@@ -35,7 +35,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as its rate says."""
-    return mix_documents(docs, read(spark, sf_dir, "labels"))
+    return mix_documents(docs, read(spark, sf_dir, "labels"), MIX)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +43,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+#: Target shares of the tokens: what the quality rules left of the low domain goes.
+MIX = {"clean": 0.95, "low": 0.0, "toxic": 0.05}
+
 STAGES = [("quality_rules", quality_rules), ("simhash_dedup", simhash_dedup),
           ("suffix_array_dedup", suffix_array_dedup), ("mixing", mixing), ("packing", packing)]
 
