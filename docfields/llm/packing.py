@@ -77,6 +77,7 @@ def _pack(tokenizer_path: str, length: int, limit: int):
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array([part] * len(out), pa.int64())],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"])
+        tok.forget()
         left = [w for _, w in win.room]  # still open: marked by a row of their own
         m = len(left)
         none = pa.nulls(m, pa.int64())

@@ -105,6 +105,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 part = b.slice(at, len(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "k", "ids"])
+        tok.forget()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
     return write_table(rows.mapInArrow(run, "doc_id long, k long, ids binary"), "tokenized")
 

@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text at white space before any merge, so a text's ids are the ids of
 its units in a row: a unit is a run of non-blanks (for the byte-level vocabulary with the blank
-before it), or a run of white space.  Each distinct unit is encoded once per worker; texts with
+before it), or a run of white space.  Each distinct unit is encoded once per task (the cache holds
+about ``CACHE_UNITS`` at most and starts anew when full); texts with
 the four separator controls on which Python and the library disagree are encoded whole.
 """
 from __future__ import annotations
@@ -20,7 +21,7 @@ _TAIL = re.compile("(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?|
 #: Units of plain letters, which each vocabulary keeps as one piece.
 _LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SPECIAL = "<|endoftext|>"
-CACHE_UNITS = 1_200_000
+CACHE_UNITS = 700_000
 
 
 class UnitTokenizer:
@@ -84,6 +85,10 @@ class UnitTokenizer:
             if b:
                 cache[u] = cache[a] + cache[b]
 
+    def forget(self) -> None:
+        """Free the cache, at the end of a task: the worker may serve other operators next."""
+        self.cache = {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text; null = empty."""
         cache = self.cache
