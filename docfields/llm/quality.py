@@ -28,7 +28,7 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _NOT_LF = np.zeros(256, bool)
 _NOT_LF[10] = True
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 
 def buckets(data: np.ndarray) -> np.ndarray:

@@ -31,14 +31,14 @@ from docfields.llm import rolling as R
 from docfields.llm.common import doc_slices, keyed, same_row, text_bytes, write_table
 
 BLOCK_EXTENTS = 1024
-BLOCK_SYMBOLS = 400_000
+BLOCK_SYMBOLS = 150_000
 SHAPE_BITS = 20  # an extent's shape: windows << SHAPE_BITS | distance of the anchor from its start
 SEED = "doc_id long, tkey long, ghash long, ehash long, start long, shape long"
 CUT = "doc_id long, tkey long, start long, shape long, ghash long, hot boolean, content binary"
 GROUP = ("doc_id long, tkey long, start long, windows int, ghash long, place int, common long, covered long, "
          "keys binary")
 FOUND = "doc_id long, tkey long, lo long, hi long"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _symbols(data: np.ndarray, off: np.ndarray, words: bool):

@@ -14,7 +14,7 @@ import numpy as np
 U = np.uint64
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-POS_BITS = 20
+POS_BITS = 18
 CHUNK = 1 << POS_BITS
 POS_MASK = U(CHUNK - 1)
 

@@ -115,7 +115,7 @@ def tokenizer(path: str) -> UnitTokenizer:
     return _LOADED[path]
 
 
-def text_groups(column, limit: int = 4 << 20):
+def text_groups(column, limit: int = 2 << 20):
     """Lists of texts of an Arrow column with at most about ``limit`` characters together."""
     at, size, out = 0, 0, []
     for i in range(len(column)):

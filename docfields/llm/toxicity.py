@@ -88,7 +88,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def extract(batches):
         for b in batches:
             data, off = text_bytes(b.column("text"))
-            for x, y in doc_slices(off, 2 << 20):
+            for x, y in doc_slices(off, 512 << 10):
                 doc, code = features(data[off[x]:off[y]], off[x:y + 1] - off[x])
                 pair = np.unique(doc * DIM + code)
                 cut = np.searchsorted(pair, np.arange(y - x + 1) * DIM)
@@ -135,7 +135,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             data, off = text_bytes(b.column("text"))
             total = np.full(b.num_rows, weight[DIM])
-            for x, y in doc_slices(off, 2 << 20):
+            for x, y in doc_slices(off, 512 << 10):
                 doc, code = features(data[off[x]:off[y]], off[x:y + 1] - off[x])
                 hit = np.flatnonzero(weight[code])
                 pair = np.unique(doc[hit] * DIM + code[hit])
