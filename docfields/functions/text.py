@@ -268,6 +268,6 @@ def mention_query(c) -> Column:
 
 
 def strip_mention(c) -> Column:
-    """Selecting a workspace removes the trailing mention and squeezes whitespace."""
+    """Selecting a workspace removes the trailing mention, squeezes whitespace and trims the start."""
     no_mention = F.regexp_replace(_c(c), r"(?:^|\s)@([^\s@]*)$", " ")
-    return F.trim(F.regexp_replace(no_mention, r"\s+", " "))
+    return F.ltrim(F.regexp_replace(no_mention, r"\s+", " "))

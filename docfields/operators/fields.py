@@ -171,14 +171,16 @@ def ordered_union(a, b):
 
 
 # ----------------------------------------------------------------------------- V2 / J5
-def consolidate_default(fields: DataFrame, keys: list[str] | None = None, max_iter: int = 50) -> DataFrame:
+def consolidate_default(fields: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """V2 default: raw fields sharing a normalized key or a reference form one canonical
     field (connected components by iterated min-label propagation over a bipartite
     field-token graph).  Canonical key = key of the first-seen member; references =
     ordered union of the members' references; label = first member's label.
 
-    Each round is a join + groupBy(min); lineage is cut with ``checkpoint()`` into the
-    shared checkpoint folder so long chains survive executor loss.
+    Each round takes the smallest label among neighbours, then follows the label of that
+    member (pointer jumping), until nothing changes: rounds grow with the logarithm of a
+    chain rather than its length.  Lineage is cut with ``checkpoint()`` into the shared
+    checkpoint folder so the loop survives executor loss.
     """
     from docfields.session import ensure_checkpoint_dir
 
@@ -188,13 +190,19 @@ def consolidate_default(fields: DataFrame, keys: list[str] | None = None, max_it
     edges = f.select(*keys, "field_key", F.explode(F.array_union(
         F.array(F.concat(F.lit("k:"), T.normalize_key("field_key"))),
         F.transform("refs", lambda r: F.concat(F.lit("r:"), r)))).alias("tok")).distinct()
-    label = f.select(*keys, "field_key", F.col("seq").alias("comp"))
     ensure_checkpoint_dir(fields.sparkSession)
-    for _ in range(max_iter):
+    edges = edges.checkpoint()
+    label = f.select(*keys, "field_key", F.col("seq").alias("comp"))
+    seqs = label.withColumnRenamed("comp", "seq").checkpoint()
+    while True:
         tok_min = edges.join(label, [*keys, "field_key"]).groupBy(*keys, "tok").agg(F.min("comp").alias("tcomp"))
         new = edges.join(tok_min, [*keys, "tok"]).groupBy(*keys, "field_key").agg(F.min("tcomp").alias("comp"))
         new = new.join(label.withColumnRenamed("comp", "old"), [*keys, "field_key"]) \
-            .select(*keys, "field_key", F.least("comp", "old").alias("comp"), "old").checkpoint()
+            .select(*keys, "field_key", F.least("comp", "old").alias("comp"), "old")
+        head = seqs.join(new, [*keys, "field_key"]).groupBy(*keys, F.col("seq").alias("comp")).agg(
+            F.min("comp").alias("jump"))
+        new = new.join(head, [*keys, "comp"], "left").select(
+            *keys, "field_key", F.least("comp", "jump").alias("comp"), "old").checkpoint()
         changed = new.where(F.col("comp") != F.col("old")).limit(1).count()
         label = new.select(*keys, "field_key", "comp")
         if changed == 0:

@@ -11,6 +11,8 @@ which are per-field and small.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,21 +44,15 @@ def similarity(a: str, b: str) -> float:
 
 
 def fuzzy_dedupe(refs: list[str], threshold: float = 85) -> list[str]:
-    if len(refs) <= 1:
+    """Longest first, every entry that resembles no entry kept before it."""
+    if len(refs) < 2:
         return list(refs)
-    kept: list[str] = []
-    for r in sorted(refs, key=len, reverse=True):
-        dup = False
-        for k in kept:
-            # upper bound of the ratio from the lengths alone
-            if 200.0 * min(len(r), len(k)) / max(len(r) + len(k), 1) < threshold:
-                continue
-            if similarity(r, k) >= threshold:
-                dup = True
-                break
-        if not dup:
-            kept.append(r)
-    return kept
+    # the ratio cannot reach the threshold if the shorter text is below this share of the longer one
+    share = threshold / (200 - threshold)
+
+    def resembles(short: str, kept: list[str]) -> bool:
+        return any(similarity(short, k) >= threshold for k in kept if len(short) >= share * len(k))
+    return reduce(lambda kept, r: kept if resembles(r, kept) else [*kept, r], sorted(refs, key=lambda r: -len(r)), [])
 
 
 def fuzzy_dedupe_col(refs: Column | str, threshold: float = 85) -> Column:

@@ -105,9 +105,9 @@ def delete_workspace_docs(docs: DataFrame, ids: DataFrame, key: str = "workspace
 
 
 def filter_uploads(batch: DataFrame, docs: DataFrame) -> DataFrame:
-    """M6: keep '.docx' names not already in the workspace (first of equal names in
+    """M6: keep names that end in '.docx' (as written) and are not already in the workspace (first of equal names in
     the batch wins, D12); duplicates report the existing document id."""
-    b = batch.where(F.lower("name").endswith(".docx"))
+    b = batch.where(F.col("name").endswith(".docx"))
     w = Window.partitionBy("workspace_id", "name").orderBy("seq")
     b = b.withColumn("__rn", F.row_number().over(w))
     existing = docs.select("workspace_id", "name", F.col("doc_id").alias("existing_id"))
@@ -155,7 +155,7 @@ def classify_changes(base: DataFrame, changes: DataFrame, key: list[str]) -> Dat
 def fingerprint(docs: DataFrame, group: str = "workspace_id", order: str = "doc_id", instructions: str = "",
                 prefix_chars: int | None = None, paths_col: str | None = None) -> DataFrame:
     """SHA-256 over ``name:text`` of each document in order, the attached paths and
-    the first 500 characters of the instructions.  Whole texts by default (D6);
+    the trimmed instructions.  Whole texts and instructions by default (D6);
     ``prefix_chars`` reproduces the reference's 1000-character cut."""
     txt = F.col("text") if prefix_chars is None else F.substring("text", 1, prefix_chars)
     part = F.concat(F.col("name"), F.lit(":"), F.coalesce(txt, F.lit("")))
@@ -164,7 +164,7 @@ def fingerprint(docs: DataFrame, group: str = "workspace_id", order: str = "doc_
                                              (F.col(paths_col) if paths_col else F.lit("")).alias("path")))).alias("l"))
     body = F.concat(F.array_join(F.transform("l", lambda x: x["p"]), "|"), F.lit("||"),
                     F.array_join(F.transform("l", lambda x: x["path"]), "|"), F.lit("||"),
-                    F.lit(instructions[:FINGERPRINT_INSTRUCTIONS_CHARS]))
+                    F.lit(instructions.strip()))
     return g.select(group, F.sha2(body, 256).alias("fingerprint"))
 
 
@@ -174,9 +174,9 @@ def doc_fingerprint(name: Column, text: Column) -> Column:
 
 
 def fresh(df: DataFrame, as_of: str, ttl_seconds: int = TTL_SERVER, ts: str = "stored_at") -> DataFrame:
-    """Entries with ``as_of - stored_at < ttl`` (explicit clock)."""
-    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))
-    return df.where(age < ttl_seconds)
+    """Entries with ``as_of - stored_at < ttl`` (explicit clock); the filter reaches the scan."""
+    oldest = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+    return df.where(F.col(ts).cast("timestamp") > oldest)
 
 
 def split_cached(inputs: DataFrame, results: DataFrame, as_of: str, ttl_seconds: int = TTL_SERVER):

@@ -106,8 +106,9 @@ def search(df: DataFrame, q: str, cols: list[str]) -> DataFrame:
 
 
 def search_haystack(df: DataFrame, q: str, name: str = "name", date: str = "event_date") -> DataFrame:
-    """Substring of lower(name + ' ' + date-or-''); a blank query returns all."""
-    if not q.strip():
+    """Trimmed query as a substring of lower(name + ' ' + date-or-''); a blank query returns all."""
+    q = q.strip()
+    if not q:
         return df
     hay = F.lower(F.concat(F.coalesce(F.col(name), F.lit("")), F.lit(" "),
                            F.coalesce(F.col(date).cast("string"), F.lit(""))))

@@ -4,11 +4,7 @@ from docfields.plans.registry import ORACLES, QUERIES, register  # noqa: F401
 
 def load_all():
     """Import every query module so the registry is filled."""
-    from docfields.plans import q_locate  # noqa: F401
-    for mod in ("q_text", "q_fields", "q_edits", "q_report", "q_retrieve", "q_lifecycle", "q_stream"):
-        try:
-            __import__(f"docfields.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"docfields.plans.{mod}":
-                raise
+    from docfields.plans import (  # noqa: F401
+        q_edits, q_fields, q_lifecycle, q_locate, q_report, q_retrieve, q_stream, q_text)
+
     return QUERIES, ORACLES

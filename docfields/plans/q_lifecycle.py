@@ -106,7 +106,7 @@ def m5_delete_workspace_docs(spark, sf_dir):
 @register("M6_filter_uploads", f"""{with_sql("docs")},
 batch AS (SELECT workspace_id, CASE WHEN doc_id % 3 = 0 THEN name ELSE 'new_' || CAST(doc_id % 7 AS VARCHAR) ||
                  CASE WHEN doc_id % 11 = 0 THEN '.pdf' ELSE '.docx' END END AS name, doc_id AS seq FROM docs),
-b AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, name ORDER BY seq) AS rn FROM batch WHERE lower(name) LIKE '%.docx'),
+b AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, name ORDER BY seq) AS rn FROM batch WHERE name LIKE '%.docx'),
 ex AS (SELECT workspace_id, name, min(doc_id) AS existing_id FROM docs GROUP BY ALL)
 SELECT b.workspace_id, b.name, b.seq, ex.existing_id,
        CASE WHEN ex.existing_id IS NOT NULL THEN 'duplicate' WHEN rn > 1 THEN 'duplicate_in_batch' ELSE 'upload' END AS action

@@ -114,7 +114,7 @@ SELECT workspace_id FROM orders_ws
 WHERE contains(lower(name || ' ' || coalesce(CAST(event_date AS VARCHAR), '')), '1996-03')""")
 def p3_search_haystack(spark, sf_dir):
     """Search over name + date text."""
-    return R.search_haystack(FX.orders_ws(spark, sf_dir), "1996-03").select("workspace_id")
+    return R.search_haystack(FX.orders_ws(spark, sf_dir), " 1996-03 ").select("workspace_id")
 
 
 @register("P4_apply_scope", f"""{with_sql("workspaces")}

@@ -91,7 +91,7 @@ def r2_fold_messages_stream(spark, sf_dir):
     ev = e.select(F.col("user_id").alias("thread_id"), typ.alias("type"), F.col("props").alias("content"),
                   F.col("event_id").alias("seq"))
     name = f"r2_{uuid.uuid4().hex[:8]}"
-    out = C.run_to_table(C.fold_messages_stream(ev), name, _ckpt(spark, name))
+    out = C.run_to_table(C.fold_messages_stream(ev), name, _ckpt(spark, name), keys=["thread_id"])
     return out.select("thread_id", F.sha2("text", 256).alias("digest"), "n_tokens", "n_errors", "meta")
 
 

@@ -318,7 +318,7 @@ P8_INPUT = """text || CASE WHEN turn % 3 = 0 THEN ' @' || role WHEN turn % 3 = 1
 @register("P8_mention_query", f"""
 SELECT conv_id, turn,
        CASE WHEN regexp_matches({P8_INPUT}, '(?:^|\\s)@([^\\s@]*)$') THEN regexp_extract({P8_INPUT}, '(?:^|\\s)@([^\\s@]*)$', 1) END AS mention,
-       trim(regexp_replace(regexp_replace({P8_INPUT}, '(?:^|\\s)@([^\\s@]*)$', ' '), '\\s+', ' ', 'g')) AS stripped
+       ltrim(regexp_replace(regexp_replace({P8_INPUT}, '(?:^|\\s)@([^\\s@]*)$', ' '), '\\s+', ' ', 'g')) AS stripped
 FROM conversations""")
 def p8_mention_query(spark, sf_dir):
     """Trailing '@' mention query, and the text with the mention removed."""

@@ -23,16 +23,23 @@ def encode_frames(events: DataFrame) -> DataFrame:
         F.lit("data: "), F.to_json(F.struct("type", "content", "thread_id", "seq")), F.lit("\n\n")).alias("frame"))
 
 
-def parse_frames(chunks: DataFrame, text_col: str = "chunk", keys: list[str] | None = None) -> DataFrame:
+def parse_frames(chunks: DataFrame, text_col: str = "chunk", keys: list[str] | None = None,
+                 order: str | None = None) -> DataFrame:
     """Frames end with a blank line; the ``data:`` lines of a frame are trimmed and
     joined by newline, then parsed as JSON; bad frames are skipped; the text after
-    the last blank line is an incomplete remainder (returned as ``remainder``)."""
+    the last blank line is an incomplete remainder (returned as ``remainder``).
+    With ``order`` the chunks of one stream (``keys``) are put together first, so a frame
+    cut by a chunk border is whole again."""
     keys = keys or []
+    if order:
+        chunks = chunks.groupBy(*keys).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t")))),
+            lambda x: x["t"]), "").alias(text_col))
     parts = F.split(F.col(text_col), "\n\n", -1)
     complete = F.slice(parts, 1, F.size(parts) - 1)
     ex = chunks.select(*keys, F.posexplode(complete).alias("frame_idx", "frame"))
     lines = F.split("frame", "\n", -1)
-    data = F.transform(F.filter(lines, lambda l: l.startswith("data:")), lambda l: F.trim(F.substring(l, 6, 1 << 30)))
+    data = F.transform(F.filter(lines, lambda l: l.startswith("data:")), lambda l: T.py_strip(F.substring(l, 6, 1 << 30)))
     payload = F.array_join(data, "\n")
     parsed = F.from_json(payload, FRAME_SCHEMA)
     ok = F.get_json_object(payload, "$").isNotNull() & payload.startswith("{")
@@ -98,17 +105,20 @@ def _fold_state(key, pdfs, state):
         text, cut, n_tok, n_err, meta, meta_seq = state.get
     else:
         text, cut, n_tok, n_err, meta, meta_seq = "", False, 0, 0, None, -1
-    for pdf in pdfs:
-        for typ, content, seq in pdf.sort_values("seq")[["type", "content", "seq"]].itertuples(index=False):
-            if typ == "token":
-                text += content or ""
-                n_tok += 1
-            elif typ == "tool_start" and not cut:
-                text, n_tok, cut = "", 0, True
-            elif typ == "error":
-                n_err += 1
-            elif typ == "meta" and seq > meta_seq:
-                meta, meta_seq = content, seq
+    # a call may hand a long thread over in several frames: order them as one
+    events = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+    if not cut and (events["type"] == "tool_start").any():
+        text, n_tok, cut = "", 0, True
+        first = events.loc[events["type"] == "tool_start", "seq"].iloc[0]
+        said = events[(events["type"] == "token") & (events["seq"] > first)]
+    else:
+        said = events[events["type"] == "token"]
+    text += "".join(said["content"].fillna(""))
+    n_tok += len(said)
+    n_err += int((events["type"] == "error").sum())
+    metas = events[(events["type"] == "meta") & (events["seq"] > meta_seq)]
+    if len(metas):
+        meta, meta_seq = metas["content"].iloc[-1], int(metas["seq"].iloc[-1])
     state.update((text, cut, n_tok, n_err, meta, meta_seq))
     yield pd.DataFrame([{"thread_id": key[0], "text": text, "n_tokens": n_tok, "n_errors": n_err, "meta": meta}])
 
@@ -130,10 +140,19 @@ def usage_stream(calls_stream: DataFrame) -> DataFrame:
         F.sum("output_tokens").alias("output_tokens"))
 
 
-def run_to_table(stream_df: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """Run a streaming query over all available input (availableNow) into a memory
-    table and return it as a batch DataFrame."""
-    q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def run_to_table(stream_df: DataFrame, name: str, checkpoint: str, mode: str = "update",
+                 keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming query over all available input (availableNow) into a Parquet table beside the
+    stream's checkpoint.  Each micro-batch overwrites a folder of its own, so a repeated batch changes
+    nothing; of every key (``update``) or of the whole (``complete``) the latest batch counts."""
+    spark, out, cols = stream_df.sparkSession, f"{checkpoint}-table", stream_df.columns
+    schema = Ty.StructType([*stream_df.schema.fields, Ty.StructField("batch", Ty.LongType())])
+    spark.createDataFrame([], stream_df.schema).write.parquet(f"{out}/batch=-1")
+    q = (stream_df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream_df.sparkSession.table(name)
+    rows = spark.read.schema(schema).parquet(out)
+    if mode == "complete":
+        return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select(cols)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("row")).select("row.*")

@@ -11,18 +11,10 @@ ALPHA = "ab|#-> \nçé"
 
 
 def py_chunks(text, size=1800, overlap=250):
-    if not text:
-        return []
-    if len(text) <= size:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        out.append(text[start:end])
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    """Chunk i starts at i * (size - overlap); the last one is the first to reach the end."""
+    step = size - overlap
+    n = 1 + max(0, -(-(len(text) - size) // step)) if text else 0
+    return [text[i * step:i * step + size] for i in range(n)]
 
 
 def lcs_dp(a, b):
