@@ -26,7 +26,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048,
+                          keep_cache=True)
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text at white space before any merge, so a text's ids are the ids of
 its units in a row: a unit is a run of non-blanks (for the byte-level vocabulary with the blank
-before it), or a run of white space.  Each distinct unit is encoded once per task (the cache holds
-about ``CACHE_UNITS`` at most and starts anew when full); texts with
+before it), or a run of white space.  Each distinct unit is encoded once while the cache of the
+worker holds it; a full cache starts anew, and a task may free it at its end; texts with
 the four separator controls on which Python and the library disagree are encoded whole.
 """
 from __future__ import annotations
@@ -21,7 +21,8 @@ _TAIL = re.compile("(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?|
 #: Units of plain letters, which each vocabulary keeps as one piece.
 _LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SPECIAL = "<|endoftext|>"
-CACHE_UNITS = 700_000
+#: Units a cache may hold (about 200 bytes each): while a worker serves one tokenizer, and where others follow.
+KEPT_UNITS, CACHE_UNITS = 1_200_000, 700_000
 
 
 class UnitTokenizer:
@@ -41,6 +42,7 @@ class UnitTokenizer:
         else:
             self.line = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.cache: dict[str, bytes] = {}
+        self.limit = CACHE_UNITS
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -92,7 +94,7 @@ class UnitTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text; null = empty."""
         cache = self.cache
-        if len(cache) > CACHE_UNITS:
+        if len(cache) > self.limit:
             cache.clear()
         units: list[list[str] | None] = []
         seen: set[str] = set()
@@ -108,10 +110,11 @@ class UnitTokenizer:
         return [self._whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, units)]
 
 
-def tokenizer(path: str) -> UnitTokenizer:
-    """The tokenizer of this Python worker."""
+def tokenizer(path: str, keep: bool = False) -> UnitTokenizer:
+    """The tokenizer of this Python worker; ``keep`` lets its cache grow and outlast the task."""
     if path not in _LOADED:
         _LOADED[path] = UnitTokenizer(path)
+    _LOADED[path].limit = KEPT_UNITS if keep else CACHE_UNITS
     return _LOADED[path]
 
 
