@@ -97,7 +97,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, k, ids) written to the shared folder: each text is tokenized once.  ``k`` is the hash of
     the text; ids are little-endian, of two bytes where the vocabulary allows it."""
     def run(batches):
-        tok = tokenizer(tokenizer_path, keep=True)
+        tok = tokenizer(tokenizer_path)
         kind, end = id_type(tok.vocab_size), np.array([END_ID], np.uint32).tobytes()
         for b in batches:
             for at, texts in text_groups(b.column("text")):
@@ -105,6 +105,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 part = b.slice(at, len(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "k", "ids"])
+        tok.forget()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
     return write_table(rows.mapInArrow(run, "doc_id long, k long, ids binary"), "tokenized")
 
