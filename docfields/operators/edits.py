@@ -10,14 +10,13 @@ def attach_pairs(docs: DataFrame, pairs: DataFrame, key: str | None = None) -> D
 
     pairs: (seq, old, new[, key]).  With ``key`` (e.g. workspace_id or doc_id) every
     document gets its own list through an equi-join; without a key the one global
-    list (a bounded request parameter) is broadcast on a constant join key."""
+    list (a request parameter) is a scalar subquery, not a join."""
     cols = F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("pairs")
     if key:
         plist = pairs.groupBy(key).agg(cols)
         return docs.join(plist, key, "left").withColumn(
-            "pairs", F.coalesce("pairs", F.array().cast("array<struct<seq:bigint,old:string,new:string>>")))
-    plist = pairs.agg(cols).withColumn("__k", F.lit(0))
-    return docs.withColumn("__k", F.lit(0)).join(F.broadcast(plist), "__k").drop("__k")
+            "pairs", F.coalesce("pairs", F.array().cast(plist.schema["pairs"].dataType)))
+    return docs.withColumn("pairs", pairs.agg(cols).scalar())
 
 
 ARR_STR = "array<string>"
@@ -73,7 +72,7 @@ def replace_runs(runs: DataFrame, pairs: DataFrame, key: str | None = None) -> D
     the overflow); a paragraph without the old text is left as is.  Returns one row per
     paragraph: (doc_id, para_idx, runs ARRAY<STRING>, count).
     """
-    from docfields.functions.text import count_nonoverlapping
+    from docfields.functions.text import count_nonoverlapping, running_starts
 
     paras = runs.groupBy("doc_id", "para_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "text"))), lambda x: x["text"]).alias("runs"))
@@ -81,12 +80,6 @@ def replace_runs(runs: DataFrame, pairs: DataFrame, key: str | None = None) -> D
         paras = paras.join(runs.select("doc_id", key).distinct(), "doc_id")
     paras = attach_pairs(paras, pairs, key)
 
-    def offsets(rs):
-        return F.aggregate(
-            rs, F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a")),
-            lambda acc, r: F.struct((acc["s"] + F.length(r)).alias("s"), F.array_append(acc["a"], acc["s"]).alias("a")),
-            lambda acc: acc["a"])
-
     def step(st, p):
         rs = st["runs"]
         combined = F.array_join(rs, "")
@@ -95,7 +88,7 @@ def replace_runs(runs: DataFrame, pairs: DataFrame, key: str | None = None) -> D
         replaced = F.replace(combined, old, new)
         n = F.size(rs)
         # offsets are computed once per pair (zipped), never per element
-        zipped = F.arrays_zip(rs.alias("r"), offsets(rs).alias("o"))
+        zipped = F.arrays_zip(rs.alias("r"), running_starts(F.transform(rs, F.length)).alias("o"))
         new_runs = F.transform(zipped, lambda z, i: F.when(
             i == n - 1, F.substring(replaced, z["o"] + 1, 1 << 30)
         ).otherwise(F.substring(replaced, z["o"] + 1, F.length(z["r"]))))

@@ -7,8 +7,10 @@ Data shapes:
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -30,18 +32,10 @@ RULE_PREFILTERS = {
     "money": ("$", "€", "£"), "license": ("opyright", "icen"),
 }
 MIN_CHARS = 50
-MAX_MODEL_CHARS = 8000
+MODEL_WINDOW_CHARS = 8000
 FUZZY_THRESHOLD = 85
 RULE_SLOTS = 16
-
-DOC_FIELDS_SCHEMA = Ty.StructType([
-    Ty.StructField("workspace_id", Ty.StringType()),
-    Ty.StructField("doc_id", Ty.LongType()),
-    Ty.StructField("seq", Ty.LongType()),
-    Ty.StructField("field_key", Ty.StringType()),
-    Ty.StructField("label", Ty.StringType()),
-    Ty.StructField("refs", Ty.ArrayType(Ty.StringType())),
-])
+UDF_SLOTS = 1 << 20
 
 
 # ----------------------------------------------------------------------------- P5 / V1
@@ -76,49 +70,51 @@ def extract_fields_rules(docs: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     ]
     ex = docs.select("workspace_id", "doc_id", F.inline(F.array(*structs)))
     return ex.where(F.size("refs") > 0).select(
-        "workspace_id", "doc_id", (F.col("doc_id") * RULE_SLOTS + F.col("slot")).alias("seq"),
+        "workspace_id", "doc_id", (F.col("doc_id") * max(RULE_SLOTS, len(structs)) + F.col("slot")).alias("seq"),
         "field_key", "label", "refs")
 
 
-def extract_fields_udf(docs: DataFrame, extractor: Callable, instructions: str = "",
-                       fuzzy: bool = True, max_chars: int = MAX_MODEL_CHARS) -> DataFrame:
+def extract_fields_udf(docs: DataFrame, extractor: Callable, instructions: str = "", fuzzy: bool = True,
+                       window_chars: int = MODEL_WINDOW_CHARS, overlap: int = 250) -> DataFrame:
     """V1 with a user callable ``extractor(name, text, instructions) -> str | dict``.
 
-    Runs per Arrow batch with ``mapInPandas``.  A string answer is cut from the first
-    '{' to the last '}' (X14) and parsed; errors skip that document; references are
-    de-duplicated exactly, then fuzzily (U3) within each field.
-    """
-    import json
-
-    def run(batches):
-        import pandas as pd
-
-        from docfields.operators.fuzzy import fuzzy_dedupe
-
-        for pdf in batches:
-            out = []
-            for ws, doc_id, name, text in zip(pdf["workspace_id"], pdf["doc_id"], pdf["name"], pdf["text"]):
-                try:
-                    ans = extractor(name, (text or "")[:max_chars], instructions.strip())
-                    if isinstance(ans, str):
-                        s, e = ans.find("{"), ans.rfind("}") + 1
-                        if s == -1:
-                            continue
-                        ans = json.loads(ans[s:e])
-                    if "$schema" in ans:
-                        ans = ans.get("properties", {})
-                except Exception:  # noqa: BLE001 - a failing document is skipped
-                    continue
-                for slot, (key, val) in enumerate(ans.items()):
-                    if not isinstance(val, dict):
-                        continue
-                    refs = list(dict.fromkeys(r for r in (val.get("references") or []) if isinstance(r, str)))
-                    if fuzzy:
-                        refs = fuzzy_dedupe(refs, FUZZY_THRESHOLD)
-                    out.append((ws, int(doc_id), int(doc_id) * 4096 + slot, key, val.get("label"), refs))
-            yield pd.DataFrame(out, columns=[f.name for f in DOC_FIELDS_SCHEMA.fields])
-
-    return docs.select("workspace_id", "doc_id", "name", "text").mapInPandas(run, DOC_FIELDS_SCHEMA)
+    The callable sees every overlapping window (X19) of the whole text, so that nothing behind a
+    model's budget is lost; it only returns an answer, an error counts as none.  The rest is Spark:
+    the JSON is cut out (X14), a ``$schema`` answer is read through its ``properties``, and the fields
+    of a document's windows are united in order (U1), then thinned fuzzily (U3)."""
+    instructions = instructions.strip()
+
+    @F.pandas_udf(Ty.StringType())
+    def answer(name: pd.Series, text: pd.Series) -> pd.Series:
+        def ask(n, t):
+            try:
+                got = extractor(n, t, instructions)
+            except Exception:  # noqa: BLE001 - a failing window gives no fields
+                return None
+            return got if got is None or isinstance(got, str) else json.dumps(got)
+        return pd.Series([ask(n, t) for n, t in zip(name, text)], dtype=object)
+
+    keys = ["workspace_id", "doc_id"]
+    windows = docs.select(*keys, "name", F.posexplode(T.chunks("text", window_chars, overlap)).alias("win", "part"))
+    top = F.from_json(T.json_object_text(answer("name", "part")), "map<string,string>")
+    entries = windows.select(*keys, "win", top.alias("m")).select(*keys, "win", F.posexplode(
+        F.when(F.map_contains_key("m", F.lit("$schema")), F.from_json(F.col("m")["properties"], "map<string,string>"))
+        .otherwise(F.col("m"))).alias("pos", "field_key", "val"))
+    v = F.from_json("val", "struct<label:string, references:array<string>>")
+    found = entries.where(F.col("val").startswith("{")).select(
+        *keys, "field_key", F.struct("win", "pos").alias("at"), v["label"].alias("label"),
+        F.filter(F.coalesce(v["references"], F.array().cast("array<string>")), lambda r: r.isNotNull()).alias("refs"))
+    # one document's answers: its windows bound the size
+    per_doc = found.groupBy(*keys, "field_key").agg(
+        F.min("at").alias("at"), F.min_by("label", "at").alias("label"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "refs"))),
+                                               lambda x: x["refs"]))).alias("refs"))
+    if fuzzy:
+        from docfields.operators.fuzzy import fuzzy_dedupe_col
+
+        per_doc = per_doc.withColumn("refs", fuzzy_dedupe_col("refs", FUZZY_THRESHOLD))
+    slot = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
+    return per_doc.select(*keys, (F.col("doc_id") * UDF_SLOTS + slot).alias("seq"), "field_key", "label", "refs")
 
 
 # ----------------------------------------------------------------------------- A1 / A2 / W1
@@ -271,11 +267,14 @@ def apply_field_edits(fields: DataFrame, edits: DataFrame, keys: list[str] | Non
 
     edits: (keys..., field_key, seq, op, ref, new_ref, label) with op in
     add | remove | rename | delete | create | set_label.  ``create`` derives the key
-    from ``label`` (lower, whitespace runs to '_').  add: trimmed blank or existing
-    ignored, the value is prepended; rename: to the trimmed new value; remove: drops it.
+    from ``label`` (lower, whitespace runs to '_') and starts the field anew, an existing
+    one too: the label as given, no references; a blank label is ignored.  set_label:
+    trimmed, blank ignored.  add: trimmed blank or existing ignored, the value is
+    prepended; rename: to the trimmed new value; remove: drops it.
     """
     keys = keys or ["workspace_id"]
-    e = edits.withColumn("field_key", F.when(F.col("op") == "create", T.new_field_key("label"))
+    named = F.length(T.py_strip(F.coalesce("label", F.lit("")))) > 0
+    e = edits.where(~F.col("op").isin("create", "set_label") | named).withColumn("field_key", F.when(F.col("op") == "create", T.new_field_key("label"))
                          .otherwise(F.col("field_key")))
     logs = e.groupBy(*keys, "field_key").agg(F.array_sort(F.collect_list(
         F.struct("seq", "op", "ref", "new_ref", "label"))).alias("log"))
@@ -294,10 +293,10 @@ def apply_field_edits(fields: DataFrame, edits: DataFrame, keys: list[str] | Non
             .when(op == "remove", F.array_remove(st["refs"], x["ref"]))
             .when((op == "rename") & (F.length(T.py_strip(x["new_ref"])) > 0),
                   F.transform(st["refs"], lambda r: F.when(r == x["ref"], T.py_strip(x["new_ref"])).otherwise(r)))
-            .when(op == "create", F.when(st["exists"], st["refs"]).otherwise(F.array().cast("array<string>")))
+            .when(op == "create", F.array().cast("array<string>"))
             .otherwise(st["refs"]))
         exists = F.when(op == "delete", F.lit(False)).when(op == "create", F.lit(True)).otherwise(st["exists"])
-        label = F.when(op.isin("set_label", "create") & ~(st["exists"] & (op == "create")), x["label"]) \
+        label = F.when(op == "create", x["label"]).when((op == "set_label") & st["exists"], T.py_strip(x["label"])) \
             .otherwise(st["label"])
         return F.struct(exists.alias("exists"), label.alias("label"), refs.alias("refs"))
 

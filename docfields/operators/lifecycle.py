@@ -20,7 +20,6 @@ DEFAULT_MODEL_BY_PROVIDER = {
 FALLBACK_MODEL = "gpt-4.1-mini"
 TTL_SERVER = 3600
 TTL_BROWSER = 24 * 3600
-FINGERPRINT_INSTRUCTIONS_CHARS = 500
 
 
 # ----------------------------------------------------------------------------- scans / sinks
@@ -118,11 +117,13 @@ def filter_uploads(batch: DataFrame, docs: DataFrame) -> DataFrame:
                     .when(F.col("__rn") > 1, F.lit("duplicate_in_batch")).otherwise(F.lit("upload")).alias("action"))
 
 
-def replace_config(rows: DataFrame, user_col: str = "user_id") -> DataFrame:
-    """M7: a user's new ordered list replaces the old one; order = position.
-    rows: (user_id, cols ARRAY<STRUCT<name, description>>)."""
-    return rows.select(user_col, F.posexplode("cols").alias("order", "c")).select(
+def replace_config(base: DataFrame, rows: DataFrame, user_col: str = "user_id") -> DataFrame:
+    """M7: a user's new ordered list replaces all of the user's old rows (an empty list leaves
+    none); order = position.  Other users keep theirs.
+    base: (user_id, name, description, order); rows: (user_id, cols ARRAY<STRUCT<name, description>>)."""
+    new = rows.select(user_col, F.posexplode("cols").alias("order", "c")).select(
         user_col, F.col("c.name").alias("name"), F.col("c.description").alias("description"), "order")
+    return base.join(rows.select(user_col), user_col, "left_anti").unionByName(new.select(*base.columns))
 
 
 STATUS_BY_OUTCOME = (("ok", "ready"), ("failed", "failed"), ("error", "error"), ("no_config", "not_configured"))
@@ -151,26 +152,35 @@ def classify_changes(base: DataFrame, changes: DataFrame, key: list[str]) -> Dat
     return j.withColumn("action", F.when(F.col("__present"), F.lit("rotated")).otherwise(F.lit("created"))).drop("__present")
 
 
+def revoke(keys: DataFrame, user_id, provider: str, key: str = "user_id") -> DataFrame:
+    """The user's key rows of a provider become 'revoked'; no such row is an error."""
+    hit = (F.col(key) == F.lit(user_id)) & (F.col("provider") == provider)
+    if keys.where(hit).isEmpty():
+        raise ValueError(f"no key of {user_id!r} for {provider!r}")
+    return update_where(keys, hit, {"status": "revoked"})
+
+
 # ----------------------------------------------------------------------------- caches, hashing
 def fingerprint(docs: DataFrame, group: str = "workspace_id", order: str = "doc_id", instructions: str = "",
                 prefix_chars: int | None = None, paths_col: str | None = None) -> DataFrame:
-    """SHA-256 over ``name:text`` of each document in order, the attached paths and
-    the trimmed instructions.  Whole texts and instructions by default (D6);
-    ``prefix_chars`` reproduces the reference's 1000-character cut."""
+    """SHA-256 over ``name:text`` of each document in order, ``docx:path`` of each attached
+    path and ``user_instructions:`` with the trimmed instructions, joined without separators.
+    Whole texts and instructions by default (D6); ``prefix_chars`` cuts the texts."""
     txt = F.col("text") if prefix_chars is None else F.substring("text", 1, prefix_chars)
     part = F.concat(F.col("name"), F.lit(":"), F.coalesce(txt, F.lit("")))
     g = docs.groupBy(group).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"),
-                                             (F.col(paths_col) if paths_col else F.lit("")).alias("path")))).alias("l"))
-    body = F.concat(F.array_join(F.transform("l", lambda x: x["p"]), "|"), F.lit("||"),
-                    F.array_join(F.transform("l", lambda x: x["path"]), "|"), F.lit("||"),
-                    F.lit(instructions.strip()))
+                                             (F.concat(F.lit("docx:"), F.col(paths_col)) if paths_col
+                                              else F.lit("")).alias("path")))).alias("l"))
+    body = F.concat(F.array_join(F.transform("l", lambda x: x["p"]), ""),
+                    F.array_join(F.transform("l", lambda x: x["path"]), ""),
+                    F.lit("user_instructions:" + instructions.strip()))
     return g.select(group, F.sha2(body, 256).alias("fingerprint"))
 
 
 def doc_fingerprint(name: Column, text: Column) -> Column:
     """X9 for a single document input."""
-    return F.sha2(F.concat(name, F.lit(":"), F.coalesce(text, F.lit("")), F.lit("||||")), 256)
+    return F.sha2(F.concat(name, F.lit(":"), F.coalesce(text, F.lit("")), F.lit("user_instructions:")), 256)
 
 
 def fresh(df: DataFrame, as_of: str, ttl_seconds: int = TTL_SERVER, ts: str = "stored_at") -> DataFrame:
@@ -225,8 +235,8 @@ def usage_summary(calls: DataFrame, key: str = "run_id") -> DataFrame:
         F.sum("output_tokens").alias("output_tokens"), F.sum("prompt_chars").alias("prompt_chars"))
     return g.select(key, "calls", "input_tokens", "output_tokens",
                     (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), "prompt_chars",
-                    F.floor(F.col("input_tokens") / F.col("calls")).cast("bigint").alias("avg_input_tokens"),
-                    F.floor(F.col("output_tokens") / F.col("calls")).cast("bigint").alias("avg_output_tokens"))
+                    F.expr("input_tokens div calls").alias("avg_input_tokens"),
+                    F.expr("output_tokens div calls").alias("avg_output_tokens"))
 
 
 def cost(summary: DataFrame, in_price: float = 0.0, out_price: float = 0.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import text as T
+from docfields.session import cut_lineage
 
 SYSTEM_COLUMNS = ("S.No", "Event Date", "Event Name")
 DOC_SEPARATOR = "\n\n---\n\n"
@@ -31,6 +32,12 @@ def split_by_docs(ws: DataFrame, docs: DataFrame, key: str = "workspace_id") ->
     return ws.join(d, key, "left_semi"), ws.join(d, key, "left_anti")
 
 
+def flag_docs(ws: DataFrame, docs: DataFrame, key: str = "workspace_id") -> DataFrame:
+    """J6 in one join: every workspace with ``has_docs``."""
+    d = docs.select(key).distinct().withColumn("has_docs", F.lit(True))
+    return ws.join(d, key, "left").withColumn("has_docs", F.coalesce("has_docs", F.lit(False)))
+
+
 def doc_counts(docs: DataFrame, key: str = "workspace_id") -> DataFrame:
     """Exact document count per workspace."""
     return docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -40,7 +47,7 @@ def column_hints(cols: DataFrame, config: DataFrame) -> DataFrame:
     """Requested columns with the user's description; duplicates: last wins.
     cols: (name, pos); config: (name, description, order)."""
     last = config.groupBy("name").agg(F.max_by("description", "order").alias("description"))
-    return cols.join(F.broadcast(last), "name", "left")
+    return cols.join(last, "name", "left")
 
 
 def field_context(fields: DataFrame, locations: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -73,7 +80,7 @@ def resolve_default(fields: DataFrame, columns: DataFrame, keys: list[str] | Non
     ct = columns.select("name", F.explode(T.keyword_tokens(F.concat_ws(" ", "name", "description"))).alias("tok"))
     ft = fields.select(*keys, "field_key", F.explode(T.keyword_tokens(
         F.concat_ws(" ", T.display_key("field_key"), "label"))).alias("tok"))
-    ov = ft.join(F.broadcast(ct), "tok").groupBy(*keys, "field_key", "name").agg(F.count(F.lit(1)).alias("overlap"))
+    ov = ft.join(ct, "tok").groupBy(*keys, "field_key", "name").agg(F.count(F.lit(1)).alias("overlap"))
     rank = F.col("rank") if "rank" in fields.columns else F.col("seq")
     cand = ov.join(fields.select(*keys, "field_key", rank.alias("frank"), F.element_at("refs", 1).alias("value")),
                    [*keys, "field_key"])
@@ -88,10 +95,10 @@ def report_values(ws: DataFrame, fields: DataFrame, columns: DataFrame, resolver
     cols = columns.select("name", "description", F.col("order").alias("col_order"))
     llm_cols = cols.where(~F.col("name").isin(*SYSTEM_COLUMNS))
     resolved = resolver(fields, llm_cols)
-    # every workspace x every requested column: the column list is a small request
-    # parameter, broadcast on a constant key
-    grid = ws.select("workspace_id", F.col("name").alias("ws_name"), "event_date", "created_at", F.lit(0).alias("__k")) \
-        .join(F.broadcast(cols.select("name", "col_order", F.lit(0).alias("__k"))), "__k").drop("__k")
+    # every workspace with every requested column: the column list is a request parameter, a scalar subquery
+    requested = cols.agg(F.collect_list(F.struct("name", "col_order"))).scalar()
+    grid = ws.select("workspace_id", F.col("name").alias("ws_name"), "event_date", "created_at",
+                     requested.alias("cols")).select("workspace_id", "ws_name", "event_date", "created_at", F.inline("cols"))
     j = grid.join(resolved, (grid["workspace_id"] == resolved["workspace_id"]) & (grid["name"] == resolved["column"]), "left") \
         .drop(resolved["workspace_id"])
     value = (F.when(F.col("name") == "Event Name", F.col("ws_name"))
@@ -112,15 +119,16 @@ def split_resolved(values: DataFrame) -> DataFrame:
     ).withColumn("outcome", F.when(F.size("unresolved_columns") > 0, F.lit("unresolved")).otherwise(F.lit("valid")))
 
 
-def number_rows(df: DataFrame, order: list, col: str = "S.No", method: str = "window") -> DataFrame:
-    """Serial numbers 1..n in report order.  ``window`` uses one global window
-    (fine for report-sized sets); ``partition_offsets`` sorts, counts rows per
-    partition and adds the running offsets (two passes, no single-partition step)."""
-    if method == "window":
-        return df.withColumn(col, F.row_number().over(Window.orderBy(*order)))
-    sorted_df = df.orderBy(*order)
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1] + 1))
-    return df.sparkSession.createDataFrame(rdd, sorted_df.schema.add(col, "long"))
+def number_rows(df: DataFrame, order: list, col: str = "S.No") -> DataFrame:
+    """Serial numbers 1..n in report order, without one task that sees all rows: the rows are
+    ranged by the order and cut (so the ranges stay what they are), numbered inside each range, and
+    shifted by the row counts of the ranges before it (one small row a range)."""
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    shift = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__shift"))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranged.withColumn("__i", within).join(shift, "__p").withColumn(
+        col, (F.col("__shift") + F.col("__i")).cast("int")).drop("__p", "__i", "__shift")
 
 
 def pivot_report(values: DataFrame, cols: list[str]) -> DataFrame:
@@ -154,13 +162,18 @@ def concat_docs(docs: DataFrame, picks: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), DOC_SEPARATOR).alias("context"))
 
 
-def resolve_from_text(context: DataFrame, missing: DataFrame) -> DataFrame:
-    """V4 default: value of a ``Column: value`` line in the concatenated text.
-    context: (workspace_id, context); missing: (workspace_id, column)."""
-    j = missing.join(context, "workspace_id", "left")
+def resolve_from_docs(docs: DataFrame, missing: DataFrame, order: str = "doc_id") -> DataFrame:
+    """V4 default: value of the first ``Column: value`` line of the workspace's documents in order.
+    Each document is searched by itself and the first hit is kept, so no workspace's texts are
+    joined into one string.  docs: (workspace_id, doc_id, text); missing: (workspace_id, column)."""
+    wanted = missing.groupBy("workspace_id").agg(F.collect_set("column").alias("columns"))
+    j = docs.select("workspace_id", F.col(order).alias("__o"), "text").join(wanted, "workspace_id") \
+        .select("workspace_id", "__o", "text", F.explode("columns").alias("column"))
     pat = F.concat(F.lit("(?im)^[ \\t]*"), T.regex_quote("column"), F.lit("[ \\t]*:[ \\t]*(.+)$"))
-    v = F.call_function("regexp_extract", F.coalesce("context", F.lit("")), pat, F.lit(1))
-    return j.select("workspace_id", "column", F.when(v != "", T.py_strip(v)).alias("value"))
+    v = F.call_function("regexp_extract", F.col("text"), pat, F.lit(1))
+    hits = j.select("workspace_id", "column", "__o", v.alias("v")).where(F.col("v") != "")
+    first = hits.groupBy("workspace_id", "column").agg(T.py_strip(F.min_by("v", "__o")).alias("value"))
+    return missing.join(first, ["workspace_id", "column"], "left")
 
 
 def fill_rows(partial: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ One Spark job graph for all workspaces at once.  Shuffles: A1 by
 (workspace, field_key) after per-reference pre-aggregation; J5 by reference;
 J4 equi-joins locations to (workspace, reference) pairs.  J1 inside J4 needs no
 shuffle of documents when the reference list is broadcast (size-checked).
+
+The per-document fields are extracted once and cut (checkpoint in the shared folder),
+as are the merged fields; texts are read again only by J1 and by the sums of A3.
 """
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from docfields.operators import fields as FLD
 from docfields.operators import locate as L
+from docfields.session import cut_lineage
 
 
 def discover(docs: DataFrame, *, extractor: Callable | None = None, instructions: str = "",
@@ -20,15 +24,14 @@ def discover(docs: DataFrame, *, extractor: Callable | None = None, instructions
              strategy: str = "auto") -> dict[str, DataFrame]:
     """docs: (workspace_id, doc_id, name, text).  Returns a dict with
     ``doc_fields``, ``fields`` (ranked, with frequency), ``locations`` and ``stats``."""
+    processed = FLD.discovery_input(docs)
     if extractor is None:
-        processed = FLD.discovery_input(docs)
-        doc_fields = FLD.extract_fields_rules(processed)
+        doc_fields = cut_lineage(FLD.extract_fields_rules(processed))
     else:
-        processed = FLD.discovery_input(docs, max_chars=FLD.MAX_MODEL_CHARS)
-        doc_fields = FLD.extract_fields_udf(processed, extractor, instructions)
-    merged = FLD.merge_fields(doc_fields)
+        doc_fields = cut_lineage(FLD.extract_fields_udf(processed, extractor, instructions))
+    merged = cut_lineage(FLD.merge_fields(doc_fields))
     if consolidate:
-        fields = FLD.consolidate(merged, consolidator)
+        fields = cut_lineage(FLD.consolidate(merged, consolidator))
     else:
         fields = merged
     ranked = FLD.rank_fields(fields)

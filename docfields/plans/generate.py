@@ -21,7 +21,7 @@ def generate(docs: DataFrame, fields: DataFrame, user_values: DataFrame,
     # order of pairs: field order, then reference order (as the UI lists them)
     pairs = pairs.join(fields.select("workspace_id", "field_key", F.col("seq").alias("fseq")),
                        ["workspace_id", "field_key"]) \
-        .select("workspace_id", (F.col("fseq") * 100000 + F.col("ref_pos")).alias("seq"),
+        .select("workspace_id", F.struct("fseq", "ref_pos").alias("seq"),
                 F.col("ref").alias("old"), "new")
     with_pairs = E.attach_pairs(docs, pairs, key="workspace_id")
 

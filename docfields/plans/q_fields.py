@@ -8,6 +8,7 @@ from docfields.operators import locate as L
 from docfields.operators.fuzzy import fuzzy_dedupe_col
 from docfields.plans.discover import discover
 from docfields.plans.registry import register
+from docfields.session import cut_lineage
 from docfields.sources import fixtures as FX
 
 
@@ -15,8 +16,10 @@ def doc_fields(spark, sf_dir):
     return FLD.extract_fields_rules(FLD.discovery_input(FX.documents(spark, sf_dir)))
 
 
-def merged_fields(spark, sf_dir):
-    return FLD.merge_fields(doc_fields(spark, sf_dir))
+def merged_fields(spark, sf_dir, cut=True):
+    """A1 of the default rules; cut (extracted once) where a query reads it more than once."""
+    m = FLD.merge_fields(cut_lineage(doc_fields(spark, sf_dir)) if cut else doc_fields(spark, sf_dir))
+    return cut_lineage(m) if cut else m
 
 
 def _rule_sql(i, key, label, pat):
@@ -61,7 +64,7 @@ def v1_extract_rules(spark, sf_dir):
 SELECT workspace_id, field_key, label, {FLAT_SQL}, doc_frequency, seq FROM merged""")
 def a1_merge_fields(spark, sf_dir):
     """A1: merge per-document fields per workspace (first-seen label and order)."""
-    return _flat(merged_fields(spark, sf_dir))
+    return _flat(merged_fields(spark, sf_dir, cut=False))
 
 
 @register("A2_section_frequency", """
@@ -92,7 +95,7 @@ SELECT workspace_id, field_key, row_number() OVER (PARTITION BY workspace_id
 FROM merged""")
 def w1_rank_fields(spark, sf_dir):
     """Field importance rank per workspace."""
-    return FLD.rank_fields(merged_fields(spark, sf_dir)).select("workspace_id", "field_key", "rank")
+    return FLD.rank_fields(merged_fields(spark, sf_dir, cut=False)).select("workspace_id", "field_key", "rank")
 
 
 LINEAGE_SQL = MERGED_SQL + """,
@@ -224,39 +227,49 @@ def _edits(spark, m):
     e7 = m.where(F.col("field_key") == "email").select(
         "workspace_id", F.lit("contact_person"), F.lit(7).cast("bigint"), F.lit("add"), F.lit("someone"),
         F.lit(None).cast("string"), F.lit(None).cast("string"))
-    return e1.union(e2).union(e3).union(e4).union(e5).union(e6).union(e7)
+    none = F.lit(None).cast("string")
+    # a trimmed label, a blank one (ignored), a blank create (ignored), a create over an existing key
+    e8 = m.where(F.col("field_key") == "email").select(
+        "workspace_id", "field_key", F.lit(8).cast("bigint"), F.lit("set_label"), none, none, F.lit("  E-mail "))
+    e9 = m.where(F.col("field_key") == "email").select(
+        "workspace_id", "field_key", F.lit(9).cast("bigint"), F.explode(F.array(F.lit("set_label"), F.lit("create"))),
+        none, none, F.lit("   "))
+    odd = m.where((F.col("field_key") == "phone") & (F.col("doc_frequency") % 2 == 1))
+    e10 = odd.select("workspace_id", F.lit(None).cast("string"), F.lit(10).cast("bigint"), F.lit("create"), none, none,
+                     F.lit("PHONE"))
+    e11 = odd.select("workspace_id", "field_key", F.lit(11).cast("bigint"), F.lit("add"), F.lit("p1"), none, none)
+    return e1.union(e2).union(e3).union(e4).union(e5).union(e6).union(e7).union(e8).union(e9).union(e10).union(e11)
 
 
 @register("M11_field_edits", f"""WITH {MERGED_SQL},
-s1 AS (SELECT workspace_id, field_key, refs[1] AS first_ref, refs[-1] AS last_ref,
+s1 AS (SELECT workspace_id, field_key, label, doc_frequency, refs[1] AS first_ref, refs[-1] AS last_ref,
               list_prepend('  new ref ', list_prepend('  new ref ', refs)) AS refs FROM merged),
-s2 AS (SELECT workspace_id, field_key, last_ref,
+s2 AS (SELECT workspace_id, field_key, label, doc_frequency, last_ref,
               list_transform(refs, lambda r: CASE WHEN r = first_ref THEN 'renamed' ELSE r END) AS refs FROM s1),
 s3 AS (SELECT workspace_id, field_key,
-              CASE WHEN field_key = 'phone' THEN list_filter(refs, lambda r: r <> last_ref) ELSE refs END AS refs
+              CASE WHEN field_key = 'email' THEN 'E-mail' WHEN field_key = 'phone' AND doc_frequency % 2 = 1 THEN 'PHONE'
+                   ELSE label END AS label,
+              CASE WHEN field_key = 'phone' AND doc_frequency % 2 = 1 THEN ['p1']
+                   WHEN field_key = 'phone' THEN list_filter(refs, lambda r: r <> last_ref) ELSE refs END AS refs
        FROM s2),
 s5 AS (SELECT * FROM s3 WHERE field_key <> 'license'
-       UNION ALL SELECT DISTINCT workspace_id, 'contact_person', ['someone'] FROM merged WHERE field_key = 'email')
-SELECT workspace_id, field_key, array_to_string(refs, ' | ') AS refs FROM s5""")
+       UNION ALL SELECT DISTINCT workspace_id, 'contact_person', 'Contact  Person', ['someone'] FROM merged WHERE field_key = 'email')
+SELECT workspace_id, field_key, label, array_to_string(refs, ' | ') AS refs FROM s5""")
 def m11_field_edits(spark, sf_dir):
     """Ordered field edit log folded over the reference lists."""
     m = merged_fields(spark, sf_dir)
     out = FLD.apply_field_edits(m, _edits(spark, m))
-    return out.select("workspace_id", "field_key", F.array_join("refs", " | ").alias("refs"))
-
-
-S6_JSON = ("'{\"schema\": {\"document_fields\": {\"fields\": {\"' || field_key || '\": {\"label\": \"' || label "
-           "|| '\", \"references\": [\"' || refs[1] || '\"]}, \"bad\": 3}}}}'")
+    return out.select("workspace_id", "field_key", "label", F.array_join("refs", " | ").alias("refs"))
 
 
 @register("S6_read_fields", f"""WITH {MERGED_SQL}
-SELECT workspace_id, field_key, label, refs[1] AS refs FROM merged WHERE NOT contains(refs[1], '"')""")
+SELECT workspace_id, field_key, label, array_to_string(refs, ' | ') AS refs FROM merged""")
 def s6_read_fields(spark, sf_dir):
-    """Stored schema JSON -> long fields (odd entries skipped)."""
-    m = merged_fields(spark, sf_dir).where(~F.element_at("refs", 1).contains('"'))
-    j = F.concat(F.lit('{"schema": {"document_fields": {"fields": {"'), F.col("field_key"), F.lit('": {"label": "'),
-                 F.col("label"), F.lit('", "references": ["'), F.element_at("refs", 1), F.lit('"]}, "bad": 3}}}}'))
-    stored = m.select("workspace_id", j.alias("schema_json"))
+    """Stored schema JSON (all references) -> long fields (odd entries skipped)."""
+    m = merged_fields(spark, sf_dir)
+    entry = F.to_json(F.create_map("field_key", F.struct("label", F.col("refs").alias("references"))))
+    j = F.concat(F.lit('{"schema": {"document_fields": {"fields": '), F.expr("left(e, length(e) - 1)"), F.lit(', "bad": 3}}}}'))
+    stored = m.select("workspace_id", entry.alias("e")).select("workspace_id", j.alias("schema_json"))
     out = FLD.read_fields(stored)
     return out.select("workspace_id", "field_key", "label", F.array_join("refs", " | ").alias("refs"))
 

@@ -121,15 +121,23 @@ def m6_filter_uploads(spark, sf_dir):
     return LC.filter_uploads(batch, d)
 
 
-@register("M7_replace_config", f"""{with_sql("report_columns")}
-SELECT 'user1' AS user_id, name, description, "order" FROM report_columns""")
+@register("M7_replace_config", """
+WITH pri AS (SELECT DISTINCT o_custkey AS user_id, o_orderpriority AS name FROM orders),
+st AS (SELECT DISTINCT o_custkey AS user_id, o_orderstatus AS name FROM orders WHERE o_custkey % 3 = 0)
+SELECT user_id, name, CAST(NULL AS VARCHAR) AS description,
+       row_number() OVER (PARTITION BY user_id ORDER BY name) - 1 AS "order" FROM pri WHERE user_id % 3 <> 0
+UNION ALL
+SELECT user_id, name, 'status ' || name, row_number() OVER (PARTITION BY user_id ORDER BY name) - 1 FROM st""")
 def m7_replace_config(spark, sf_dir):
-    """M7: ordered column config replaced as a whole; order = position."""
-    cols = FX.report_columns(spark).orderBy("order").agg(
-        F.array_sort(F.collect_list(F.struct("order", "name", "description"))).alias("l"))
-    rows = cols.select(F.lit("user1").alias("user_id"),
-                       F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["description"].alias("description"))).alias("cols"))
-    return LC.replace_config(rows)
+    """M7: every customer's columns are the priorities of the orders; every third customer sets the statuses instead."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderpriority", "o_orderstatus")
+    base = o.groupBy("user_id").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("l")) \
+        .select("user_id", F.posexplode("l").alias("order", "name")) \
+        .select("user_id", "name", F.lit(None).cast("string").alias("description"), "order")
+    rows = o.where(F.col("user_id") % 3 == 0).groupBy("user_id").agg(F.transform(
+        F.array_sort(F.collect_set("o_orderstatus")),
+        lambda s: F.struct(s.alias("name"), F.concat(F.lit("status "), s).alias("description"))).alias("cols"))
+    return LC.replace_config(base, rows)
 
 
 M8_OUTCOME = "CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'error' WHEN 'signup' THEN 'no_config' ELSE 'none' END"
@@ -172,7 +180,7 @@ def m10_classify_changes(spark, sf_dir):
 
 
 X9_SQL = f"""{with_sql("docs")},
-fp AS (SELECT doc_id, sha256(name || ':' || text || '||||') AS fingerprint FROM docs),
+fp AS (SELECT doc_id, sha256(name || ':' || text || 'user_instructions:') AS fingerprint FROM docs),
 results AS (SELECT fingerprint, '{{"doc_id": ' || CAST(doc_id AS VARCHAR) || '}}' AS payload,
                    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS stored_at FROM fp WHERE doc_id % 2 = 0)"""
 
@@ -256,8 +264,8 @@ def w3_latest_active(spark, sf_dir):
 A4_SQL = f"""{with_sql("calls")}
 SELECT run_id, count(*) AS calls, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens,
        sum(input_tokens) + sum(output_tokens) AS total_tokens, sum(prompt_chars) AS prompt_chars,
-       CAST(floor(sum(input_tokens) / count(*)) AS BIGINT) AS avg_input_tokens,
-       CAST(floor(sum(output_tokens) / count(*)) AS BIGINT) AS avg_output_tokens
+       CAST(sum(input_tokens) // count(*) AS BIGINT) AS avg_input_tokens,
+       CAST(sum(output_tokens) // count(*) AS BIGINT) AS avg_output_tokens
 FROM calls GROUP BY run_id"""
 
 

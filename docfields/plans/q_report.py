@@ -22,9 +22,7 @@ def p1_j6_report_range(spark, sf_dir):
     """P1 + J6: workspaces in the date range, split into with / without documents."""
     ws = RP.workspaces_in_range(FX.orders_ws(spark, sf_dir), START, END)
     docs = FX.orders_ws_documents(spark, sf_dir)
-    with_docs, skipped = RP.split_by_docs(ws, docs)
-    return with_docs.select("workspace_id", "name", F.lit(1).alias("has_docs")).unionByName(
-        skipped.select("workspace_id", "name", F.lit(0).alias("has_docs")))
+    return RP.flag_docs(ws, docs).select("workspace_id", "name", F.col("has_docs").cast("bigint").alias("has_docs"))
 
 
 @register("A7_doc_counts", """SELECT l_orderkey AS workspace_id, count(*) AS n_docs FROM lineitem GROUP BY 1""")
@@ -33,17 +31,17 @@ def a7_doc_counts(spark, sf_dir):
     return RP.doc_counts(FX.orders_ws_documents(spark, sf_dir))
 
 
-@register("J10_column_hints", f"""{with_sql("report_columns")},
-cfg AS (SELECT name, description, "order" FROM report_columns UNION ALL SELECT 'License', 'the license text', 9),
-last AS (SELECT name, arg_max(description, "order") AS description FROM cfg GROUP BY ALL),
-req AS (SELECT * FROM (VALUES ('Contact Email', 0), ('License', 1), ('Unknown', 2)) t(name, pos))
+@register("J10_column_hints", """
+WITH last AS (SELECT p_type AS name, arg_max(p_name, p_partkey) AS description FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL),
+req AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN p_type || '?' ELSE p_type END AS name, p_partkey AS pos FROM part)
 SELECT req.name, req.pos, last.description FROM req LEFT JOIN last USING (name)""")
 def j10_column_hints(spark, sf_dir):
-    """Requested columns joined to the configured hints (last wins)."""
-    cfg = FX.report_columns(spark).unionByName(spark.createDataFrame([("License", "the license text", 9)],
-                                                                     "name string, description string, order int"))
-    req = spark.createDataFrame([("Contact Email", 0), ("License", 1), ("Unknown", 2)], "name string, pos int")
-    return RP.column_hints(req, cfg)
+    """Requested columns (part types, some unknown) with the last configured hint of that name."""
+    p = read_table(spark, sf_dir, "part")
+    cfg = p.where(F.col("p_partkey") % 2 == 0).select(
+        F.col("p_type").alias("name"), F.col("p_name").alias("description"), F.col("p_partkey").alias("order"))
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_type", F.lit("?"))).otherwise(F.col("p_type"))
+    return RP.column_hints(p.select(name.alias("name"), F.col("p_partkey").alias("pos")), cfg)
 
 
 @register("A15_concat_docs", f"""{with_sql("docs")},
@@ -74,7 +72,6 @@ def _report(spark, sf_dir):
 @register("Q3_report")
 def q3_report(spark, sf_dir):
     """Q3: P1 -> J6 -> V3 -> A14 -> W2 -> A13 over the workspaces of a date range."""
-    ws, docs, skipped, values, outcomes = _report(spark, sf_dir)
     return _wide(spark, sf_dir)
 
 
@@ -108,10 +105,7 @@ def v4_resolve_from_docs(spark, sf_dir):
     ws, docs, skipped, values, outcomes = _report(spark, sf_dir)
     unresolved = outcomes.where(F.col("outcome") == "unresolved").select(
         "workspace_id", F.explode("unresolved_columns").alias("column"))
-    picks = docs.join(unresolved.select("workspace_id").distinct(), "workspace_id", "left_semi") \
-        .select("workspace_id", "doc_id", F.col("doc_id").alias("pos"))
-    ctx = RP.concat_docs(docs, picks)
-    resolved = RP.resolve_from_text(ctx, unresolved)
+    resolved = RP.resolve_from_docs(docs, unresolved)
     partial = values.join(unresolved.select("workspace_id").distinct(), "workspace_id", "left_semi")
     filled = RP.fill_rows(partial.select("workspace_id", "column", "value"), resolved.where(F.col("value").isNotNull()))
     return filled

@@ -50,11 +50,11 @@ def w5_pack_budget_4000(spark, sf_dir):
     return d.select("doc_id", F.length(ex).alias("n_chars"), F.sha2(ex, 256).alias("digest"))
 
 
-@register("T3_best_chunks", f"""WITH {_pack_sql(8000)}
+@register("T3_best_chunks", f"""WITH {_pack_sql(0)}
 SELECT doc_id, idx AS chunk_idx, score FROM top""")
 def t3_best_chunks(spark, sf_dir):
-    """Top 4 chunks per long document by (score desc, index asc)."""
-    d = read_spread(spark, sf_dir, "documents", "doc_id").where(F.length("text") > 8000)
+    """Top 4 chunks of every document by (score desc, index asc)."""
+    d = read_spread(spark, sf_dir, "documents", "doc_id")
     qt = T.keyword_tokens(F.lit(QUESTION))
     ch = d.select("doc_id", F.posexplode(T.chunks("text")).alias("chunk_idx", "c"))
     from pyspark.sql import Window

@@ -36,7 +36,7 @@ def s4_clean_markdown(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- X2 / X3 / X4 / X5 / X6
-X2_INPUT = "'“' || substring(text, 1, 30) || '” — ‘a’ – …' || chr(160) || 'x'"
+X2_INPUT = "'“' || text || '” — ‘a’ – …' || chr(160) || 'x'"
 
 
 @register("X2_fold_punctuation", f"""
@@ -44,7 +44,7 @@ SELECT doc_id, translate({X2_INPUT}, '“”‘’–—' || chr(160) || '…',
 def x2_fold(spark, sf_dir):
     """Curly quotes, dashes, no-break space, ellipsis folded to ASCII."""
     d = read_table(spark, sf_dir, "documents")
-    inp = F.concat(F.lit("“"), F.substring("text", 1, 30), F.lit("” — ‘a’ – … x"))
+    inp = F.concat(F.lit("“"), F.col("text"), F.lit("” — ‘a’ – … x"))
     return d.select("doc_id", T.fold_punctuation(inp).alias("folded"))
 
 
@@ -90,7 +90,7 @@ def x6_storage_path(spark, sf_dir):
     """Storage path and the template variant (first segment reused)."""
     d = _docs(spark, sf_dir)
     w = FX.workspaces(spark, sf_dir)
-    j = d.join(F.broadcast(w.select("workspace_id", "user_id")), "workspace_id")
+    j = d.join(w.select("workspace_id", "user_id"), "workspace_id")
     path = T.storage_path("user_id", "workspace_id", "doc_id", "name")
     return j.select("doc_id", path.alias("path"),
                     T.template_path(path, "workspace_id", "doc_id", "name").alias("template_path"))
@@ -268,11 +268,11 @@ def x21_replace_ci(spark, sf_dir):
 
 @register("X26_html_escape", """
 SELECT conv_id, turn, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped
-FROM (SELECT conv_id, turn, '<b>' || substring(text, 1, 40) || ' & </b>' AS t FROM conversations)""")
+FROM (SELECT conv_id, turn, '<b>' || text || ' & </b>' AS t FROM conversations)""")
 def x26_html_escape(spark, sf_dir):
     """HTML escape of '&', '<', '>' in that order."""
     c = read_table(spark, sf_dir, "conversations")
-    t = F.concat(F.lit("<b>"), F.substring("text", 1, 40), F.lit(" & </b>"))
+    t = F.concat(F.lit("<b>"), F.col("text"), F.lit(" & </b>"))
     return c.select("conv_id", "turn", T.html_escape(t).alias("escaped"))
 
 
