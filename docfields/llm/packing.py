@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm.common import write_table
-from docfields.llm.tokens import text_groups, tokenizer
+from docfields.llm.tokens import tokenizer
 
 LENGTH, OPEN, FAN_IN, END_ID = 2048, 128, 64, 1
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -59,19 +59,17 @@ def _pack(tokenizer_path: str, length: int, limit: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         tok, win = tokenizer(tokenizer_path), Windows(part, length, limit)
-        end = np.array([END_ID], np.uint32).tobytes()
         for b in batches:
             docs = b.column(0)
-            for at, texts in text_groups(b.column(1)):
+            for at, ids, off in tok.groups(b.column(1), END_ID):
                 out: list[tuple] = []
                 which: list[int] = []
-                for i, ids in enumerate(tok.encode(texts)):
-                    ids += end
-                    n = len(ids) // 4
+                for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                    n = y - x
                     for s in range(0, n, length):
                         m = min(length, n - s)
                         w, offset = win.put(m)
-                        out.append((s, m, zlib.crc32(ids[4 * s:4 * (s + m)]), n, w, offset))
+                        out.append((s, m, zlib.crc32(ids[x + s:x + s + m]), n, w, offset))
                         which.append(at + i)
                 cols = [docs.take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*out))]
                 yield pa.RecordBatch.from_arrays(

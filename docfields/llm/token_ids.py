@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.llm.common import doc_slices, shared_path, text_bytes, write_table
-from docfields.llm.tokens import text_groups, tokenizer
+from docfields.llm.tokens import tokenizer
 
 MAGIC, HEAD = b"TIDS", struct.Struct("<4sIQQ")
 END_ID = 1
@@ -98,12 +98,13 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     the text; ids are little-endian, of two bytes where the vocabulary allows it."""
     def run(batches):
         tok = tokenizer(tokenizer_path)
-        kind, end = id_type(tok.vocab_size), np.array([END_ID], np.uint32).tobytes()
+        kind = np.dtype(id_type(tok.vocab_size))
         for b in batches:
-            for at, texts in text_groups(b.column("text")):
-                ids = [np.frombuffer(x + end, np.uint32).astype(kind).tobytes() for x in tok.encode(texts)]
-                part = b.slice(at, len(ids))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(ids, pa.binary())],
+            for at, ids, off in tok.groups(b.column("text"), END_ID):
+                part, width = b.slice(at, len(off) - 1), kind.itemsize
+                cells = pa.Array.from_buffers(pa.large_binary(), len(part), [
+                    None, pa.py_buffer(off * width), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), cells],
                                                  names=["doc_id", "k", "ids"])
         tok.forget()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
