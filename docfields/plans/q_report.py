@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docfields.operators import report as RP
-from docfields.plans.q_fields import merged_fields
+from docfields.plans.q_fields import MERGED_SQL, merged_fields
 from docfields.plans.registry import register
 from docfields.sources import fixtures as FX
 from docfields.sources.fixtures import with_sql
@@ -13,6 +13,36 @@ from docfields.sources.tables import read_table
 START, END = "1995-01-01", "1995-12-31"
 WS_START, WS_END = "2024-01-01", "2024-01-20"
 
+#: The report as SQL, by name: workspaces of the range, values by workspace and column, outcome by workspace.
+REPORT_SQL = f"""{with_sql("docs", "workspaces", "report_columns")},
+{MERGED_SQL},
+in_range AS (SELECT *, workspace_id IN (SELECT workspace_id FROM docs) AS has_docs FROM workspaces
+  WHERE CASE WHEN event_date IS NULL THEN CAST(created_at AS DATE) ELSE event_date END BETWEEN DATE '{WS_START}' AND DATE '{WS_END}'),
+asked AS (SELECT *, name IN ('S.No', 'Event Name', 'Event Date') AS given FROM report_columns),
+col_words AS (SELECT DISTINCT name, w FROM (
+  SELECT name, unnest(regexp_extract_all(lower(name || ' ' || coalesce(description, '')), '[a-z0-9_]+')) AS w FROM asked WHERE NOT given)
+  WHERE length(w) > 2),
+field_words AS (SELECT DISTINCT workspace_id, field_key, seq, value, w FROM (
+  SELECT workspace_id, field_key, seq, refs[1] AS value,
+         unnest(regexp_extract_all(lower(replace(field_key, '_', ' ') || ' ' || coalesce(label, '')), '[a-z0-9_]+')) AS w FROM merged)
+  WHERE length(w) > 2),
+shared AS (SELECT workspace_id, name, field_key, seq, value, count(*) AS n FROM col_words JOIN field_words USING (w) GROUP BY ALL),
+best AS (SELECT workspace_id, name, value FROM shared
+  QUALIFY row_number() OVER (PARTITION BY workspace_id, name ORDER BY n DESC, seq) = 1),
+vals AS (SELECT r.workspace_id, r.created_at, a.name AS "column", a."order" AS col_order, a.given,
+    CASE a.name WHEN 'S.No' THEN NULL WHEN 'Event Name' THEN r.name
+         WHEN 'Event Date' THEN strftime(coalesce(CAST(r.event_date AS TIMESTAMP), r.created_at), '%Y-%m-%d') ELSE b.value END AS value
+  FROM in_range r CROSS JOIN asked a LEFT JOIN best b ON b.workspace_id = r.workspace_id AND b.name = a.name
+  WHERE r.has_docs),
+outcomes AS (SELECT workspace_id, created_at,
+    coalesce(string_agg("column", ', ' ORDER BY col_order) FILTER (WHERE NOT given AND value IS NULL), '') AS unresolved,
+    CASE WHEN bool_or(NOT given AND value IS NULL) THEN 'unresolved' ELSE 'valid' END AS outcome
+  FROM vals GROUP BY ALL),
+numbered AS (SELECT workspace_id, CAST(row_number() OVER (ORDER BY created_at DESC, workspace_id) AS VARCHAR) AS s_no
+  FROM outcomes WHERE outcome = 'valid'),
+sheet AS (SELECT workspace_id, "column", CASE "column" WHEN 'S.No' THEN s_no ELSE value END AS value, CAST(s_no AS INTEGER) AS pos
+  FROM vals JOIN numbered USING (workspace_id))"""
+
 
 @register("P1_J6_report_range", f"""{with_sql("orders_ws")},
 r AS (SELECT * FROM orders_ws WHERE event_date BETWEEN DATE '{START}' AND DATE '{END}'
@@ -69,7 +99,15 @@ def _report(spark, sf_dir):
     return ws, docs, skipped, values, outcomes
 
 
-@register("Q3_report")
+@register("Q3_report", f"""{REPORT_SQL}
+SELECT workspace_id,
+       max(value) FILTER (WHERE "column" = 'S.No') AS "S.No",
+       max(value) FILTER (WHERE "column" = 'Event Name') AS "Event Name",
+       max(value) FILTER (WHERE "column" = 'Event Date') AS "Event Date",
+       max(value) FILTER (WHERE "column" = 'Contact Email') AS "Contact Email",
+       max(value) FILTER (WHERE "column" = 'Contact Phone') AS "Contact Phone",
+       max(value) FILTER (WHERE "column" = 'License') AS "License"
+FROM sheet GROUP BY workspace_id""")
 def q3_report(spark, sf_dir):
     """Q3: P1 -> J6 -> V3 -> A14 -> W2 -> A13 over the workspaces of a date range."""
     return _wide(spark, sf_dir)
@@ -85,21 +123,31 @@ def _wide(spark, sf_dir):
     return RP.pivot_report(long.select("workspace_id", "column", "value"), cols)
 
 
-@register("A8_outcome_summary")
+@register("A8_outcome_summary", f"""{REPORT_SQL}
+SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome
+UNION ALL SELECT 'skipped', count(*) FILTER (WHERE NOT has_docs) FROM in_range""")
 def a8_outcome_summary(spark, sf_dir):
     """Valid / unresolved / skipped counts for the report range."""
     ws, docs, skipped, values, outcomes = _report(spark, sf_dir)
     return RP.outcome_summary(outcomes, skipped)
 
 
-@register("A14_unresolved")
+@register("A14_unresolved", f"""{REPORT_SQL}
+SELECT workspace_id, outcome, unresolved FROM outcomes""")
 def a14_unresolved(spark, sf_dir):
     """Unresolved columns per workspace of the report."""
     _, _, _, _, outcomes = _report(spark, sf_dir)
     return outcomes.select("workspace_id", "outcome", F.array_join("unresolved_columns", ", ").alias("unresolved"))
 
 
-@register("V4_resolve_from_docs")
+@register("V4_resolve_from_docs", f"""{REPORT_SQL},
+hits AS (SELECT v.workspace_id, v."column", d.doc_id,
+    regexp_extract(d.text, '(?im)^[ \\t]*' || v."column" || '[ \\t]*:[ \\t]*(.+)$', 1) AS hit
+  FROM vals v JOIN docs d USING (workspace_id) WHERE NOT v.given AND v.value IS NULL),
+found AS (SELECT workspace_id, "column", PYSTRIP(arg_min(hit, doc_id)) AS hit FROM hits WHERE hit <> '' GROUP BY ALL)
+SELECT v.workspace_id, v."column", coalesce(f.hit, v.value) AS value
+FROM vals v JOIN outcomes o USING (workspace_id) LEFT JOIN found f ON f.workspace_id = v.workspace_id AND f."column" = v."column"
+WHERE o.outcome = 'unresolved'""")
 def v4_resolve_from_docs(spark, sf_dir):
     """V4 + J12 + U4: unresolved columns filled from 'Column: value' lines of the documents."""
     ws, docs, skipped, values, outcomes = _report(spark, sf_dir)
@@ -111,7 +159,9 @@ def v4_resolve_from_docs(spark, sf_dir):
     return filled
 
 
-@register("A9_width_profile")
+@register("A9_width_profile", f"""{REPORT_SQL}
+SELECT a.name AS "column", CAST(least(greatest(length(a.name), coalesce(max(length(s.value)), 0)) + 2, 50) AS BIGINT) AS width
+FROM asked a LEFT JOIN sheet s ON s."column" = a.name AND s.pos <= 10 GROUP BY a.name""")
 def a9_width_profile(spark, sf_dir):
     """Column widths of the report sheet."""
     return RP.width_profile(_wide(spark, sf_dir), [n for n, _ in FX.REPORT_COLUMNS])
