@@ -5,8 +5,10 @@ lexicographically by the concatenated sign bits, and compares each with the next
 ones; pairs whose cosine reaches the threshold are united across passes.  Direct links are then
 counted exactly inside each component, in blocks: a link never leaves its component.
 
-The order is cut into ranges with an overlap of ``window`` rows, so one label is spread over many
-tasks.  Equal vectors are one class with a multiplicity before any comparison.
+The order is total: by the whole key, equal keys by a hash of node and pass.  It is cut into ranges with
+an overlap of ``window`` rows, so one label (or one dense group with a common head of the key) is spread
+over many tasks and each vector still meets its ``window`` successors.  Equal vectors are one class with a
+multiplicity before any comparison.
 
 Defined results: a null label, a null or zero vector, one with null or non-finite components, or
 a row without ``vec_id`` links with nothing (n_links 0, its own component); vectors of different
@@ -17,14 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.llm.common import write_table
 from docfields.llm.components import connected_components, np_components
+from docfields.llm.simhash import Forest
 
-THRESHOLD, PASSES, BITS, WINDOW = 0.98, 16, 48, 64
-HEAD_BITS, BLOCK = 20, 2_000
+THRESHOLD, PASSES, BITS, WINDOW = 0.98, 16, 62, 1_024
+RANGE_ROWS, RANGES_A_TASK, BLOCK = 4_096, 32, 2_000
 
 
 def unit_rows(col: pa.Array) -> np.ndarray:
@@ -63,8 +67,34 @@ def _keys(passes: int, bits: int, seed: int):
     return run
 
 
+def _places(window: int, range_rows: int):
+    """A partition of the total order -> range, place in it, and whether the row is among its last ``window``."""
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        run_of = [t[c].to_numpy() for c in ("label", "dim", "pass")]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([r[1:] != r[:-1] for r in run_of], axis=0)
+        lo = np.flatnonzero(new)
+        size = np.diff(np.append(lo, t.num_rows))
+        own = np.repeat(np.arange(len(lo)), size)
+        at = np.arange(t.num_rows) - lo[own]
+        ranges = np.maximum(1, size // range_rows)  # the last range takes the rest: none is shorter than the window
+        k = np.minimum(at // range_rows, ranges[own] - 1)
+        stop = np.where(k == ranges[own] - 1, size[own], (k + 1) * range_rows)
+        first = np.cumsum(ranges) - ranges
+        number = (np.int64(TaskContext.get().partitionId()) << 32) + first[own] + k
+        out = pa.Table.from_arrays(
+            [t["label"], t["dim"], t["pass"], pa.array(number), pa.array((at - k * range_rows).astype(np.int32)),
+             pa.array(stop - at <= window), t["node"]], names=["label", "dim", "pass", "range", "place", "tail", "node"])
+        yield from out.to_batches(max_chunksize=10_000)
+    return run
+
+
 def _compare(window: int, threshold: float):
-    """Rows sorted by (label, dim, pass, range, key): spanning links of each range."""
+    """Rows sorted by (label, dim, pass, range, place): spanning links of each range."""
     def links(t: pa.Table):
         t = t.combine_chunks()
         run = [t[c].to_numpy() for c in ("label", "dim", "pass", "range")]
@@ -72,22 +102,29 @@ def _compare(window: int, threshold: float):
         new = np.ones(len(node), bool)
         new[1:] = np.any([r[1:] != r[:-1] for r in run], axis=0)
         seg = np.cumsum(new)
-        us, vs = [], []
+        forest = Forest(len(node))
         dims = run[1]
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
             x = unit_rows(t["embedding"].take(pa.array(at)).combine_chunks())
-            for d in range(1, window + 1):
-                if d >= len(at):
-                    break
-                i = np.flatnonzero(seg[at[d:]] == seg[at[:-d]])
-                for c in range(0, len(i), 50_000):
-                    j = i[c:c + 50_000]
-                    near = np.einsum("ij,ij->i", x[j], x[j + d]) >= threshold
-                    us.append(node[at[j[near]]])
-                    vs.append(node[at[j[near] + d]])
-        if us:
-            u, v = np_components(np.concatenate(us), np.concatenate(vs))  # a spanning forest says as much
+            same = seg[at]
+            i = np.flatnonzero(same[1:] == same[:-1])  # neighbours first: a group of copies is one component then
+            for c in range(0, len(i), 50_000):
+                j = i[c:c + 50_000]
+                j = j[np.einsum("ij,ij->i", x[j], x[j + 1]) >= threshold]
+                forest.link(at[j], at[j + 1])
+            step = min(256, window)
+            for c in range(0, len(at), step):
+                d = min(len(at), int(np.searchsorted(same, same[min(c + step, len(at)) - 1], side="right")), c + step + window)
+                hit = x[c:c + step] @ x[c:d].T >= threshold
+                i, j = np.nonzero(hit)
+                a, b = at[c + i], at[c + j]
+                ok = (j > i) & (j - i <= window) & (forest.label[a] != forest.label[b])
+                ok &= seg[a] == seg[b]
+                forest.link(a[ok], b[ok])
+        i = np.flatnonzero(forest.label != np.arange(len(node)))
+        if len(i):
+            u, v = np_components(node[i], node[forest.label[i]])  # a spanning forest says as much
             u, v = u[u != v], v[u != v]
             for c in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[c:c + 100_000]), pa.array(v[c:c + 100_000])],
@@ -145,7 +182,7 @@ def _degrees(threshold: float):
 
 
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS,
-                    window: int = WINDOW, seed: int = 7, range_rows: int = 4_096) -> DataFrame:
+                    window: int = WINDOW, seed: int = 7, range_rows: int = RANGE_ROWS) -> DataFrame:
     """vectors (vec_id, embedding, label) -> (vec_id, n_links, component_id, kept), one row per vector."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding",
                        F.col("label").cast("long").alias("label"))
@@ -153,28 +190,22 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     # Only ids and keys are ordered; the vectors are joined to their places afterwards.
     slim = write_table(cls.select("label", "dim", "node", "embedding").mapInArrow(
         _keys(passes, bits, seed), "label long, dim int, pass int, key long, node long"), "vector-keys")
-    head = F.shiftright("key", bits - min(bits, HEAD_BITS))
-    order = Window.partitionBy("label", "dim", "pass").orderBy("head")
-    heads = write_table(slim.groupBy("label", "dim", "pass", head.alias("head")).agg(F.count("*").alias("m")).withColumn(
-        "before", F.sum("m").over(order) - F.col("m")), "vector-heads")
-    # A head with more rows than a range (a dense group) is dealt over several neighbouring ranges.
-    spots = F.greatest(F.lit(1), F.ceil(F.col("m") / range_rows))
-    placed = slim.withColumn("head", head).join(heads, ["label", "dim", "pass", "head"]).withColumn(
-        "range", F.floor(F.col("before") / range_rows) + F.pmod(F.xxhash64("node"), spots))
-    placed = write_table(placed.select("label", "dim", "pass", "range", "key", "node"), "vector-places")
+    range_rows = max(range_rows, window)
+    tasks = max(1, -(-slim.count() // (range_rows * RANGES_A_TASK)))
+    order = ["label", "dim", "pass", "key", F.xxhash64("pass", "node"), "node"]
+    placed = write_table(slim.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(
+        _places(window, range_rows),
+        "label long, dim int, pass int, range long, place int, tail boolean, node long"), "vector-places")
     # The last ``window`` rows of a range are compared with the next range too.
-    rank = Window.partitionBy("label", "dim", "pass", "range").orderBy(F.desc("key"), F.desc("node"))
     ranges = placed.select("label", "dim", "pass", "range").distinct().withColumn(
         "next", F.lead("range").over(Window.partitionBy("label", "dim", "pass").orderBy("range")))
-    spread = placed.withColumn("from_end", F.row_number().over(rank)).join(
-        ranges, ["label", "dim", "pass", "range"]).withColumn("to", F.explode(F.when(
-            (F.col("from_end") <= window) & F.col("next").isNotNull(), F.array("range", "next")).otherwise(
-            F.array("range"))))
+    spread = placed.join(ranges, ["label", "dim", "pass", "range"]).withColumn("to", F.explode(F.when(
+        F.col("tail") & F.col("next").isNotNull(), F.array("range", "next")).otherwise(F.array("range"))))
     first = (F.col("to") == F.col("range")).cast("int").alias("turn")  # rows of the range before come first
-    rows = spread.select("label", "dim", "pass", F.col("to").alias("range"), first, "key", "node").join(
+    rows = spread.select("label", "dim", "pass", F.col("to").alias("range"), first, "place", "node").join(
         cls.select("label", "dim", "node", "embedding"), ["label", "dim", "node"])
     edges = rows.repartition("label", "dim", "pass", "range").sortWithinPartitions(
-        "label", "dim", "pass", "range", "turn", "key", "node").mapInArrow(_compare(window, threshold), "u long, v long")
+        "label", "dim", "pass", "range", "turn", "place").mapInArrow(_compare(window, threshold), "u long, v long")
     comp = write_table(connected_components(edges, "vectors"), "vector-components")
     member = cls.join(comp, "node")
     size = write_table(comp.groupBy("component").agg(F.count("*").alias("m")), "vector-sizes")
