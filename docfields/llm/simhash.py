@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import write_table
+from docfields.llm.common import keyed, same_row, write_table
 from docfields.llm.components import connected_components, np_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -51,12 +51,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row per input row."""
+    """(doc_id, tkey, fp): row key and the fingerprint as a signed long, one row per input row."""
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
+                                             names=["doc_id", "tkey", "fp"])
+    return keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
+        run, "doc_id long, tkey long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -200,24 +202,35 @@ def link_fingerprints(distinct: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     return connected_components(edges, "simhash")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id), one row per input row; component_id is the smallest doc_id that
-    links of at most ``budget`` differing bits reach."""
+def row_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tkey, fp), one row per input row, and (fp, root, low): the component of each distinct
+    fingerprint, named by a fingerprint, and the smallest doc_id of the fingerprint."""
     f = write_table(fingerprints(docs, shingle), "fingerprints")
     own = f.groupBy("fp").agg(F.min("doc_id").alias("low"))
     comp = link_fingerprints(own.select("fp"), budget)
-    named = own.join(comp, own["fp"] == comp["node"], "left").select(
+    return f, own.join(comp, own["fp"] == comp["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root"))
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id), one row per input row; component_id is the smallest doc_id that
+    links of at most ``budget`` differing bits reach."""
+    f, named = row_components(docs, shingle, budget)
     low = write_table(named.groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
     classes = named.select("fp", "root").join(low, "root").select("fp", "component_id")
     return f.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays (one row
-    where that id is repeated; rows without an id only go if their component has an id)."""
-    kept = simhash_components(docs, shingle, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("keep_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    hit = rows.join(kept, rows["key"].eqNullSafe(kept["keep_id"]), "left_semi")
-    return hit.dropDuplicates(["key"]).select("row.*")
+    """docs without near-duplicates: of each component the row with the smallest (doc_id, tkey) stays, a row
+    without an id only where no row of its component has one; of rows that repeat id and text one stays."""
+    f, named = row_components(docs, shingle, budget)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "tkey"))
+    # the first row of each distinct fingerprint is written, so a hot component is small when it is joined
+    own = write_table(f.groupBy("fp").agg(first.alias("first")), "first-rows")
+    kept = own.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select(
+        "first.doc_id", "first.tkey")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"))
+    hit = rows.join(kept, same_row(rows, kept), "left_semi")
+    return hit.dropDuplicates(["doc_id", "tkey"]).select("row.*")

@@ -1,7 +1,10 @@
 """Cases that cuts by group size, id or step count used to lose."""
+import random
+
 import numpy as np
+from llm_models import words
 
-from docfields.llm import embedding_dedup
+from docfields.llm import embedding_dedup, simhash
 
 
 def test_embeddings_dense_group(spark):
@@ -20,3 +23,17 @@ def test_embeddings_dense_group(spark):
     got = embedding_dedup.embedding_links(df, 1 - 1e-8, passes=1, bits=48, window=8, range_rows=4).collect()
     assert len(middle) > 3
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(v, 5, v // 6 * 6) for v, _, _ in rows}
+
+
+def test_simhash_keeps_rows_by_id_and_text(spark):
+    """Unrelated rows without an id, and texts that share an id, stay; near-duplicates go."""
+    rng = random.Random(2)
+    a, b, c, d, e, f = (" ".join(words(rng, 200, 5_000)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (3, e), (4, f), (5, f), (5, a + " x"),
+            (6, a + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, simhash.keep_representatives(df).collect()), key=str)
+    fp = [simhash.fingerprint(t) for _, t in rows]
+    near = (fp[0] ^ fp[-1]).bit_count() <= 4
+    want = [(None, b), (1, c), (2, d), (2, e), (4, f), (5, a + " x")] + ([] if near else [(None, a)])
+    assert got == sorted(want, key=str)
