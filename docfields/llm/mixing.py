@@ -5,12 +5,13 @@ document a posterior over the domains clean / low / toxic.  The rates r >= 0 of
 
     sum over domains of (expected share of tokens - target share)^2 / present share
 
-by projected gradient steps from r = 1, with lazy projection: the gradients add up to one number a
-domain, G, and the rate of a document is max(0, 1 - sum_k p_k G_k).  A step needs the expected tokens by
-domain only -- one aggregate over the narrow table of posteriors -- and no rate is stored or sent.  With
-tokens as the metric and the present shares as weights the largest eigenvalue is 1, so a step of 1
-descends.  It ends once every share is within ``TOLERANCE``, or after ``MAX_STEPS`` steps where the
-targets cannot be met (a domain that no document belongs to).
+and, of all that do, change the documents least (sum of tokens * (r - 1)^2, weight ``RIDGE`` beside the
+shares).  Such rates have the form max(0, 1 - sum_k p_k G_k) with one number G a domain, so Newton steps
+solve a convex problem in three unknowns whatever the spread of the posteriors.  A step needs the expected
+tokens by domain and by pair of domains over the documents with a rate above 0 -- one aggregate over the
+narrow table of posteriors -- and no rate is stored or sent.  It ends at the optimum (gradient below
+``OPTIMAL``); the remaining gap of targets that cannot be met (a domain that no document belongs to) is
+logged.
 
 Defined results: null or blank text has no words, the prior as posterior and takes no part in the
 token totals; rows that repeat id and text get one rate each, the same; null ids are rows like any
@@ -19,8 +20,10 @@ length are read whole; further columns ride in a struct.
 """
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +32,8 @@ from docfields.llm.common import keyed, same_row, write_table
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 BUCKETS, SAMPLE, EVIDENCE = 1 << 14, 20_000, 64
-TOLERANCE, MAX_STEPS = 1e-4, 60
+TOLERANCE, OPTIMAL, RIDGE = 1e-4, 1e-7, 1e-6
+LOG = logging.getLogger(__name__)
 
 
 def _words(d: DataFrame, *keys: str) -> DataFrame:
@@ -83,25 +87,52 @@ def _rate(gradient: list[float]) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - pull)
 
 
+def _token_shares(p: DataFrame, tokens: Column) -> tuple[int, np.ndarray]:
+    """All tokens, and the present share of each domain."""
+    row = p.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * F.col(f"p_{k}")).alias(k) for k in DOMAINS]).first()
+    n = row["n"] or 0
+    return n, np.array([(row[k] or 0.0) / n if n else 0.0 for k in DOMAINS])
+
+
 def solve_rates(p: DataFrame, targets: dict[str, float]) -> list[float]:
-    """Sum of the projected steps' gradients by domain."""
-    tokens = F.col("copies") * F.col("n_words")
-
-    def shares(gradient):
-        row = p.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * F.col(f"p_{k}") * _rate(gradient)).alias(k)
-                                                for k in DOMAINS]).first()
-        return row["n"] or 0, [row[k] or 0.0 for k in DOMAINS]
-    gradient = [0.0] * len(DOMAINS)
-    n, tokens_now = shares(gradient)
-    goal = [targets[k] / sum(targets.values()) for k in DOMAINS]
-    here = [x / n for x in tokens_now] if n else []
-    for _ in range(MAX_STEPS if n else 0):
-        gap = [x / n - t for x, t in zip(tokens_now, goal)]
-        if max(map(abs, gap)) < TOLERANCE:
+    """G by domain: minimum of sum n r(G)^2 / 2N + goal G + RIDGE / 2 sum present G^2, by damped Newton steps."""
+    tokens, pairs = F.col("copies") * F.col("n_words"), [(i, j) for i in range(len(DOMAINS)) for j in range(i + 1)]
+    n, present = _token_shares(p, tokens)
+    if not n:
+        return [0.0] * len(DOMAINS)
+    goal = np.array([targets[k] / sum(targets.values()) for k in DOMAINS])
+
+    def look(g):
+        """Value, gradient, curvature and shares at ``g``."""
+        rate = _rate(g.tolist())
+        live = F.when(rate > 0, tokens).otherwise(0)
+        row = p.agg(F.sum(tokens * rate * rate), *[F.sum(tokens * F.col(f"p_{k}") * rate) for k in DOMAINS],
+                    *[F.sum(live * F.col(f"p_{DOMAINS[i]}") * F.col(f"p_{DOMAINS[j]}")) for i, j in pairs]).first()
+        v = np.array(row, float) / n
+        share, bend = v[1:4], np.zeros((len(DOMAINS),) * 2)
+        for (i, j), x in zip(pairs, v[4:]):
+            bend[i, j] = bend[j, i] = x
+        pull = RIDGE * present
+        return (v[0] / 2 + goal @ g + pull @ (g * g) / 2, np.where(present > 0, goal - share + pull * g, 0.0),
+                bend + np.diag(pull), share)
+    g = np.zeros(len(DOMAINS))
+    value, slope, bend, share = look(g)
+    while np.abs(slope).max() > OPTIMAL:
+        step = np.linalg.lstsq(bend, -slope, rcond=None)[0]
+        size, fall = 1.0, slope @ step
+        while size > 1e-9:
+            new = look(g + size * step)
+            if new[0] <= value + 1e-4 * size * fall:
+                break
+            size /= 2
+        else:  # no lower value within the precision of the sums
+            LOG.warning("mixing: stopped at gradient %.3g", np.abs(slope).max())
             break
-        gradient = [g + d / h if h > 0 else g for g, d, h in zip(gradient, gap, here)]
-        tokens_now = shares(gradient)[1]
-    return gradient
+        g = g + size * step
+        value, slope, bend, share = new
+    if np.abs(share - goal).max() > TOLERANCE:
+        LOG.warning("mixing: shares %s miss the targets %s", dict(zip(DOMAINS, share)), dict(zip(DOMAINS, goal)))
+    return g.tolist()
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 from llm_models import words
+from pyspark.sql import functions as F
 
-from docfields.llm import embedding_dedup, simhash
+from docfields.llm import embedding_dedup, mixing, simhash
 
 
 def test_embeddings_dense_group(spark):
@@ -37,3 +38,19 @@ def test_simhash_keeps_rows_by_id_and_text(spark):
     near = (fp[0] ^ fp[-1]).bit_count() <= 4
     want = [(None, b), (1, c), (2, d), (2, e), (4, f), (5, a + " x")] + ([] if near else [(None, a)])
     assert got == sorted(want, key=str)
+
+
+def test_mixing_reaches_slow_targets(spark):
+    """A rare domain whose mass is spread thinly over many documents; targets that no document fits."""
+    rng = np.random.default_rng(4)
+    odds = np.exp(np.stack([np.zeros(4_000), rng.normal(-7, 1.5, 4_000), rng.normal(-4.5, 1.5, 4_000)], axis=1))
+    p = odds / odds.sum(axis=1, keepdims=True)
+    n = rng.integers(20, 500, 4_000)
+    df = spark.createDataFrame([(int(k), 1, *map(float, q)) for k, q in zip(n, p)],
+                               "n_words long, copies long, p_clean double, p_low double, p_toxic double")
+    goal = np.array([mixing.TARGETS[k] for k in mixing.DOMAINS])
+    rate = np.maximum(0, 1 - p @ mixing.solve_rates(df, mixing.TARGETS))
+    assert np.abs((n * rate) @ p / n.sum() - goal).max() < mixing.TOLERANCE
+    flat = df.withColumn("p_clean", F.lit(1.0)).withColumn("p_low", F.lit(0.0)).withColumn("p_toxic", F.lit(0.0))
+    g = mixing.solve_rates(flat, mixing.TARGETS)
+    assert abs(max(0, 1 - g[0]) - 0.9) < 1e-4
