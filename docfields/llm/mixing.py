@@ -120,9 +120,9 @@ def solve_rates(p: DataFrame, targets: dict[str, float]) -> list[float]:
     while np.abs(slope).max() > OPTIMAL:
         step = np.linalg.lstsq(bend, -slope, rcond=None)[0]
         size, fall = 1.0, slope @ step
-        while size > 1e-9:
+        while size > 1e-4:
             new = look(g + size * step)
-            if new[0] <= value + 1e-4 * size * fall:
+            if new[0] < value and new[0] <= value + 1e-4 * size * fall:
                 break
             size /= 2
         else:  # no lower value within the precision of the sums
