@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docfields.llm.common import read
 from docfields.llm.embedding_dedup import embedding_links
+from docfields.llm.fim import fim_digest
 from docfields.llm.mixing import mixing_table
 from docfields.llm.packing import pack_documents
 from docfields.llm.quality import quality_verdicts
@@ -15,6 +16,7 @@ from docfields.llm.suffix_dedup import suffix_digest
 from docfields.llm.token_ids import token_id_digest
 from docfields.llm.toxicity import toxicity_scores
 from docfields.llm.warc import warc_round_trip
+from docfields.llm.whitening import whitened_components
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +64,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(read(spark, sf_dir, "embeddings"), 8)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_substring_dedup, op3_packing, op4_simhash_dedup, op5_warc, op6_quality_rules, op7_toxicity,
-    op8_suffix_dedup, op9_mixing, op10_embedding_dedup)}
+    op8_suffix_dedup, op9_mixing, op10_embedding_dedup, op11_fill_in_middle, op12_whitening)}
 
 ORACLES = {
     "op2_substring_dedup": r"""
@@ -88,5 +98,20 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> low THEN low END AS refers_to, CAST(NULL AS VARCHAR) AS error
 FROM f
+""",
+    "op11_fill_in_middle": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS us,
+                  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, CAST(len(us) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(us) + 1) AS c1,
+             CAST('0x' || h[9:16] AS BIGINT) % (len(us) + 1) AS c2, CAST('0x' || h[25:32] AS BIGINT) % 100 AS o FROM u),
+f AS (SELECT doc_id, n, t, CASE WHEN t = '' OR regexp_matches(t, '<P>|<S>|<M>') THEN 'plain' WHEN o < 50 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(us[1:least(c1, c2)], '') AS p, array_to_string(us[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+             array_to_string(us[greatest(c1, c2) + 1:], '') AS s FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
 """,
 }

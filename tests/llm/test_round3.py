@@ -1,0 +1,130 @@
+"""Fill-in-the-middle, whitening and language-model scoring against brute force."""
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_models import ROWS
+
+from docfields.llm import eigen, fim, whitening
+from docfields.llm.common import read
+
+UNITS = re.compile(r"[^\n]*\n|[^\n]+")
+
+
+def fim_model(doc_id, text, fim_percent=100, spm=50):
+    t = text or ""
+    units = UNITS.findall(t)
+    hexa = hashlib.sha256(("7:" + ("" if doc_id is None else str(doc_id))).encode()).hexdigest()
+    h = [int(hexa[8 * i:8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    if not t or "<P>" in t or "<S>" in t or "<M>" in t or h[2] % 100 >= fim_percent:
+        return n, "plain", None, None, t
+    a, b = min(h[0] % (n + 1), h[1] % (n + 1)), max(h[0] % (n + 1), h[1] % (n + 1))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < spm:
+        return n, "spm", len(p), len(m), "<S>" + s + "<P>" + p + "<M>" + m
+    return n, "psm", len(p), len(m), "<P>" + p + "<S>" + s + "<M>" + m
+
+
+def sha(t):
+    return hashlib.sha256(t.encode()).hexdigest()
+
+
+EXTRA = [(200, "a <P> b\nc"), (201, "<S>"), (202, "x\n<M>"), (203, "\n\n\n"), (204, "no line feed"), (205, "<"), (206, "<P\n>\nS>"),
+         (207, "ends with <S\n"), (208, "\r\n  é\n\U0001F600"), (209, "y\n" * 30_000), (209, "y\n" * 30_000)]
+
+
+@pytest.mark.parametrize("which", ["odd", "docs", "extra"])
+def test_fim_digest(request, spark, which):
+    df = spark.createDataFrame(EXTRA, "doc_id long, text string") if which == "extra" else request.getfixturevalue(which)
+    want = Counter()
+    for r in df.select("doc_id", "text").collect():
+        n, form, p, m, out = fim_model(*r)
+        want[(r[0], n, form, p, m, sha(out), sha(r[1] or ""))] += 1
+    assert Counter(map(tuple, fim.fim_digest(df).collect())) == want
+    assert which != "docs" or {k[2] for k in want} >= {"psm", "spm"}
+
+
+@given(st.text(alphabet="ab\n<PSM>é", max_size=40), st.integers(0, 10_000))
+@settings(max_examples=300, deadline=None)
+def test_fim_text(text, doc_id):
+    for f, s in ((100, 50), (40, 0), (0, 50)):
+        assert fim.Cutter(fim=f, spm=s)(doc_id, text) == fim_model(doc_id, text, f, s)
+
+
+def test_fim_documents_keep_columns(spark, odd, none):
+    out = fim.fim_documents(odd)
+    assert out.columns == odd.columns
+    want = Counter((r["doc_id"], fim_model(r["doc_id"], r["text"])[4], r["tkey"], r["row"]) for r in odd.collect())
+    assert Counter((r["doc_id"], r["text"], r["tkey"], r["row"]) for r in out.collect()) == want
+    assert fim.fim_documents(none).count() == fim.fim_digest(none).count() == 0
+    words = fim.fim_rows(spark.createDataFrame([(1, "a b  c")], "doc_id long, text string"), unit=r"\S++\s*+|\s++").first()
+    assert words.n == 3
+
+
+def whiten_model(vectors, k=8):
+    keep = [(i, v) for i, v in vectors if v and all(c is not None and math.isfinite(c) for c in v)]
+    x = [[math.floor(1024 * float(c)) + 100_000 for c in v] for _, v in keep]
+    n, s = len(x), [sum(c) for c in zip(*x)]
+    dev = [sum((n * a - b) ** 2 for a, b in zip(row, s)) for row in x]
+    y = np.array([[(n * a - b) / n for a, b in zip(row, s)] for row in x])
+    cov = y.T @ y / n
+    e, u = np.linalg.eigh(cov)
+    e, u = e[::-1][:k], u[:, ::-1][:, :k]
+    return [i for i, _ in keep], n, dev, y @ u / np.sqrt(e), e / np.trace(cov)
+
+
+def test_whitening(spark):
+    df = read(spark, "/root/testdata/sf0.01", "embeddings")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    odd = [(None, rows[0][1]), (7, rows[7][1]), (9001, None), (9002, [*rows[1][1][:-1], float("nan")]), (9003, []),
+           (9004, [*rows[1][1][:-1], None]), (9005, [float("inf"), *rows[1][1][1:]]), (9006, [1.0, 2.0])]
+    table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + odd],
+                                  "vec_id long, embedding array<float>, w1 string, n int").repartition(3)
+    ids, n, dev, white, explained = whiten_model(rows + odd[:2])
+    got = whitening.whitened_components(table).collect()
+    assert len(got) == 8 * n and {r["n"] for r in got} == {n}
+    assert Counter((r["vec_id"], r["deviation"]) for r in got if r["component"] == 1) == Counter(zip(ids, dev))
+    errors = {r["identity_error"] for r in got}
+    assert len(errors) == 1 and errors.pop() < 1e-9
+    first = dict(zip(ids, white))
+    for c in range(8):
+        mine = {r["vec_id"]: r["whitened"] for r in got if r["component"] == c + 1}
+        sign = np.sign(mine[5] * first[5][c])
+        assert max(abs(mine[i] * sign - first[i][c]) for i in mine) < 1e-8
+        assert {r["explained"] for r in got if r["component"] == c + 1}.pop() == pytest.approx(explained[c], rel=1e-10)
+
+
+def test_whitening_degenerate(spark):
+    def run(rows):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        return whitening.whitened_components(df).collect()
+    assert run([]) == run([(1, None)]) == run([(1, [1.0, 2.0]), (2, [1.0, 2.0])]) == []
+    out = run([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [2.0, 2.0])])  # one direction only
+    assert [r["component"] for r in out] == [1, 1, 1]
+    assert sorted(r["deviation"] for r in out) == [0, 2 * 3072 ** 2, 2 * 3072 ** 2]
+    wide = run([(1, [1e9, 0.0]), (2, [-1e9, 1.0]), (3, [3e38, 2.0])])  # beyond 64 bits: null
+    assert {r["deviation"] for r in wide if r["vec_id"] == 3} == {None}
+    s = [math.floor(1024 * x) for x in (1e9, -1e9, 2.0 ** 43)]
+    assert all(r["identity_error"] < 1e-4 for r in wide) and len({r["component"] for r in wide}) >= 1 and len(s) == 3
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 17, 64])
+def test_eigenpairs(m):
+    rng = np.random.default_rng(m)
+    b = rng.normal(size=(m, m))
+    cases = [b @ b.T, np.eye(m) * 3, np.diag(np.arange(m) // 3 * 1.0), np.outer(b[0], b[0]), np.zeros((m, m)),
+             b @ np.diag(1.0 + 1e-13 * np.arange(m)) @ np.linalg.inv(b) if m == 1 else np.diag(1.0 + 1e-13 * np.arange(m))]
+    for a in cases:
+        a = (a + a.T) / 2
+        values, vectors = eigen.leading(a, 8)
+        top = np.linalg.eigvalsh(a)[::-1][:8]
+        scale = max(1.0, np.abs(top).max())
+        assert np.abs(values - top).max() < 1e-12 * scale
+        assert np.abs(vectors @ vectors.T - np.eye(len(vectors))).max() < 1e-11
+        assert np.abs(a @ vectors.T - vectors.T * values).max() < 1e-11 * scale
