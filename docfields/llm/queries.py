@@ -13,6 +13,7 @@ from docfields.llm.quality import quality_verdicts
 from docfields.llm.simhash import simhash_components
 from docfields.llm.substring_dedup import substring_digest
 from docfields.llm.suffix_dedup import suffix_digest
+from docfields.llm.suffix_tree import lm_scores
 from docfields.llm.token_ids import token_id_digest
 from docfields.llm.toxicity import toxicity_scores
 from docfields.llm.warc import warc_round_trip
@@ -72,9 +73,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_components(read(spark, sf_dir, "embeddings"), 8)
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_substring_dedup, op3_packing, op4_simhash_dedup, op5_warc, op6_quality_rules, op7_toxicity,
-    op8_suffix_dedup, op9_mixing, op10_embedding_dedup, op11_fill_in_middle, op12_whitening)}
+    op8_suffix_dedup, op9_mixing, op10_embedding_dedup, op11_fill_in_middle, op12_whitening, op13_lm_scoring)}
 
 ORACLES = {
     "op2_substring_dedup": r"""

@@ -10,6 +10,8 @@ always shares an anchor.  The windows that select the same anchor position form
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 U = np.uint64
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -90,6 +92,24 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit:
     return out
 
 
+def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """xxh3 of the bytes of each range; ranges ascend and do not overlap.  Arrow finds the distinct
+    ranges by content, and each of these is hashed once."""
+    if not len(starts):
+        return np.zeros(0, U)
+    lo, hi = int(starts[0]), int(ends[-1])
+    edge = np.zeros(hi - lo + 1, np.int8)
+    edge[starts - lo] += 1
+    edge[ends - lo] -= 1
+    body = data[lo:hi][np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    off = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=off[1:])
+    ranges = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(body)])
+    code = ranges.dictionary_encode()
+    one = [xxhash.xxh3_64_intdigest(x) for x in code.dictionary.to_pylist()]
+    return np.array(one, U)[code.indices.to_numpy()]
+
+
 def symbol_chunks(off: np.ndarray, n: int, limit: int = CHUNK):
     """(lo, hi) ranges of the flat symbols: whole documents, or overlapping parts of one long
     document (overlap n - 1, so that each window lies in exactly one part)."""

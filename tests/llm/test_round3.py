@@ -2,7 +2,8 @@
 import hashlib
 import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_models import ROWS
 
-from docfields.llm import eigen, fim, whitening
+from docfields.llm import eigen, fim, suffix_tree, whitening
 from docfields.llm.common import read
 
 UNITS = re.compile(r"[^\n]*\n|[^\n]+")
@@ -128,3 +129,106 @@ def test_eigenpairs(m):
         assert np.abs(values - top).max() < 1e-12 * scale
         assert np.abs(vectors @ vectors.T - np.eye(len(vectors))).max() < 1e-11
         assert np.abs(a @ vectors.T - vectors.T * values).max() < 1e-11 * scale
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def held_out(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
+
+
+class Tree:
+    """The suffix tree in dictionaries: counts of every context, states with their kappa."""
+
+    def __init__(self, rows, depth, min_count, gain, kappas):
+        texts = [(*WORD.findall(lower(t)), None) for d, t in rows if not held_out(d)]
+        self.uni = Counter(w for t in texts for w in t)
+        self.n, self.v = sum(self.uni.values()), len(self.uni)
+        self.next = defaultdict(Counter)
+        for t in texts:
+            for i in range(len(t)):
+                for d in range(1, depth + 1):
+                    if i >= d:
+                        self.next[t[i - d:i]][t[i]] += 1
+        self.kappa = {}
+        for d in range(1, depth + 1):
+            for s, c in [(s, c) for s, c in self.next.items() if len(s) == d]:
+                total = sum(c.values())
+                if total < min_count or (d > 1 and s[1:] not in self.kappa) or (d > 2 and s[1:-1] not in self.kappa):
+                    continue
+                gains = [sum(x * math.log((x - 1 + k * self.p(w, s[1:])) / ((total - 1 + k) * self.p(w, s[1:])))
+                             for w, x in c.items()) for k in kappas]
+                if max(gains) > gain:
+                    self.kappa[s] = kappas[gains.index(max(gains))]
+
+    def p(self, w, s):
+        if not s:
+            return (self.uni[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        if s not in self.kappa:
+            return self.p(w, s[1:])
+        k = self.kappa[s]
+        return (self.next[s][w] + k * self.p(w, s[1:])) / (sum(self.next[s].values()) + k)
+
+    def score(self, t, depth):
+        """The longest suffix of the history that is a state; suffixes of states are states."""
+        out = 0.0
+        for i, w in enumerate(t):
+            s = ()
+            while len(s) < min(i, depth) and t[i - len(s) - 1:i] in self.kappa:
+                s = t[i - len(s) - 1:i]
+            out += math.log10(self.p(w, s))
+        return out
+
+
+@pytest.mark.parametrize("which,depth,block", [("odd", 2, 3000), ("docs", 2, 100_000), ("docs", 3, 10**6), ("docs", 1, 50_000)])
+def test_lm_scores(request, which, depth, block):
+    df = request.getfixturevalue(which)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    options = dict(depth=depth, min_count=4, gain=2.0, kappas=(3.0, 30.0, 300.0))
+    tree = Tree(rows, **options)
+    assert {len(s) for s in tree.kappa} == set(range(1, depth + 1))
+    want = []
+    for d, t in rows:
+        words = (*WORD.findall(lower(t)), None)
+        base = sum(math.log10(tree.p(w, ())) for w in words)
+        want.append((d, held_out(d), len(words), sum(tree.uni[w] > 0 for w in words), tree.n, base, tree.score(words, depth)))
+    order = lambda r: (str(r[0]), *r[2:])
+    got = sorted((tuple(r) for r in suffix_tree.lm_scores(df, block=block, **options).collect()), key=order)
+    want.sort(key=order)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_lm_state_is_a_distribution(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(200).collect()]
+    tree = Tree(rows, 2, 4, 2.0, (3.0, 30.0))
+    unseen = 0.5 / (tree.n + 0.5 * (tree.v + 1))
+    for s in sorted((s for s in tree.kappa), key=str)[:20]:
+        k, c, part = tree.kappa[s], tree.next[s], 1.0
+        rest = unseen
+        for i in range(len(s)):
+            state = s[len(s) - 1 - i:]
+            if state in tree.kappa:
+                part = tree.kappa[state] / (sum(tree.next[state].values()) + tree.kappa[state])
+                rest *= part
+        assert sum(tree.p(w, s) for w in tree.uni) + rest == pytest.approx(1.0)
+        assert k > 0 and c
+
+
+def test_lm_beats_unigrams(spark):
+    p = suffix_tree.lm_scores(read(spark, "/root/testdata/sf0.1", "documents")).toPandas()
+    h = p[p.held_out]
+    assert (h.score - h.base_score).sum() / h.n_tokens.sum() > 0.4
+    assert (h.score > h.base_score).mean() > 0.9
+
+
+def test_lm_edges(spark, none):
+    assert suffix_tree.lm_scores(none).count() == 0
+    ids = [i for i in range(100) if held_out(i)]
+    only = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+    assert {tuple(r)[1:] for r in suffix_tree.lm_scores(only).collect()} == {(True, 3, 0, 0, 0.0, 0.0)}
