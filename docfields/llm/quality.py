@@ -83,7 +83,7 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     ls, le, loff = R.word_bounds(data, off, _NOT_LF)
     has = np.searchsorted(st, le) > np.searchsorted(st, ls)
     doc = np.repeat(np.arange(nd), np.diff(loff))[has]
-    group, _ = _repeats(doc, R.range_hashes(data, ls, le)[has])
+    group, _ = _repeats(doc, R.content_hashes(data, ls[has], le[has]))
     distinct = np.zeros(nd, np.int64)
     if len(doc):
         first = np.ones(len(group), bool)
@@ -93,7 +93,7 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     # words covered by windows that occur twice or more in the document
     covered = np.zeros(nd, np.int64)
     if len(st) >= WINDOW:
-        h = R.range_hashes(data, st, en)
+        h = R.content_hashes(data, st, en)
         wdoc = np.repeat(np.arange(nd), n_words)
         m = len(st) - WINDOW + 1
         w = np.flatnonzero(wdoc[:m] == wdoc[WINDOW - 1:])

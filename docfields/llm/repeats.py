@@ -45,7 +45,7 @@ def _symbols(data: np.ndarray, off: np.ndarray, words: bool):
     if not words:
         return data, off
     st, en, woff = R.word_bounds(data, off)
-    return R.range_hashes(data, st, en), woff
+    return R.content_hashes(data, st, en), woff
 
 
 def _seeds(words: bool, n: int, k: int) -> Callable:

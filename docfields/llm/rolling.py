@@ -10,7 +10,6 @@ always shares an anchor.  The windows that select the same anchor position form
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 U = np.uint64
@@ -92,22 +91,28 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit:
     return out
 
 
+LONG = 64
+
+
 def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """xxh3 of the bytes of each range; ranges ascend and do not overlap.  Arrow finds the distinct
-    ranges by content, and each of these is hashed once."""
-    if not len(starts):
-        return np.zeros(0, U)
-    lo, hi = int(starts[0]), int(ends[-1])
-    edge = np.zeros(hi - lo + 1, np.int8)
-    edge[starts - lo] += 1
-    edge[ends - lo] -= 1
-    body = data[lo:hi][np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
-    off = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(ends - starts, out=off[1:])
-    ranges = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(body)])
-    code = ranges.dictionary_encode()
-    one = [xxhash.xxh3_64_intdigest(x) for x in code.dictionary.to_pylist()]
-    return np.array(one, U)[code.indices.to_numpy()]
+    """64-bit hash of the bytes of each range.  Ranges of up to ``LONG`` bytes are mixed eight bytes at a
+    time, each step a bijection of the state and of the bytes (so no two ranges of one length up to eight
+    collide, and nothing is linear in the bytes); longer ones go through xxh3."""
+    size = ends - starts
+    h = mix(size.astype(U) + U(BASE1))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    at, left = np.arange(len(starts)), size
+    for i in range(LONG // 8):
+        if not len(at):
+            break
+        part = eight[starts[at] + 8 * i].view("<u8")[:, 0] if len(at) else np.zeros(0, U)
+        part &= U(2**64 - 1) >> (U(64) - U(8) * np.clip(left, 1, 8).astype(U))
+        h[at] = mix((h[at] ^ part) * U(BASE2) + U(i))
+        more = left > 8
+        at, left = at[more], left[more] - 8
+    for i in at:
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]].tobytes())
+    return h
 
 
 def symbol_chunks(off: np.ndarray, n: int, limit: int = CHUNK):
