@@ -5,6 +5,8 @@ repeat an id with another text stay apart, rows that repeat both are copies.
 """
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -60,6 +62,36 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
+def release_memory() -> None:
+    """Give freed memory of this Python worker back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def freed(run):
+    """A ``mapInArrow`` function that hands its memory back when its task ends."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped
+
+
+def rest_and_text(docs: DataFrame):
+    """(struct of all columns but ``text``, text with null as empty): a row that holds its text once."""
+    return F.struct(*[c for c in docs.columns if c != "text"]), F.coalesce(F.col("text"), F.lit(""))
+
+
+def with_text(rows: DataFrame, columns: list[str], row: str, text: str) -> DataFrame:
+    """The rows that ``rest_and_text`` split, ``text`` replaced by another column."""
+    return rows.select(*[F.col(text).alias("text") if c == "text" else F.col(row).getField(c).alias(c) for c in columns])
+
+
 def doc_slices(off: np.ndarray, limit: int):
     """Ranges [a, b) of documents with at most ``limit`` bytes together, one document at least."""
     n, a = len(off) - 1, 0

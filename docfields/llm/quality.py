@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import rolling as R
-from docfields.llm.common import doc_slices, text_bytes
+from docfields.llm.common import doc_slices, freed, text_bytes
 
 BUCKETS, GRAM, TRUSTED, THRESHOLD, SCALE = 1 << 16, 4, 20_000, -0.2, 1_000_000
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
@@ -135,7 +135,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> np.n
     t = F.broadcast(trusted_ids(labels, bound))  # at most ``bound`` ids
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.join(t, d["doc_id"] == t["trusted_id"], "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
-    rows = d.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(
+    rows = d.mapInArrow(freed(count), "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     c = np.zeros((2, BUCKETS))
     for r in rows:
@@ -188,6 +188,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
         for b in batches:
             r = judge(b.column("text"), ratio.value, threshold)
             if r:
-                yield b.filter(pa.array(r["kept"])).select(["row"])
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}").select("row.*")
+                yield b.filter(pa.array(r["kept"]))
+    return docs.mapInArrow(freed(run), docs.schema)  # the text crosses once

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import rolling as R
-from docfields.llm.common import doc_slices, keyed, same_row, text_bytes, write_table
+from docfields.llm.common import doc_slices, freed, keyed, rest_and_text, same_row, text_bytes, write_table
 
 BLOCK_EXTENTS = 1024
 BLOCK_SYMBOLS = 150_000
@@ -204,7 +204,7 @@ def _single_windows(n: int) -> Callable:
 def _hot_spans(extents: DataFrame, n: int, k: int, words: bool, tag: str) -> DataFrame:
     """Repeated windows of the extents of hot anchors, as spans."""
     width = max(2, round((n - k + 1) ** 0.5))
-    groups = write_table(extents.mapInArrow(_hot_groups(words, n, width), GROUP), f"{tag}-groups")
+    groups = write_table(extents.mapInArrow(freed(_hot_groups(words, n, width)), GROUP), f"{tag}-groups")
     part = ["ghash", "place", "common"]
     shared = write_table(groups.groupBy(*part).agg(F.count("*").alias("c")).where("c > 1").select(*part), f"{tag}-shared")
     live = write_table(groups.join(shared, part), f"{tag}-live")
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, n: int, k: int, words: bool, resolve: Callab
     """docs (doc_id, text) -> (doc_id, tkey, spans): for each row with a repeat, the [lo, hi) ranges of
     symbols covered by windows that also start anywhere else (ranges may overlap)."""
     d = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    seeds = d.mapInArrow(_seeds(words, n, k), SEED)  # cheaper to compute twice than to store
+    seeds = d.mapInArrow(freed(_seeds(words, n, k)), SEED)  # cheaper to compute twice than to store
     often = write_table(seeds.groupBy("ghash").agg(
         F.count("*").alias("tot"), F.min("ehash").alias("e0"), F.max("ehash").alias("e1")).where("tot > 1").select(
         "ghash", (F.col("e0") != F.col("e1")).alias("mixed")), f"{tag}-often")
@@ -245,17 +245,18 @@ def repeated_spans(docs: DataFrame, n: int, k: int, words: bool, resolve: Callab
     want = asked.groupBy("doc_id", "tkey").agg(
         F.collect_list(F.struct("start", "shape", "ghash", "hot")).alias("want"))
     cut = write_table(d.join(want.hint("shuffle_hash"), same_row(d, want)).select(
-        d["doc_id"], d["tkey"], "text", "want").mapInArrow(_cut(words, n), CUT), f"{tag}-extents")
+        d["doc_id"], d["tkey"], "text", "want").mapInArrow(freed(_cut(words, n)), CUT), f"{tag}-extents")
     sort = cut.where("not hot").repartition("ghash").sortWithinPartitions("ghash")
-    found = write_table(sort.mapInArrow(_blocks(resolve, words, n), FOUND), f"{tag}-found")
+    found = write_table(sort.mapInArrow(freed(_blocks(resolve, words, n)), FOUND), f"{tag}-found")
     spans = whole.union(again).union(found).union(_hot_spans(cut.where("hot"), n, k, words, tag))
     return spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (any columns) -> (row struct, text, spans): every row once, spans null where nothing repeats."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+    """docs (any columns) -> (row struct without text, doc_id, text, spans): every row once, spans null where
+    nothing repeats."""
+    rest, text = rest_and_text(docs)
+    d = docs.select(rest.alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                     F.xxhash64(text).alias("tkey"), text.alias("text"))
     return d.join(spans.hint("shuffle_hash"), same_row(d, spans), "left").select("row", d["doc_id"], "text", "spans")
 

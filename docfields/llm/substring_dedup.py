@@ -17,9 +17,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docfields.llm import rolling as R
+from docfields.llm.common import freed, with_text
 from docfields.llm.repeats import repeated_spans, spans_of, with_spans
 
 N_WORDS, ANCHOR_WORDS = 35, 11
@@ -74,7 +74,7 @@ def substring_digest(docs: DataFrame, n: int = N_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     rows = with_spans(docs.select("doc_id", "text"), repeated_word_spans(docs, n))
     return rows.select("doc_id", "text", "spans").mapInArrow(
-        _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        freed(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeated_words(docs: DataFrame, n: int = N_WORDS) -> DataFrame:
@@ -88,6 +88,6 @@ def remove_repeated_words(docs: DataFrame, n: int = N_WORDS) -> DataFrame:
                 out.append(b" ".join(kept_words(t, lo, hi)[0]).decode() if len(lo) else t)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], names=["row", "new_text"])
     rows = with_spans(docs, repeated_word_spans(docs, n))
-    kind = docs.schema.simpleString()
-    out = rows.select("row", "text", "spans").mapInArrow(run, f"row {kind}, new_text string")
-    return out.select(F.col("row").withField("text", F.col("new_text")).alias("row")).select("row.*")
+    out = rows.select("row", "text", "spans").mapInArrow(
+        freed(run), f"row {rows.schema['row'].dataType.simpleString()}, new_text string")
+    return with_text(out, docs.columns, "row", "new_text")

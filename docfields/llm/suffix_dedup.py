@@ -23,8 +23,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from docfields.llm.common import freed, with_text
 from docfields.llm.repeats import repeated_spans, spans_of, with_spans
 
 N_BYTES, ANCHOR_BYTES = 400, 100
@@ -154,7 +154,7 @@ def suffix_digest(docs: DataFrame, n: int = N_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_spans(docs.select("doc_id", "text"), repeated_byte_spans(docs, n))
     return rows.select("doc_id", "text", "spans").mapInArrow(
-        _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        freed(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeated_bytes(docs: DataFrame, n: int = N_BYTES) -> DataFrame:
@@ -168,6 +168,6 @@ def remove_repeated_bytes(docs: DataFrame, n: int = N_BYTES) -> DataFrame:
                 out.append(kept_bytes(t.encode(), lo, hi).decode("utf-8", "ignore") if len(lo) else t)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], names=["row", "new_text"])
     rows = with_spans(docs, repeated_byte_spans(docs, n))
-    kind = docs.schema.simpleString()
-    out = rows.select("row", "text", "spans").mapInArrow(run, f"row {kind}, new_text string")
-    return out.select(F.col("row").withField("text", F.col("new_text")).alias("row")).select("row.*")
+    out = rows.select("row", "text", "spans").mapInArrow(
+        freed(run), f"row {rows.schema['row'].dataType.simpleString()}, new_text string")
+    return with_text(out, docs.columns, "row", "new_text")
