@@ -4,7 +4,7 @@ Seeds: each document's winnowed anchors (``rolling.extents``), two hashes a seed
 Seeds whose anchor hash occurs once are done.  Where all occurrences of an anchor
 have the same extent, the extent is a repeat as it stands.  Only the *distinct*
 extents of the remaining anchors are fetched from the texts and compared inside
-blocks by the caller's ``resolve`` (hash extension for words, suffix sorting for
+blocks by the caller's ``resolve`` (extension to both sides for words, suffix sorting for
 bytes).
 
 An anchor with more distinct extents than ``BLOCK_EXTENTS`` is *hot* and never meets in
@@ -94,7 +94,8 @@ def _cut(words: bool, n: int) -> Callable:
 class _Extents:
     """The extents of a table of ``CUT`` rows: symbols, and every window by row and place in it."""
 
-    def __init__(self, t: pa.Table, words: bool):
+    def __init__(self, t: pa.Table, words: bool, k: int = 0):
+        self.k = k  # symbols of the anchor
         body = t["content"].combine_chunks()
         raw, off = text_bytes(body)
         self.sym = raw.view(np.uint64) if words else raw
@@ -109,13 +110,13 @@ class _Extents:
         self.keys, self.start, self.ghash = (t[c].to_numpy() for c in ("tkey", "start", "ghash"))
 
 
-def _blocks(resolve: Callable, words: bool, n: int) -> Callable:
+def _blocks(resolve: Callable, words: bool, n: int, k: int) -> Callable:
     """Rows come sorted by ghash; whole buckets are gathered into blocks of bounded size."""
     def found(t: pa.Table):
-        x = _Extents(t, words)
+        x = _Extents(t, words, k)
         bucket = np.zeros(len(x.ghash), np.int64)
         bucket[1:] = np.cumsum(x.ghash[1:] != x.ghash[:-1])
-        cls, order = resolve(x.sym, x.pos, bucket[x.row], n)  # class of each window in `order`
+        cls, order = resolve(x, bucket, n)  # class of each window in `order`
         rep = np.zeros(len(x.pos), bool)
         rep[order] = np.bincount(cls)[cls] > 1
         i = np.flatnonzero(rep)  # runs of repeated windows of one extent
@@ -247,7 +248,7 @@ def repeated_spans(docs: DataFrame, n: int, k: int, words: bool, resolve: Callab
     cut = write_table(d.join(want.hint("shuffle_hash"), same_row(d, want)).select(
         d["doc_id"], d["tkey"], "text", "want").mapInArrow(freed(_cut(words, n)), CUT), f"{tag}-extents")
     sort = cut.where("not hot").repartition("ghash").sortWithinPartitions("ghash")
-    found = write_table(sort.mapInArrow(freed(_blocks(resolve, words, n)), FOUND), f"{tag}-found")
+    found = write_table(sort.mapInArrow(freed(_blocks(resolve, words, n, k)), FOUND), f"{tag}-found")
     spans = whole.union(again).union(found).union(_hot_spans(cut.where("hot"), n, k, words, tag))
     return spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

@@ -121,9 +121,13 @@ def _compare(i: int, j: int, rank: np.ndarray) -> int:
     return int(rank[i + d] - rank[j + d])
 
 
+def _sorted(x, bucket: np.ndarray, n: int):
+    return sort_block(x.sym, x.pos, bucket[x.row], n)
+
+
 def repeated_byte_spans(docs: DataFrame, n: int = N_BYTES, k: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, tkey, spans of byte positions)."""
-    return repeated_spans(docs, n, k or max(1, n // 4), False, sort_block, "suffix")
+    return repeated_spans(docs, n, k or max(1, n // 4), False, _sorted, "suffix")
 
 
 def kept_bytes(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
