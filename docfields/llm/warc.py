@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm.common import shared_path
+from docfields.llm.common import shared_path, write_table
 from docfields.llm.token_ids import filesystem
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -163,21 +163,23 @@ def with_roles(pages: DataFrame) -> DataFrame:
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write ``*.warc.zst`` archives below ``path`` (one or more a task, renamed when complete)."""
+def write_archives(pages: DataFrame, path: str) -> list[str]:
+    """Write ``*.warc.zst`` archives below ``path`` (one or more a task, renamed when complete) and return the
+    names of those that count.  Every attempt of a task names its files anew; the names of the attempt that Spark
+    took are the manifest, so files of a repeated or lost attempt are never read."""
     store, root = filesystem(path)
     store.create_dir(root)
 
     def write(batches):
         store, root = filesystem(path)
-        part, number, names = TaskContext.get().partitionId(), 0, []
+        part, number, names = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}", 0, []
         out = writer = None
         temp = ""
 
         def close():
             nonlocal out, writer, number
             out.close()
-            names.append(f"{root}/pages-{part:08d}-{number:05d}.warc.zst")
+            names.append(f"{root}/pages-{part}-{number:05d}.warc.zst")
             store.move(temp, names[-1])
             out = writer = None
             number += 1
@@ -195,8 +197,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     close()
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
-    with_roles(pages).mapInArrow(write, "file string").agg(F.count("*")).collect()
+        yield pa.RecordBatch.from_arrays([pa.array([n.rsplit("/", 1)[1] for n in names], pa.string())], names=["file"])
+    done = write_table(with_roles(pages).mapInArrow(write, "file string"), "warc-manifest")
+    return [f"{path.rstrip('/')}/{r['file']}" for r in done.collect()]  # one name an archive, as in Spark's own listing
 
 
 def _page(urn: str | None):
@@ -204,8 +207,9 @@ def _page(urn: str | None):
     return None if x in ("", "null") else int(x)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``; ``error`` tells why a record was refused."""
+def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per record of the archives below ``path``, or of the given archives; ``error`` tells why a record
+    was refused."""
     def read(batches):
         for b in batches:
             for i in range(b.num_rows):
@@ -227,6 +231,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                                      names=[x.split()[0] for x in RECORD.split(", ")])
+    if not path:
+        return spark.createDataFrame([], RECORD)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema(
         "path string, modificationTime timestamp, length long, content binary").load(path)
     return files.select("content").mapInArrow(read, RECORD)
@@ -235,6 +241,5 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write the archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, error."""
     path = shared_path(pages.sparkSession, "warc")
-    write_archives(pages, path)
-    return read_archives(pages.sparkSession, path).select(
+    return read_archives(pages.sparkSession, write_archives(pages, path)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
