@@ -4,8 +4,9 @@ A text's tokens are runs of ASCII letters and digits (lower case) and bytes abov
 the distinct hashed unigrams, bigrams and pairs with one or two tokens between, so length does not
 matter.  FTRL-proximal learns row by row, with a rate of its own for every coordinate, so one task
 walks the training rows: at most ``SAMPLE`` labelled rows in hash order, written once and read again in
-each of ``ROUNDS`` rounds, which start from the state of the round before.  L1 leaves few weights;
-``DIM`` of them at most are broadcast, and every document is scored in one pass without a shuffle.
+each of ``ROUNDS`` rounds, which start from the state of the round before.  L1 leaves few weights; only
+those that are not zero are broadcast (``DIM`` at most), and every document is scored in one pass without
+a shuffle.
 
 Defined results: null or empty text has no features and gets the score of the intercept; rows without
 a label or with a null doc_id never train; a doc_id that is labelled twice trains with its larger
@@ -128,10 +129,13 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    w = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    learned = train(docs, labels)
+    live = np.flatnonzero(learned).astype(np.int32)
+    sparse = docs.sparkSession.sparkContext.broadcast((live, learned[live]))
 
     def score(batches):
-        weight = w.value
+        weight = np.zeros(DIM + 1)
+        weight[sparse.value[0]] = sparse.value[1]
         for b in batches:
             data, off = text_bytes(b.column("text"))
             total = np.full(b.num_rows, weight[DIM])
