@@ -6,10 +6,13 @@ document a posterior over the domains clean / low / toxic.  The rates r >= 0 of
     sum over domains of (expected share of tokens - target share)^2 / present share
 
 and, of all that do, change the documents least (sum of tokens * (r - 1)^2, weight ``RIDGE`` beside the
-shares).  Such rates have the form max(0, 1 - sum_k p_k G_k) with one number G a domain, so Newton steps
-solve a convex problem in three unknowns whatever the spread of the posteriors.  A step needs the expected
-tokens by domain and by pair of domains over the documents with a rate above 0 -- one aggregate over the
-narrow table of posteriors -- and no rate is stored or sent.  It ends at the optimum (gradient below
+shares).  They are found by projected gradient steps: the gradient moves the rate of every document by
+sum_k p_k g_k, g being the gap of each domain's share, and rates below 0 are clipped to 0.  The sum of the
+steps so far, one number G a domain, is all that is kept: a rate is max(0, 1 - sum_k p_k G_k), and no rate is
+stored or sent.  The gap is scaled by the inverse of its 3 x 3 curvature over the documents with a rate above 0
+(for these three unknowns, a Newton step), and the step is halved until the value falls, so it converges
+whatever the spread of the posteriors.  A step is one aggregate over the narrow table of posteriors: the
+expected tokens by domain and by pair of domains.  It ends at the optimum (gradient below
 ``OPTIMAL``); the remaining gap of targets that cannot be met (a domain that no document belongs to) is
 logged.
 
