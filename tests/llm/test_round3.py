@@ -232,3 +232,58 @@ def test_lm_edges(spark, none):
     ids = [i for i in range(100) if held_out(i)]
     only = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
     assert {tuple(r)[1:] for r in suffix_tree.lm_scores(only).collect()} == {(True, 3, 0, 0, 0.0, 0.0)}
+
+
+def thue_morse(n, swap=False):
+    bits = [bin(i).count("1") % 2 ^ swap for i in range(n)]
+    return "".join("ab"[b] for b in bits)
+
+
+def test_words_and_lines_that_collide_modulo_a_power_of_two(spark):
+    """Polynomial hashes modulo 2^64 are equal for these, whatever the base."""
+    from docfields.llm import quality, substring_dedup, suffix_dedup
+
+    one, two = thue_morse(2048), thue_morse(2048, True)
+    same = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {two}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.substring_digest(df, 35).collect()} == {0}
+    lines = spark.createDataFrame([(1, f"{one}\n{two}"), (2, f"{one}\n{one}")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["n_dup_lines"] for r in quality.quality_verdicts(lines, none).collect()}
+    assert got == {1: 0, 2: 1}
+    assert {r["n_removed"] for r in suffix_dedup.suffix_digest(
+        spark.createDataFrame([(1, one[:400]), (2, two[:400])], "doc_id long, text string"), 400).collect()} == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_extension_finds_every_repeat(spark, seed, monkeypatch):
+    """Few words, so that anchors have many different sides; against all windows."""
+    from docfields.llm import substring_dedup
+
+    rng = np.random.default_rng(seed)
+    texts = [[f"w{x}" for x in rng.integers(0, 2 + seed, rng.integers(0, 90))] for _ in range(60)]
+    seen = Counter(tuple(t[i:i + 8]) for t in texts for i in range(len(t) - 7))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = {}
+    for d, t in enumerate(texts):
+        gone = set()
+        for i in range(len(t) - 7):
+            if seen[tuple(t[i:i + 8])] > 1:
+                gone.update(range(i, i + 8))
+        want[d] = len(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_digest(df, 8).collect()} == want
+
+
+def test_archives_of_a_repeated_task_are_not_read(spark):
+    import os
+    import shutil
+
+    from docfields.llm import warc
+    from docfields.llm.common import shared_path
+
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (50 * i)) for i in range(20)], "page_id long, url string, html string").repartition(3)
+    path = shared_path(spark, "warc-test").removeprefix("file:")
+    names = warc.write_archives(pages, path)
+    shutil.copy(names[0], os.path.join(path, "pages-00000000-lost-00000.warc.zst"))
+    assert warc.read_archives(spark, path).count() > 20 == warc.read_archives(spark, names).count()
+    assert warc.warc_round_trip(pages.limit(0)).count() == 0
