@@ -7,6 +7,9 @@ the JVM, per row, without a Python round trip).
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,6 +144,28 @@ def token_estimate(c) -> Column:
     return (F.floor(F.length(_c(c)) / 4) + 1).cast("bigint")
 
 
+def token_count(c, load: Callable[[], Callable[[list[str]], list[int]]]) -> Column:
+    """X8 with a caller's tokenizer.  ``load`` is called once a task and returns a function from texts to token
+    counts (an Arrow batch at a time); where it cannot be loaded, raises, or the count is missing, the estimate of
+    ``token_estimate`` stands in.  A null text has no count."""
+    @F.pandas_udf("long")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            model = load()
+        except Exception:  # noqa: BLE001 - no tokenizer: the estimate counts
+            model = None
+        for texts in batches:
+            known = texts.notna()
+            out = pd.Series([None] * len(texts), dtype="Int64", index=texts.index)
+            try:
+                if model is not None:
+                    out[known] = model(texts[known].tolist())
+            except Exception:  # noqa: BLE001
+                out[:] = None
+            yield out
+    return F.coalesce(counts(_c(c)), token_estimate(c))
+
+
 def keyword_tokens(c) -> Column:
     """Distinct lower-case [a-zA-Z0-9_]+ tokens longer than 2 (first-seen order)."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(KEYWORD_RE), 0)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from docfields.functions import text as T
+from docfields.session import cut_lineage
 
 # Default deterministic extraction rules (key, label, Java/RE2-compatible pattern).
 DEFAULT_RULES = (
@@ -36,6 +37,7 @@ MODEL_WINDOW_CHARS = 8000
 FUZZY_THRESHOLD = 85
 RULE_SLOTS = 16
 UDF_SLOTS = 1 << 20
+SEQ = "decimal(30,0)"
 
 
 # ----------------------------------------------------------------------------- P5 / V1
@@ -48,6 +50,11 @@ def discovery_input(docs: DataFrame, min_chars: int = MIN_CHARS, max_chars: int
     return d
 
 
+def _seq(slots: int, slot):
+    """First-seen order: document, then place in the document; a decimal, so that any 64-bit id fits."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(slots).cast("decimal(8,0)") + slot.cast("decimal(8,0)")).cast(SEQ)
+
+
 def extract_fields_rules(docs: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """V1 default: native ``regexp_extract_all`` per rule; exact de-duplication in
     first-seen order; only non-empty fields are emitted.  docs: (workspace_id, doc_id, text)."""
@@ -70,7 +77,7 @@ def extract_fields_rules(docs: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     ]
     ex = docs.select("workspace_id", "doc_id", F.inline(F.array(*structs)))
     return ex.where(F.size("refs") > 0).select(
-        "workspace_id", "doc_id", (F.col("doc_id") * max(RULE_SLOTS, len(structs)) + F.col("slot")).alias("seq"),
+        "workspace_id", "doc_id", _seq(max(RULE_SLOTS, len(structs)), F.col("slot")).alias("seq"),
         "field_key", "label", "refs")
 
 
@@ -114,18 +121,19 @@ def extract_fields_udf(docs: DataFrame, extractor: Callable, instructions: str =
 
         per_doc = per_doc.withColumn("refs", fuzzy_dedupe_col("refs", FUZZY_THRESHOLD))
     slot = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
-    return per_doc.select(*keys, (F.col("doc_id") * UDF_SLOTS + slot).alias("seq"), "field_key", "label", "refs")
+    return per_doc.select(*keys, _seq(UDF_SLOTS, slot).alias("seq"), "field_key", "label", "refs")
 
 
 # ----------------------------------------------------------------------------- A1 / A2 / W1
-def merge_fields(doc_fields: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def merge_fields(doc_fields: DataFrame, keys: list[str] | None = None, sources: bool = True) -> DataFrame:
     """A1: per (workspace, field_key): first-seen label (even if null), first-seen-order
     distinct union of references, doc_frequency = documents having the key, ordered
     distinct source documents, seq = first appearance.
 
     References are pre-aggregated per (field, reference) before the per-field
     collect, so a hot field spreads its work over its references and the final
-    list per field is bounded by its distinct references.
+    list per field is bounded by its distinct references.  The list of source documents grows with the
+    corpus: ``sources=False`` leaves it out, ``field_lineage`` holds the same as long rows.
     """
     keys = keys or ["workspace_id"]
     per_ref = (
@@ -139,12 +147,28 @@ def merge_fields(doc_fields: DataFrame, keys: list[str] | None = None) -> DataFr
         F.min_by("label", "seq").alias("label"),
         F.count(F.lit(1)).alias("doc_frequency"),
         F.min("seq").alias("seq"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "doc_id"))), lambda x: x["doc_id"]).alias("source_docs"),
+        *([F.transform(F.array_sort(F.collect_list(F.struct("seq", "doc_id"))), lambda x: x["doc_id"]).alias("source_docs")]
+          if sources else []),
     )
     out = base.join(refs, [*keys, "field_key"], "left")
     return out.select(*keys, "field_key", "label",
                       F.coalesce("refs", F.array().cast("array<string>")).alias("refs"),
-                      F.array_distinct("source_docs").alias("source_docs"), "doc_frequency", "seq")
+                      *([F.array_distinct("source_docs").alias("source_docs")] if sources else []), "doc_frequency", "seq")
+
+
+def field_lineage(doc_fields: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A1's source documents as long rows: (keys, field_key, doc_id, at), ``at`` gives their order."""
+    keys = keys or ["workspace_id"]
+    return doc_fields.groupBy(*keys, "field_key", "doc_id").agg(F.min("seq").alias("at"))
+
+
+def sources_of(fields: DataFrame, lineage: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """fields with ``source_docs``, the ordered list that an output asks for."""
+    keys = [*(keys or ["workspace_id"]), "field_key"]
+    lists = lineage.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id"))),
+                                                   lambda x: x["doc_id"]).alias("source_docs"))
+    return fields.join(lists, keys, "left").withColumn(
+        "source_docs", F.coalesce("source_docs", F.array().cast("array<bigint>")))
 
 
 def section_frequency(processed_docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -240,17 +264,43 @@ def reattach_lineage(canonical: DataFrame, raw: DataFrame, keys: list[str] | Non
         "seq")
 
 
+def reattach_lineage_long(canonical: DataFrame, raw: DataFrame, lineage: DataFrame,
+                          keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """J5 on long lineage: (canonical fields with doc_frequency and n_source_docs, their lineage as long rows).
+    raw: (keys, field_key, refs, seq); lineage: ``field_lineage`` of the raw fields."""
+    keys = keys or ["workspace_id"]
+    c_refs = canonical.select(*keys, F.col("field_key").alias("canon_key"), F.explode("refs").alias("ref")).distinct()
+    r_refs = raw.select(*keys, F.col("field_key").alias("raw_key"), F.col("seq").alias("raw_seq"),
+                        F.explode("refs").alias("ref")).distinct()
+    pairs = cut_lineage(c_refs.join(r_refs, [*keys, "ref"]).select(*keys, "canon_key", "raw_key", "raw_seq").distinct())
+    own = lineage.withColumnRenamed("field_key", "raw_key")
+    long = cut_lineage(pairs.join(own, [*keys, "raw_key"]).groupBy(*keys, F.col("canon_key").alias("field_key"), "doc_id").agg(
+        F.min(F.struct("raw_seq", "at")).alias("at")))
+    counts = pairs.groupBy(*keys, F.col("canon_key").alias("field_key")).agg(F.count(F.lit(1)).alias("doc_frequency"))
+    docs = long.groupBy(*keys, "field_key").agg(F.count(F.lit(1)).alias("n_source_docs"))
+    lbl = F.when(F.coalesce(F.length("label"), F.lit(0)) > 0, F.col("label")).otherwise(T.label_from_key("field_key"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    out = canonical.select(*keys, "field_key", "label", "refs", "seq").join(counts, [*keys, "field_key"], "left").join(
+        docs, [*keys, "field_key"], "left")
+    return out.select(*keys, "field_key", lbl.alias("label"), "refs", zero("doc_frequency"), zero("n_source_docs"), "seq"), long
+
+
+def canonical_fields(fields: DataFrame, consolidator: Callable | None = None, keys: list[str] | None = None) -> DataFrame:
+    """V2 without J5: the default grouping, or a user's ``consolidator``."""
+    keys = keys or ["workspace_id"]
+    if consolidator is None:
+        return consolidate_default(fields, keys)
+    schema = f"{', '.join(k + ' string' for k in keys)}, field_key string, label string, refs array<string>, seq {SEQ}"
+    return fields.select(*keys, "field_key", "label", "refs", F.col("seq").cast(SEQ).alias("seq")).groupBy(*keys).applyInPandas(
+        consolidator, schema)
+
+
 def consolidate(fields: DataFrame, consolidator: Callable | None = None, keys: list[str] | None = None) -> DataFrame:
     """V2: canonical fields then J5.  ``consolidator(pdf) -> pdf`` (per workspace, via
     ``applyInPandas``) replaces the default grouping when given; it receives the raw
     fields of one workspace (field_key, label, refs, seq) and returns canonical ones."""
     keys = keys or ["workspace_id"]
-    if consolidator is None:
-        canon = consolidate_default(fields, keys)
-    else:
-        schema = f"{', '.join(k + ' string' for k in keys)}, field_key string, label string, refs array<string>, seq bigint"
-        canon = fields.select(*keys, "field_key", "label", "refs", "seq").groupBy(*keys).applyInPandas(consolidator, schema)
-    return reattach_lineage(canon, fields, keys)
+    return reattach_lineage(canonical_fields(fields, consolidator, keys), fields, keys)
 
 
 # ----------------------------------------------------------------------------- J11 / M11 / S6

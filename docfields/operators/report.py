@@ -1,4 +1,4 @@
-"""Reports: P1, J6, A7, X27, V3, V4, A13-A15, W2, A8, A9, J10, J12, U4, S7.
+"""Reports: P1, J6, A7, X27, X28, V3, V4, A13-A15, W2, A8, A9, J10, J12, U4, S7.
 
 One job for all workspaces: the per-workspace N+1 queries of the reference become
 a semi/anti join (J6) and a grouped count (A7); values live in the long form
@@ -6,7 +6,11 @@ a semi/anti join (J6) and a grouped count (A7); values live in the long form
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from typing import NamedTuple
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import text as T
@@ -71,6 +75,94 @@ def field_context(fields: DataFrame, locations: DataFrame, keys: list[str] | Non
                                                          lambda x: x["b"]), "\n\n").alias("context"))
 
 
+def hint_lines(columns: str | Column) -> Column:
+    """One line a requested column, ``- name`` or ``- name (Hint: description)``.
+    columns: ARRAY<STRUCT<name, description>>."""
+    def line(c):
+        hint = F.when(F.length(F.coalesce(c["description"], F.lit(""))) > 0,
+                      F.concat(F.lit(" (Hint: "), c["description"], F.lit(")"))).otherwise(F.lit(""))
+        return F.concat(F.lit("- "), c["name"], hint)
+    return F.array_join(F.transform(columns, line), "\n")
+
+
+def build_request(template: str, **parts: Column) -> Column:
+    """The caller's ``template`` with each ``{part}`` put in, trimmed; a missing part is empty."""
+    out, rest = [], template
+    while rest:
+        at = {rest.find("{" + name + "}"): name for name in parts if "{" + name + "}" in rest}
+        if not at:
+            out.append(F.lit(rest))
+            break
+        i = min(at)
+        out += [F.lit(rest[:i]), F.coalesce(T.py_strip(parts[at[i]]), F.lit(""))]
+        rest = rest[i + len(at[i]) + 2:]
+    return F.concat(*out) if out else F.lit("")
+
+
+class Request(NamedTuple):
+    """What a resolver sees: the text to answer from and the columns asked for, as (name, description)."""
+    context: str
+    columns: list[tuple[str, str | None]]
+
+
+Resolver = Callable[[list[Request]], list[dict]]
+
+
+def ask(requests: DataFrame, resolver: Resolver, keys: list[str], batch: int = 32) -> DataFrame:
+    """Put requests (keys, context, columns ARRAY<STRUCT<name, description>>) to a user's callable, ``batch`` at
+    a time -> (keys, column, value), a row for every column asked for.
+
+    A batch that fails is asked again one by one, and a request that fails alone leaves its columns without a
+    value, as does an answer that lacks a column.  Values become trimmed text; blank ones are none."""
+    kinds = ", ".join(f"`{k}` {requests.schema[k].dataType.simpleString()}" for k in keys)
+
+    def answers(part: list[Request]) -> list[dict]:
+        try:
+            got = resolver(part)
+            if len(got) != len(part):
+                raise ValueError(f"{len(got)} answers to {len(part)} requests")
+            return got
+        except Exception:  # noqa: BLE001 - a user's callable may raise anything
+            return [{}] if len(part) == 1 else [answers([r])[0] for r in part]
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                rows = frame.iloc[at:at + batch]
+                asked = [Request(c, [(x["name"], x["description"]) for x in cols])
+                         for c, cols in zip(rows["context"], rows["columns"])]
+                out = []
+                for key, request, got in zip(rows[keys].itertuples(index=False), asked, answers(asked)):
+                    for name, _ in request.columns:
+                        value = (got or {}).get(name)
+                        out.append((*key, name, None if value is None else str(value).strip() or None))
+                yield pd.DataFrame(out, columns=[*keys, "column", "value"])
+    wanted = requests.select(*keys, F.coalesce("context", F.lit("")).alias("context"), "columns")
+    return wanted.mapInPandas(run, f"{kinds}, column string, value string")
+
+
+def context_resolver(contexts: DataFrame, resolver: Resolver, batch: int = 32):
+    """V3 with a user's callable: (workspace context, columns with hints) -> values; for ``report_values``.
+    contexts: (workspace_id, context), for instance ``field_context``."""
+    def resolve(fields: DataFrame, columns: DataFrame) -> DataFrame:
+        asked = columns.agg(F.array_sort(F.collect_list(F.struct("col_order", "name", "description")))).scalar()
+        return ask(contexts.select("workspace_id", "context", asked.alias("columns")), resolver, ["workspace_id"], batch)
+    return resolve
+
+
+def document_resolver(resolver: Resolver, columns: DataFrame, batch: int = 32):
+    """V4 with a user's callable: it sees one document at a time and the columns its workspace lacks (with
+    their hints); the first value in document order counts.  For ``resolve_from_docs``'s place."""
+    def resolve(docs: DataFrame, missing: DataFrame, order: str = "doc_id") -> DataFrame:
+        hints = column_hints(missing.select("workspace_id", F.col("column").alias("name")), columns)
+        wanted = hints.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct("name", "description"))).alias("columns"))
+        asked = docs.where(F.length("text") > 0).select("workspace_id", F.col(order).alias("__o"), F.col("text").alias("context"))
+        got = ask(asked.join(wanted, "workspace_id"), resolver, ["workspace_id", "__o"], batch).where(F.col("value").isNotNull())
+        first = got.groupBy("workspace_id", "column").agg(F.min_by("value", "__o").alias("value"))
+        return missing.join(first, ["workspace_id", "column"], "left")
+    return resolve
+
+
 def resolve_default(fields: DataFrame, columns: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """V3 default resolver: per (workspace, column) the field with the best keyword
     overlap between (column name + hint) and (field key + label); value = its first
@@ -188,11 +280,25 @@ def append_resolved(valid: DataFrame, resolved: DataFrame) -> DataFrame:
     return valid.withColumn("src_rank", F.lit(0)).unionByName(resolved.withColumn("src_rank", F.lit(1)))
 
 
-def write_report(wide: DataFrame, cols: list[str], path: str, title: str | None = None) -> None:
-    """Ordered columns, list values joined by ', ', header row; the title goes
-    into a side file name (``_title``) rather than a merged cell."""
-    out = wide.select(*[(F.array_join(F.col(f"`{c}`"), ", ") if str(wide.schema[c].dataType).startswith("Array")
-                         else F.col(f"`{c}`")).alias(c) for c in cols])
-    out.write.mode("overwrite").option("header", True).csv(path)
+def write_report(wide: DataFrame, cols: list[str], path: str, title: str | None = None, order: str = "S.No") -> None:
+    """Ordered columns, list values joined by ', '.  Rows are ranged by ``order`` into as many files as
+    there are ranges; the header is a row before the first one, so the files, put together by name, are one
+    CSV sheet with one header, and no task sees all rows.  The title goes into a side file (``_title``)."""
+    text = [(F.array_join(F.col(f"`{c}`"), ", ") if str(wide.schema[c].dataType).startswith("Array")
+             else F.col(f"`{c}`").cast("string")).alias(c) for c in cols]
+    body = wide.select(F.col(f"`{order}`").cast("long").alias("__pos"), *text)
+    head = wide.sparkSession.range(1).select(F.lit(0).cast("long").alias("__pos"), *[F.lit(c).alias(c) for c in cols])
+    out = head.unionByName(body).repartitionByRange("__pos").sortWithinPartitions("__pos")
+    out.drop("__pos").write.mode("overwrite").option("quoteAll", True).option("escape", '"').csv(path)
     if title:
         wide.sparkSession.createDataFrame([(title,)], "title string").write.mode("overwrite").text(path + "_title")
+
+
+def read_report(spark, cols: list[str], path: str) -> DataFrame:
+    """The rows of ``write_report``, all as text (an empty cell is null)."""
+    names = ", ".join(f"`c{i}` string" for i in range(len(cols)))
+    rows = spark.read.schema(names).option("multiLine", True).option("escape", '"').csv(path)
+    is_head = F.lit(True)
+    for i, c in enumerate(cols):
+        is_head = is_head & F.col(f"c{i}").eqNullSafe(F.lit(c))
+    return rows.where(~is_head).toDF(*cols)

@@ -1,4 +1,5 @@
-"""Q4 retrieve: J7 -> P4 -> T2 -> X12/X19/U2 -> T3 -> W5, for all chat messages at once."""
+"""Q4 retrieve: J7 -> P4 -> T2 -> X12/X19/U2 -> T3 -> W5, for all chat messages at once, and the three
+retrieval functions a chat calls (V5): workspaces, excerpts of documents, tables of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -25,3 +26,32 @@ def retrieve_for_messages(messages: DataFrame, names: DataFrame, docs: DataFrame
     j = picked.join(q, "msg").join(docs.select("doc_id", "text"), "doc_id")
     return j.select(F.col("msg.conv_id").alias("conv_id"), F.col("msg.turn").alias("turn"), "workspace_id", "doc_id",
                     R.compress(F.col("text"), F.col("qt"), budget=budget).alias("excerpt"))
+
+
+# ----------------------------------------------------------------------------- V5
+def workspaces_list(ws: DataFrame, limit: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """The newest workspaces a user may see; the limit is kept between 1 and 100, 20 by default."""
+    return R.list_workspaces(R.apply_scope(ws, None, allowed), limit)
+
+
+def documents_context(docs: DataFrame, question: str = "", max_docs: int = 6, requested: DataFrame | None = None,
+                      allowed: DataFrame | None = None, budget: int = R.BUDGET) -> DataFrame:
+    """V5: the latest documents of the requested and allowed workspaces (at most 20) with an excerpt packed for
+    the question and the length of the whole text.  docs: (doc_id, workspace_id, name, upload_date, text).
+    The documents are picked without their texts; those are fetched for the few picked."""
+    head = R.apply_scope(docs.select("doc_id", "workspace_id", "name", "upload_date"), requested, allowed)
+    picked = R.latest_docs(head, None, max_docs)
+    words = T.keyword_tokens(F.lit(question))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return picked.join(docs.select("doc_id", text.alias("text")), "doc_id").select(
+        "doc_id", "workspace_id", "name", "upload_date", R.compress(F.col("text"), words, budget=budget).alias("excerpt"),
+        F.length("text").alias("text_length"))
+
+
+def documents_tables(docs: DataFrame, max_docs: int = 6, requested: DataFrame | None = None,
+                     allowed: DataFrame | None = None) -> DataFrame:
+    """The nested tables of the latest documents of the requested and allowed workspaces; documents
+    without tables give none.  docs: (doc_id, workspace_id, name, upload_date, tables)."""
+    head = R.apply_scope(docs.select("doc_id", "workspace_id", "upload_date"), requested, allowed)
+    picked = R.latest_docs(head, None, max_docs)
+    return R.scope_tables(docs.select("doc_id", "workspace_id", "name", "tables"), picked).join(picked.select("doc_id"), "doc_id", "left_semi")

@@ -1,7 +1,8 @@
-"""Q2 generate: P7 -> X20 (text) / X22 (runs) / N4 (cells) -> A6 -> S8.
+"""Q2 generate: P7 -> N4 (tables first) -> X20 (text) / X22 (runs) -> A6 -> S8.
 
-Replacement pairs are per workspace (derived from its fields and the user's
-values), so they reach each document through an equi-join on workspace_id.
+Replacement pairs are per workspace (derived from its fields and the user's values), so they reach
+each document through an equi-join on workspace_id.  Table edits only touch tables, replacements only text,
+so both sides are made apart and meet by document.
 """
 from __future__ import annotations
 
@@ -10,35 +11,72 @@ from pyspark.sql import functions as F
 
 from docfields.functions import text as T
 from docfields.operators import edits as E
+from docfields.operators import tables as TB
+from docfields.operators.lifecycle import write_documents
 
 
-def generate(docs: DataFrame, fields: DataFrame, user_values: DataFrame,
-             runs: DataFrame | None = None, cells: DataFrame | None = None,
-             table_edits: DataFrame | None = None) -> DataFrame:
-    """docs: (doc_id, workspace_id, name, text).  Returns the edited documents with
-    ``total_replacements`` (non-overlapping text replacements + applied cell edits)."""
+def workspace_pairs(fields: DataFrame, user_values: DataFrame) -> DataFrame:
+    """P7 in the order the user sees it: (workspace_id, seq, old, new), by field, then by reference."""
     pairs = E.effective_replacements(fields, user_values)
-    # order of pairs: field order, then reference order (as the UI lists them)
-    pairs = pairs.join(fields.select("workspace_id", "field_key", F.col("seq").alias("fseq")),
-                       ["workspace_id", "field_key"]) \
-        .select("workspace_id", F.struct("fseq", "ref_pos").alias("seq"),
-                F.col("ref").alias("old"), "new")
-    with_pairs = E.attach_pairs(docs, pairs, key="workspace_id")
+    return pairs.join(fields.select("workspace_id", "field_key", F.col("seq").alias("fseq")), ["workspace_id", "field_key"]) \
+        .select("workspace_id", F.struct("fseq", "ref_pos").alias("seq"), F.col("ref").alias("old"), "new")
 
+
+def _replace_text(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """X20 on whole texts: (doc_id, text, n_text)."""
     def step(st, p):
         t = st["text"]
-        n = T.count_nonoverlapping(t, p["old"])
-        return F.struct(F.replace(t, p["old"], p["new"]).alias("text"), (st["count"] + n).alias("count"))
+        return F.struct(F.replace(t, p["old"], p["new"]).alias("text"),
+                        (st["count"] + T.count_nonoverlapping(t, p["old"])).alias("count"))
 
     init = F.struct(F.col("text").alias("text"), F.lit(0).cast("bigint").alias("count"))
-    out = with_pairs.withColumn("st", F.aggregate("pairs", init, step))
-    out = out.select("doc_id", "workspace_id", "name", F.col("st.text").alias("text"),
-                     F.col("st.count").alias("text_replacements"))
-    if cells is not None and table_edits is not None:
-        applied = E.apply_cell_edits(cells, table_edits).groupBy("doc_id").agg(F.sum("n_applied").alias("cell_edits"))
-        out = out.join(applied, "doc_id", "left")
+    out = E.attach_pairs(docs, pairs, key="workspace_id").withColumn("st", F.aggregate("pairs", init, step))
+    return out.select("doc_id", F.col("st.text").alias("text"), F.col("st.count").alias("n_text"))
+
+
+def _replace_runs(docs: DataFrame, runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """X22 on the runs of paragraphs: (doc_id, paragraphs ARRAY<STRUCT<para_idx, runs>>, text, n_text)."""
+    keyed = runs.join(docs.select("doc_id", "workspace_id"), "doc_id")
+    done = E.replace_runs(keyed, pairs, key="workspace_id")
+    return done.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("para_idx", "runs"))).alias("paragraphs"),
+        F.sum("count").alias("n_text")).select(
+        "doc_id", "paragraphs",
+        F.array_join(F.transform("paragraphs", lambda p: F.array_join(p["runs"], "")), "\n").alias("text"), "n_text")
+
+
+def generate(docs: DataFrame, fields: DataFrame, user_values: DataFrame, runs: DataFrame | None = None,
+             cells: DataFrame | None = None, table_edits: DataFrame | None = None) -> DataFrame:
+    """docs: (doc_id, workspace_id, name, text) -> the edited documents: doc_id, workspace_id, name, text,
+    ``paragraphs`` (edited runs; null without runs), ``tables`` (nested, N1; null without cells) and
+    ``total_replacements`` (A6: replacements in the text plus applied table edits).
+
+    runs: (doc_id, para_idx, run_idx, text): a document that has runs is edited in them (X22) and its text is
+    their paragraphs; any other one is edited as a whole (X20).  An empty paragraph without runs is left out
+    of ``paragraphs``.  cells and table_edits as in N4."""
+    pairs = workspace_pairs(fields, user_values)
+    kind = "array<struct<para_idx:int,runs:array<string>>>"
+    if runs is None:
+        edited = _replace_text(docs, pairs).withColumn("paragraphs", F.lit(None).cast(kind))
+    else:
+        plain = docs.join(runs.select("doc_id").distinct(), "doc_id", "left_anti")
+        edited = _replace_runs(docs, runs, pairs).unionByName(
+            _replace_text(plain, pairs).withColumn("paragraphs", F.lit(None).cast(kind)))
+    out = docs.select("doc_id", "workspace_id", "name").join(edited, "doc_id", "left")
+    none = F.lit(0).cast("bigint")
+    if cells is not None:
+        done = E.apply_cell_edits(cells, table_edits) if table_edits is not None else cells.withColumn("n_applied", none)
+        done = done.withColumn("display", T.cell_text("paras"))
+        counts = done.groupBy("doc_id").agg(F.sum("n_applied").alias("n_cells"))
+        out = out.join(TB.assemble_tables(done), "doc_id", "left").join(counts, "doc_id", "left")
     else:
-        out = out.withColumn("cell_edits", F.lit(0))
-    return out.withColumn("total_replacements",
-                          (F.col("text_replacements") + F.coalesce("cell_edits", F.lit(0))).cast("bigint")) \
-        .drop("text_replacements", "cell_edits")
+        out = out.withColumn("tables", F.lit(None).cast("string")).withColumn("n_cells", none)
+    total = (F.coalesce("n_text", none) + F.coalesce("n_cells", none)).cast("bigint")
+    return out.select("doc_id", "workspace_id", "name", "text", "paragraphs", "tables", total.alias("total_replacements"))
+
+
+def generate_to(path: str, docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """``generate`` into the S8 sink, one folder a workspace, and read back from it."""
+    out = generate(docs, *args, **kwargs)
+    write_documents(out, path)
+    return out.sparkSession.read.schema(out.schema).parquet(path)

@@ -268,12 +268,64 @@ def s9_render_table(spark, sf_dir):
                     F.sha2(TB.render_table("t", "html"), 256).alias("html_digest"))
 
 
-@register("Q2_generate")
+Q2_TEXT = f"""{P7_SQL.replace("SELECT workspace_id, field_key, pos AS ref_pos", "SELECT workspace_id, seq, pos AS ref_pos").replace(
+    "(SELECT workspace_id, field_key, unnest(refs) AS ref, generate", "(SELECT workspace_id, seq, field_key, unnest(refs) AS ref, generate").replace(
+    "(SELECT workspace_id, field_key, ref, pos,", "(SELECT workspace_id, seq, field_key, ref, pos,")}"""
+
+
+def _q2_sql(select: str, extra: str = "") -> str:
+    ctes, last = Q2_TEXT.rsplit("SELECT workspace_id, seq, pos AS ref_pos", 1)
+    return f"""{ctes.rstrip().replace("WITH", "WITH RECURSIVE", 1)},
+eff AS (SELECT workspace_id, seq, pos AS ref_pos{last}),
+pair AS MATERIALIZED (SELECT workspace_id, ref AS old, new, row_number() OVER (PARTITION BY workspace_id ORDER BY seq, ref_pos) AS k FROM eff),
+turn AS (SELECT doc_id, source AS workspace_id, 0 AS k, text, CAST(0 AS BIGINT) AS n FROM documents
+  UNION ALL SELECT t.doc_id, t.workspace_id, t.k + 1, replace(t.text, p.old, p.new),
+         t.n + (length(t.text) - length(replace(t.text, p.old, ''))) // length(p.old)
+  FROM turn t JOIN pair p ON p.workspace_id = t.workspace_id AND p.k = t.k + 1),
+edited AS (SELECT doc_id, workspace_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.docx' AS name, arg_max(text, k) AS text, arg_max(n, k) AS n
+           FROM turn GROUP BY ALL){extra}
+{select}"""
+
+
+@register("Q2_generate", _q2_sql("""SELECT doc_id, workspace_id, name, length(text) AS n_chars, sha256(text) AS digest,
+  n AS total_replacements FROM edited"""))
 def q2_generate(spark, sf_dir):
     """Q2: P7 -> X20 per document -> A6 count; the edited documents as digests."""
     from docfields.plans.generate import generate
 
-    out = generate(FX.documents(spark, sf_dir), merged_fields(spark, sf_dir),
-                   user_values(merged_fields(spark, sf_dir)))
+    fields = merged_fields(spark, sf_dir)
+    out = generate(FX.documents(spark, sf_dir), fields, user_values(fields))
     return out.select("doc_id", "workspace_id", "name", F.length("text").alias("n_chars"),
                       F.sha2("text", 256).alias("digest"), "total_replacements")
+
+
+Q2_CELLS = f""",
+{N4_CTES.replace("WITH ", "", 1)},
+shown AS (SELECT doc_id, table_index, row, col, n,
+       array_to_string(list_filter(list_transform(paras, lambda p: PYSTRIP(p)), lambda p: p <> ''), chr(10)) AS display FROM n2),
+grid AS (SELECT doc_id, count(DISTINCT table_index) AS n_tables, string_agg(display, chr(31) ORDER BY table_index, row, col) AS body,
+                sum(n) AS n FROM shown GROUP BY ALL)"""
+
+
+@register("Q2_generate_full", _q2_sql("""SELECT e.doc_id, e.workspace_id, e.name, sha256(e.text) AS digest,
+  coalesce(g.n_tables, 0) AS n_tables, sha256(coalesce(g.body, '')) AS tables_digest,
+  CAST(e.n + coalesce(g.n, 0) AS BIGINT) AS total_replacements
+FROM edited e LEFT JOIN grid g USING (doc_id)""", Q2_CELLS))
+def q2_generate_full(spark, sf_dir):
+    """Q2 in full: P7 -> N4 on nested tables -> X22 on runs -> A6 -> S8, read back from the sink."""
+    from docfields.plans.generate import generate_to
+    from docfields.sources.arrivals import shared_folder
+
+    docs, fields = FX.documents(spark, sf_dir), merged_fields(spark, sf_dir)
+    empty = F.split("text", "\n", -1)
+    # a line without characters still is a paragraph, with one empty run
+    blank = docs.select("doc_id", F.posexplode(empty).alias("para_idx", "line")).where("line = ''").select(
+        "doc_id", "para_idx", F.lit(0).alias("run_idx"), F.col("line").alias("text"))
+    runs = FX.runs(spark, sf_dir).unionByName(blank)
+    own = FX.cells(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi")
+    out = generate_to(shared_folder(spark, "generated"), docs, fields, user_values(fields), runs=runs, cells=own,
+                      table_edits=FX.table_edits(spark, sf_dir))
+    flat = F.flatten(F.flatten(F.transform("tables", lambda t: t["preview"])))
+    return out.select("doc_id", "workspace_id", "name", F.sha2("text", 256).alias("digest"),
+                      F.coalesce(F.size("tables"), F.lit(0)).alias("n_tables"),
+                      F.sha2(F.coalesce(F.array_join(flat, SEP), F.lit("")), 256).alias("tables_digest"), "total_replacements")

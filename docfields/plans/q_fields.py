@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docfields.operators import fields as FLD
 from docfields.operators import locate as L
-from docfields.operators.fuzzy import fuzzy_dedupe_col
+from docfields.operators.fuzzy import fuzzy_dedupe_col, fuzzy_dedupe_table
 from docfields.plans.discover import discover
 from docfields.plans.registry import register
 from docfields.session import cut_lineage
@@ -57,14 +57,14 @@ FLAT_SQL = "array_to_string(refs, ' | ') AS refs, array_to_string(list_transform
 SELECT workspace_id, doc_id, seq, field_key, label, array_to_string(refs, ' | ') AS refs FROM dfx""")
 def v1_extract_rules(spark, sf_dir):
     """V1 default rules (email, phone, url, ISO date, money, license line) per document."""
-    return doc_fields(spark, sf_dir).withColumn("refs", F.array_join("refs", " | "))
+    return doc_fields(spark, sf_dir).withColumn("refs", F.array_join("refs", " | ")).withColumn("seq", F.col("seq").cast("bigint"))
 
 
 @register("A1_merge_fields", f"""WITH {MERGED_SQL}
 SELECT workspace_id, field_key, label, {FLAT_SQL}, doc_frequency, seq FROM merged""")
 def a1_merge_fields(spark, sf_dir):
     """A1: merge per-document fields per workspace (first-seen label and order)."""
-    return _flat(merged_fields(spark, sf_dir, cut=False))
+    return _flat(merged_fields(spark, sf_dir, cut=False)).withColumn("seq", F.col("seq").cast("bigint"))
 
 
 @register("A2_section_frequency", """
@@ -149,6 +149,27 @@ def j4_field_locations(spark, sf_dir):
     return out.select("workspace_id", "field_key", "frequency")
 
 
+@register("J4_field_locations_paras", f"""WITH {MERGED_SQL},
+{_field_freq_sql("merged")},
+para AS (SELECT f.workspace_id, f.field_key, count(*) AS n FROM fref f JOIN lines l
+  ON l.workspace_id = f.workspace_id AND contains(l.line, f.ref)
+  WHERE length(f.ref) > 0 AND (len(f.source_docs) = 0 OR list_contains(f.source_docs, l.doc_id)) GROUP BY ALL)
+SELECT m.workspace_id, m.field_key, CAST(coalesce(f.frequency, 0) AS BIGINT) AS in_lines, coalesce(p.n, 0) AS in_paragraphs,
+       CAST(coalesce(f.frequency, 0) AS BIGINT) + coalesce(p.n, 0) AS frequency
+FROM merged m LEFT JOIN freq f USING (workspace_id, field_key) LEFT JOIN para p USING (workspace_id, field_key)""")
+def j4_field_locations_paras(spark, sf_dir):
+    """J4 with separate paragraph text (J3 rows added), on long lineage."""
+    d = cut_lineage(doc_fields(spark, sf_dir))
+    docs = FX.documents(spark, sf_dir)
+    paras = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text"))
+    fields, locs = L.field_locations_long(cut_lineage(FLD.merge_fields(d, sources=False)), FLD.field_lineage(d), docs, paras)
+    per = locs.groupBy("workspace_id", "field_key").agg(F.count_if(F.col("part") == "line").alias("in_lines"),
+                                                        F.count_if(F.col("part") == "paragraph").alias("in_paragraphs"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return fields.join(per, ["workspace_id", "field_key"], "left").select(
+        "workspace_id", "field_key", none("in_lines"), none("in_paragraphs"), "frequency")
+
+
 @register("A3_discovery_stats", f"""WITH {MERGED_SQL},
 {_field_freq_sql("merged")},
 d AS (SELECT source AS workspace_id, count(*) AS docs_processed, sum(length(text)) AS total_chars_processed
@@ -176,7 +197,7 @@ FROM ranked r LEFT JOIN freq f USING (workspace_id, field_key)""")
 def q1_discover(spark, sf_dir):
     """Q1 flagship: discover -> merge -> consolidate (default V2) -> lineage -> rank -> locate."""
     out = discover(FX.documents(spark, sf_dir))
-    f = out["fields"]
+    f = FLD.sources_of(out["fields"], out["lineage"])
     return _flat(f.select("workspace_id", "field_key", "label", "refs", "source_docs", "doc_frequency",
                           "n_source_docs", "rank", "frequency"))
 
@@ -282,7 +303,40 @@ def u3_fuzzy_dedupe(spark, sf_dir):
                     F.size(fuzzy_dedupe_col("refs")).alias("n_kept"))
 
 
-@register("V2_consolidate")
+@register("U3_fuzzy_corpus")
+def u3_fuzzy_corpus(spark, sf_dir):
+    """U3 over the whole table of line references: those that resemble (ratio >= 85) no reference kept before them."""
+    refs = FX.refs_many(spark, sf_dir)
+    return fuzzy_dedupe_table(refs, FLD.FUZZY_THRESHOLD, order="ref_id").select("ref_id", "ref")
+
+
+V2_SQL = MERGED_SQL + """,
+tok AS (SELECT DISTINCT workspace_id, field_key, unnest(list_prepend('k:' || translate(lower(field_key), ' -', '__'), list_transform(refs, lambda r: 'r:' || r))) AS tok FROM merged),
+near AS (SELECT DISTINCT a.workspace_id, a.field_key AS a, b.field_key AS b FROM tok a JOIN tok b USING (workspace_id, tok)),
+reach AS (SELECT workspace_id, field_key AS a, field_key AS b FROM merged
+          UNION SELECT r.workspace_id, r.a, n.b FROM reach r JOIN near n ON n.workspace_id = r.workspace_id AND n.a = r.b),
+comp AS (SELECT r.workspace_id, r.a AS field_key, min(m.seq) AS comp FROM reach r JOIN merged m
+         ON m.workspace_id = r.workspace_id AND m.field_key = r.b GROUP BY ALL),
+mem AS (SELECT m.*, c.comp FROM merged m JOIN comp c USING (workspace_id, field_key)),
+mref AS (SELECT workspace_id, comp, ref, min(struct_pack(s := seq, p := pos)) AS o FROM (
+  SELECT workspace_id, comp, seq, unnest(refs) AS ref, generate_subscripts(refs, 1) AS pos FROM mem) GROUP BY ALL),
+canon AS (SELECT workspace_id, comp, arg_min(field_key, seq) AS field_key, arg_min(label, seq) AS label FROM mem GROUP BY ALL),
+crefs AS (SELECT workspace_id, comp, list(ref ORDER BY o) AS refs FROM mref GROUP BY ALL),
+cf AS (SELECT c.workspace_id, c.field_key, c.label, coalesce(r.refs, []) AS refs FROM canon c LEFT JOIN crefs r USING (workspace_id, comp)),
+ce AS (SELECT DISTINCT workspace_id, field_key, unnest(refs) AS ref FROM cf),
+re AS (SELECT DISTINCT workspace_id, field_key AS raw_key, unnest(refs) AS ref FROM merged),
+shared AS (SELECT DISTINCT workspace_id, field_key, raw_key FROM ce JOIN re USING (workspace_id, ref)),
+src2 AS (SELECT s.workspace_id, s.field_key, m.seq AS raw_seq, unnest(m.source_docs) AS doc_id, generate_subscripts(m.source_docs, 1) AS k
+         FROM shared s JOIN merged m ON m.workspace_id = s.workspace_id AND m.field_key = s.raw_key),
+srcl2 AS (SELECT workspace_id, field_key, list(doc_id ORDER BY o) AS source_docs FROM (
+  SELECT workspace_id, field_key, doc_id, min(struct_pack(r := raw_seq, k := k)) AS o FROM src2 GROUP BY ALL) GROUP BY ALL),
+cnt AS (SELECT workspace_id, field_key, count(*) AS doc_frequency FROM shared GROUP BY ALL),
+v2 AS (SELECT cf.*, coalesce(source_docs, []) AS source_docs, coalesce(doc_frequency, 0) AS doc_frequency
+       FROM cf LEFT JOIN srcl2 USING (workspace_id, field_key) LEFT JOIN cnt USING (workspace_id, field_key))"""
+
+
+@register("V2_consolidate", f"""WITH RECURSIVE {V2_SQL}
+SELECT workspace_id, field_key, label, {FLAT_SQL}, doc_frequency, len(source_docs) AS n_source_docs FROM v2""")
 def v2_consolidate(spark, sf_dir):
     """V2 default: connected components over shared normalized keys and references."""
     m = merged_fields(spark, sf_dir)

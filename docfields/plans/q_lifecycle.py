@@ -211,11 +211,11 @@ def j8_split_cached(spark, sf_dir):
 
 
 @register("P6_fresh", f"""
-SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-02 00:00:00') - epoch(ts) < 86400""")
+SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-12 00:00:00') - epoch(ts) < 86400""")
 def p6_fresh(spark, sf_dir):
     """Entries younger than the 24 h browser TTL at a fixed clock."""
     e = read_table(spark, sf_dir, "events")
-    return LC.fresh(e, "2024-01-02 00:00:00", LC.TTL_BROWSER, ts="ts").select("event_id")
+    return LC.fresh(e, "2024-01-12 00:00:00", LC.TTL_BROWSER, ts="ts").select("event_id")
 
 
 @register("X10_short_hash", """SELECT c_custkey, left(sha256(c_name), 16) AS short_hash FROM customer""")

@@ -150,7 +150,16 @@ def j9_drop_contained_strict(spark, sf_dir):
     return L.drop_contained(locs, strict=True).select("doc_id", "ref_id", "ref", "char_start", "char_end")
 
 
-@register("Q5_highlight")
+@register("Q5_highlight", f"""WITH locs AS ({J2_SQL}),
+k AS (SELECT *, max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end DESC, ref_id, line_index
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM locs),
+marks AS (SELECT doc_id, list(struct_pack(s := CAST(char_start AS BIGINT), e := CAST(char_end AS BIGINT), t := ref, acc := '') ORDER BY char_start DESC, char_end, ref) AS ms
+          FROM k WHERE prev_max IS NULL OR prev_max < char_end GROUP BY ALL),
+done AS (SELECT doc_id, list_reduce(list_prepend(struct_pack(s := CAST(0 AS BIGINT), e := CAST(0 AS BIGINT), t := '', acc := text), ms),
+    lambda a, x: struct_pack(s := x.s, e := x.e, t := '', acc := CASE WHEN x.s >= 0 AND x.e <= length(a.acc) AND x.s < x.e
+      THEN substring(a.acc, 1, x.s) || '<mark>' || x.t || '</mark>' || substring(a.acc, x.e + 1) ELSE a.acc END)).acc AS h
+  FROM marks JOIN documents USING (doc_id))
+SELECT doc_id, length(h) AS n_chars, sha256(h) AS digest FROM done""")
 def q5_highlight(spark, sf_dir):
     """Q5: J2 -> J9 -> X23 (marked-up text per document holding a match)."""
     docs = FX.documents(spark, sf_dir)

@@ -102,11 +102,11 @@ def j7_match_messages(spark, sf_dir):
 
 
 @register("P2_search", """
-SELECT p_partkey FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(coalesce(p_type, '')), 'brass')""")
+SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(coalesce(p_type, '')), 'red')""")
 def p2_search(spark, sf_dir):
     """Case-insensitive search over name and description columns."""
     p = read_table(spark, sf_dir, "part")
-    return R.search(p, "GREEN", ["p_name"]).unionByName(R.search(p, "Brass", ["p_type"])).select("p_partkey").distinct()
+    return R.search(p, "RED", ["p_name", "p_type"]).select("p_partkey", "p_name", "p_type")
 
 
 @register("P3_search_haystack", f"""{with_sql("orders_ws")}
@@ -156,6 +156,53 @@ def j13_scope_documents(spark, sf_dir):
     return R.latest_docs_per_scope(FX.documents(spark, sf_dir), scopes, "scope_id", 6).select("scope_id", "doc_id")
 
 
+@register("V5_documents_context", f"""{with_sql("docs", "workspaces")},
+scope AS (SELECT workspace_id FROM workspaces WHERE user_id = 'user1' AND workspace_id IN ('src1', 'src2', 'src3', 'src90')),
+top AS (SELECT d.* FROM docs d JOIN scope USING (workspace_id) ORDER BY upload_date DESC, doc_id DESC LIMIT 20)
+SELECT doc_id, workspace_id, name, length(coalesce(text, '')) AS text_length,
+       sha256(CASE WHEN length(coalesce(text, '')) <= 8000 THEN coalesce(text, '') ELSE NULL END) AS short_digest FROM top""")
+def v5_documents_context(spark, sf_dir):
+    """V5: excerpts of a scope's latest documents with their whole lengths (more than 20 are never given)."""
+    from docfields.plans.chat import documents_context
+
+    ws = FX.workspaces(spark, sf_dir)
+    req = spark.createDataFrame([(x,) for x in ("src1", "src2", "src3", "src90")], "workspace_id string")
+    out = documents_context(FX.documents(spark, sf_dir), "what about the contact and the license?", max_docs=50,
+                            requested=req, allowed=ws.where(F.col("user_id") == "user1"))
+    whole = F.when(F.col("text_length") <= R.BUDGET, F.col("excerpt"))
+    return out.select("doc_id", "workspace_id", "name", "text_length", F.sha2(whole, 256).alias("short_digest"))
+
+
+@register("V5_list_workspaces", f"""{with_sql("workspaces")}
+SELECT workspace_id, name, description FROM workspaces WHERE user_id = 'user0' ORDER BY created_at DESC, workspace_id LIMIT 5""")
+def v5_list_workspaces(spark, sf_dir):
+    """V5: the newest workspaces a user may see."""
+    from docfields.plans.chat import workspaces_list
+
+    ws = FX.workspaces(spark, sf_dir)
+    return workspaces_list(ws, 5, allowed=ws.where(F.col("user_id") == "user0")).select("workspace_id", "name", "description")
+
+
+@register("V5_tables", f"""{with_sql("cells")},
+o AS (SELECT o_orderkey AS doc_id, 'c' || CAST(o_custkey % 10 AS VARCHAR) AS workspace_id, o_orderdate AS upload_date FROM orders),
+top AS (SELECT * FROM o WHERE workspace_id IN ('c1', 'c2') ORDER BY upload_date DESC, doc_id DESC LIMIT 6)
+SELECT doc_id, workspace_id, count(DISTINCT table_index) AS n_tables, count(*) AS n_cells
+FROM top JOIN cells USING (doc_id) GROUP BY ALL""")
+def v5_tables(spark, sf_dir):
+    """The nested tables of a scope's latest documents."""
+    from docfields.operators.tables import assemble_tables
+    from docfields.plans.chat import documents_tables
+
+    o = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 10).cast("string")).alias("workspace_id"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderdate").alias("upload_date"))
+    docs = o.join(assemble_tables(FX.cells(spark, sf_dir)), "doc_id", "left")
+    scope = spark.createDataFrame([("c1",), ("c2",)], "workspace_id string")
+    out = documents_tables(docs, requested=scope)
+    cells = F.aggregate(F.flatten(F.transform("tables", lambda t: t["preview"])), F.lit(0), lambda n, r: n + F.size(r))
+    return out.select("doc_id", "workspace_id", F.size("tables").alias("n_tables"), cells.alias("n_cells"))
+
+
 @register("W6_retain", """
 SELECT conv_id, turn FROM (
   SELECT conv_id, turn, sum(length(text) // 4 + 1) OVER (PARTITION BY conv_id) AS tt,
@@ -169,10 +216,10 @@ def w6_retain(spark, sf_dir):
 
 @register("Q4_retrieve")
 def q4_retrieve(spark, sf_dir):
-    """Q4: J7 -> P4 -> T2 -> X12/X19/U2 -> T3 -> W5 for every user message."""
+    """Q4: J7 -> P4 -> T2 -> X12/X19/U2 -> T3 -> W5 for every message (J7 decides which ones name a workspace)."""
     from docfields.plans.chat import retrieve_for_messages
 
-    c = read_spread(spark, sf_dir, "conversations", "conv_id").where(F.col("role") == "user")
+    c = read_spread(spark, sf_dir, "conversations", "conv_id")
     # benchmark item k names workspace src(k % 20)
     names = FX.names(spark, sf_dir).select(
         F.concat(F.lit("src"), (F.col("workspace_id") % 20).cast("string")).alias("workspace_id"), "name")

@@ -121,6 +121,23 @@ def x8_token_estimate(spark, sf_dir):
     return c.select("conv_id", "turn", T.token_estimate("text").alias("tokens"))
 
 
+def bpe_counter():
+    """A caller's tokenizer: byte-level BPE of a public vocabulary file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+@register("X8_token_count")
+def x8_token_count(spark, sf_dir):
+    """X8 with a caller's tokenizer: tokens of every message."""
+    c = read_spread(spark, sf_dir, "conversations", "conv_id")
+    return c.select("conv_id", "turn", T.token_count("text", bpe_counter).alias("tokens"),
+                    T.token_estimate("text").alias("estimate"))
+
+
 KW_SQL = """kw AS (
   SELECT doc_id, tok, min(p) AS p FROM (
     SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p

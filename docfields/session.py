@@ -23,6 +23,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Python workers import this package wherever the program was started
+        .config("spark.executorEnv.PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         .config("spark.driver.memory", os.environ.get("DOCFIELDS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()

@@ -225,6 +225,18 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat events in which hints repeat, tools end again and some responses fail."""
+    e = chat_events(spark, sf_dir)
+    k = F.regexp_extract("content", "[0-9]+", 0).cast("bigint")
+    typ = F.when((F.col("type") == "thinking") & (k % 4 == 3), F.lit("error")).otherwise(F.col("type"))
+    tool = F.when(k % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("tool"), (k % 3).cast("string")))
+    content = (F.when(F.col("type").startswith("tool"), tool)
+               .when(typ == "error", F.concat(F.lit("failed "), k.cast("string")))
+               .when(typ == "thinking", F.concat(F.lit(" step "), (k % 2).cast("string"))).otherwise(F.col("content")))
+    return e.select("thread_id", "seq", typ.alias("type"), content.alias("content"))
+
+
 # ----------------------------------------------------------------- DuckDB forms
 SQL: dict[str, str] = {
     "docs": f"""docs AS (
@@ -316,12 +328,19 @@ runs AS (
          CASE event_type {} END AS type,
          props AS content, ts, event_id AS seq
   FROM events)""".format(" ".join(f"WHEN '{s}' THEN '{d}'" for s, d in CHAT_TYPES)),
+    "chat_stream_events": """chat_stream_events AS (
+  SELECT thread_id, seq, CASE WHEN type = 'thinking' AND k % 4 = 3 THEN 'error' ELSE type END AS type,
+         CASE WHEN type LIKE 'tool%' AND k % 13 = 0 THEN '' WHEN type LIKE 'tool%' THEN 'tool' || CAST(k % 3 AS VARCHAR)
+              WHEN type = 'thinking' AND k % 4 = 3 THEN 'failed ' || CAST(k AS VARCHAR)
+              WHEN type = 'thinking' THEN ' step ' || CAST(k % 2 AS VARCHAR) ELSE content END AS content
+  FROM (SELECT *, CAST(regexp_extract(content, '[0-9]+') AS BIGINT) AS k FROM chat_events))""",
 }
 
 # Dependencies between CTEs (a fixture needs those listed before it).
 SQL_DEPS = {
     "marked_docs": ["docs"],
     "table_edits": ["cells"],
+    "chat_stream_events": ["chat_events"],
 }
 
 # DuckDB spelling of Python str.strip() (same class as T.WS_CLASS).
