@@ -2,8 +2,8 @@
 
 A state of the tree is a context: the last d words, d up to ``DEPTH``.  The root's distribution is the
 smoothed unigram model.  A context that occurs at least ``MIN_COUNT`` times in the training documents
-and whose suffix and whose inner part (s without its first and last word) are states becomes a state if its next-symbol distribution diverges from that of its
-suffix: the log-likelihood ratio of its own successors under the two distributions, each successor
+and whose suffix and inner part (s without its first and last word) are states becomes a state if its
+next-symbol distribution diverges from that of its suffix: the log-likelihood ratio of its own successors under the two distributions, each successor
 left out of its own count, must exceed ``GAIN`` nats.  (A successor seen once speaks against a state,
 so contexts that only repeat noise go.)  A state s smooths its counts with the distribution of its suffix:
 
@@ -21,7 +21,7 @@ A word in every document costs each block one key, so hot words, copies and sour
 The tree is spread over the key ranges; nothing of it is collected or broadcast, and no count is dropped.
 Only two numbers, training tokens and distinct words, reach the driver.
 
-Keys are 64-bit hashes: xxh3 of the word, mixed along the context.  n distinct keys collide with
+Keys are 64-bit hashes of the word's bytes, mixed along the context.  n distinct keys collide with
 probability about n^2 / 2^65 (3e-2 for 10^9).
 
 Defined results: null or blank text = the end token alone; a null ``doc_id`` is not held out and trains;
@@ -35,19 +35,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import rolling as R
-from docfields.llm.common import doc_slices, shared_path, text_bytes, write_table
+from docfields.llm.common import doc_slices, freed, shared_path, text_bytes, write_table
 
 DEPTH, MIN_COUNT, GAIN = 2, 8, 4.0
 KAPPAS = (3.0, 30.0, 300.0, 3000.0)
 FOLDS, HELD_OUT = 5, 1
-BLOCK = 2_000_000
-END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+BLOCK = 500_000
+END = R.content_hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 BLOCKS = "block long, docs array<long>, held array<boolean>, sizes array<int>, words binary, seq binary"
@@ -98,82 +97,76 @@ def _tokenize(limit: int):
 
 
 class Block:
-    """The tokens of a block and, by depth, what has been answered so far.
+    """The tokens of a block and what has been answered so far.
 
-    ``at[d]`` are the positions whose context of depth d may be a state (it occurs ``MIN_COUNT`` times and its
-    suffix is a state), ``count[d]`` the training count of context and token there, ``prob[d]`` the token's
-    probability if the tree ended at depth d."""
+    Level d knows the distinct grams of d + 1 words that may matter, ``keys`` (level 0: the words), which of
+    them ends at each position, ``of``, and how often it occurs in the training documents, ``total``.  The
+    context of depth d of a position is the gram of level d - 1 that ends just before it, so its count
+    is known; ``prob`` is a position's probability if the tree ended at the level reached."""
 
     def __init__(self, row: dict, answers: list, totals: tuple[int, int], options: dict):
-        self.words, self.seq = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["seq"], np.int32)
+        words, seq = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["seq"], np.int32)
         self.sizes = np.asarray(row["sizes"], np.int64)
         self.held = np.asarray(row["held"], bool)
-        self.options = options
-        self.train = np.repeat(~self.held, self.sizes)
         self.ends = np.cumsum(self.sizes)
-        self.place = np.arange(len(self.seq)) - np.repeat(self.ends - self.sizes, self.sizes)
         self.known = len(answers)
+        train = np.repeat(~self.held, self.sizes)
         if not answers:
+            self.question = words, np.bincount(seq[train], minlength=len(words))
             return
-        tokens_, distinct = totals
-        count = (answers[0] >> 1)[self.seq]
-        self.seen = count > 0
-        self.base = (count + 0.5) / (tokens_ + 0.5 * (distinct + 1))
-        self.prob = self.base.copy()
-        w = self.words[self.seq]
-        state, key = None, np.zeros(len(w), np.uint64)
+        self.seen = (answers[0] > 1)[seq]
+        self.prob = (((answers[0] >> 1) + 0.5) / (totals[0] + 0.5 * (totals[1] + 1)))[seq]
+        self.base = self.prob if len(answers) == 1 else self.prob.copy()
+        keys, of, total = words, seq, answers[0] >> 1
+        ok = np.ones(len(seq), bool)
         for d in range(1, options["depth"] + 1):
-            ok = self.place >= d
-            often = np.zeros(len(w), np.int64)
-            often[1:] = count[:-1]  # how often the context occurs: its last word after the words before it
-            ok &= often >= options["min_count"]
-            if state is not None:
-                ok &= state
+            first = self.ends - self.sizes + d - 1  # a context does not reach over the start of a document
+            ok[first[self.sizes >= d]] = False
+            before = np.zeros(len(total) + 1, bool)  # the last entry: no gram of this level
+            before[:-1] = total >= options["min_count"]
+            ok[1:] &= before[of[:-1]]
             at = np.flatnonzero(ok)
-            key = key.copy()
-            key[at] = R.mix(key[at] * np.uint64(R.BASE1) + w[at - d] + np.uint64(d))
-            self.at, self.often = at, often[at]
-            gram = R.mix(key[at] * np.uint64(R.BASE2) + w[at])
-            if len(answers) == 2 * d - 1:  # to be asked: the counts of these
-                self.keys, self.of = np.unique(gram, return_inverse=True)
+            context = of[at - 1]
+            gram = R.mix(keys[context] * np.uint64(R.BASE2) + words[seq[at]] + np.uint64(d))
+            grams, mine = np.unique(gram, return_inverse=True)
+            if len(answers) == 2 * d - 1:
+                self.question = grams, np.bincount(mine[train[at]], minlength=len(grams))
                 return
-            grams, of = np.unique(gram, return_inverse=True)
             answer = answers[2 * d - 1]
-            count = np.zeros(len(w), np.int64)
-            count[at] = (answer >> 1)[of]
-            self.keys, self.of = np.unique(key[at], return_inverse=True)
-            if len(answers) == 2 * d:  # to be asked: the verdicts on these contexts
-                self.gain = self._gains(answer, count[at], grams, of)
+            used = np.zeros(len(keys), bool)
+            used[context] = True
+            place = np.cumsum(used) - 1
+            if len(answers) == 2 * d:
+                self.question = keys[used], self._gains(
+                    answer, mine, place[context], total[context], self.prob[at], options["kappas"], int(used.sum()))
                 return
-            verdict = np.zeros(len(w), np.int8)
-            verdict[at] = answers[2 * d][self.of]
+            verdict = answers[2 * d][place[context]]
             state = verdict > 0
-            at = np.flatnonzero(state)
-            kappa = np.array(options["kappas"])[verdict[at] - 1]
-            self.prob[at] = (count[at] + kappa * self.prob[at]) / (often[at] + kappa)
-
-    def _gains(self, answer, count, grams, of) -> np.ndarray:
+            n, k = total[context][state], np.array(options["kappas"])[verdict[state] - 1]
+            here = at[state]
+            self.prob[here] = ((answer >> 1)[mine[state]] + k * self.prob[here]) / (n + k)
+            ok[at[~state]] = False
+            keys, total = grams, answer >> 1
+            of = np.full(len(seq), len(grams), np.int32)
+            of[at] = mine
+
+    @staticmethod
+    def _gains(answer, mine, context, often, prob, kappas, n) -> np.ndarray:
         """Log-likelihood ratio of each context under each kappa, over the successors this block speaks for."""
-        first = np.zeros(len(grams), np.int64)
-        first[of[::-1]] = np.arange(len(of))[::-1]
-        mine = first[(answer & 1 == 1) & (answer > 1)]
-        c, n, q = count[mine], self.often[mine], self.prob[self.at[mine]]
-        return np.stack([np.bincount(self.of[mine], weights=c * np.log((c - 1 + k * q) / ((n - 1 + k) * q)),
-                                     minlength=len(self.keys)) for k in self.options["kappas"]], axis=1)
-
-    def question(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct sorted keys, and an amount each."""
-        if self.known == 0:
-            return self.words, np.bincount(self.seq[self.train], minlength=len(self.words)).astype(np.int64)
-        if self.known % 2:
-            return self.keys, np.bincount(self.of[self.train[self.at]], minlength=len(self.keys)).astype(np.int64)
-        return self.keys, self.gain
+        first = np.zeros(len(answer), np.int64)
+        first[mine[::-1]] = np.arange(len(mine))[::-1]
+        first = first[(answer & 1 == 1) & (answer > 1)]
+        c, often, q = (answer >> 1)[mine[first]], often[first], prob[first]
+        return np.stack([np.bincount(context[first], weights=c * np.log((c - 1 + k * q) / ((often - 1 + k) * q)), minlength=n)
+                         for k in kappas], axis=1)
 
 
 def _answers_of(row: dict, depth_known: int) -> list[np.ndarray]:
-    kinds = [np.int64 if i == 0 or i % 2 else np.int8 for i in range(depth_known)]
-    return [np.concatenate([np.frombuffer(x["answer"], k) for x in row[f"a{i}"]] or [np.zeros(0, k)])
-            for i, k in enumerate(kinds)]
+    """Answers of a block in key order: counts as 64-bit numbers, verdicts as bytes."""
+    def whole(i, kind):
+        parts = [np.frombuffer(x["answer"], kind if kind == np.int8 or x["wide"] else np.uint32) for x in row[f"a{i}"]]
+        return np.concatenate([np.zeros(0, kind), *parts], dtype=kind, casting="same_kind" if kind == np.int8 else "unsafe")
+    return [whole(i, np.int64 if i == 0 or i % 2 else np.int8) for i in range(depth_known)]
 
 
 def _each(batches, known: int, totals, options):
@@ -190,12 +183,12 @@ def _ask(known: int, totals, options: dict, buckets: int):
 
     def run(batches):
         for b, i, block in _each(batches, known, totals, options):
-            keys, amounts = block.question()
+            keys, amounts = block.question
             number = b.column("block")[i].as_py()
             del block
             cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             at = np.flatnonzero(np.diff(cut))
-            size = amounts.dtype if amounts.dtype == np.float64 else np.dtype(np.int32)
+            size = np.float32 if amounts.dtype == np.float64 else np.int32
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at.astype(np.int32)), pa.array([number] * len(at), pa.int64()),
                  pa.array([keys[cut[j]:cut[j + 1]].tobytes() for j in at], pa.binary()),
@@ -210,7 +203,7 @@ def _reply(gain: float | None, kappas: int):
     def total(rows: list[dict]):
         keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
         size = np.array([len(k) for k in keys])
-        kind = np.int32 if gain is None else np.float64
+        kind = np.int32 if gain is None else np.float32
         amount = np.concatenate([np.frombuffer(r["amounts"], kind) for r in rows])
         distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         if gain is None:
@@ -218,18 +211,20 @@ def _reply(gain: float | None, kappas: int):
             np.add.at(s, of, amount)
             out = s[of] << 1
             out[first] |= 1  # one block speaks for the key
+            wide = bool(out.max() >> 32)
+            out = out if wide else out.astype(np.uint32)
             figures = [int((s > 0).sum()), int(s.sum())]
         else:
-            s = np.stack([np.bincount(of, weights=a, minlength=len(distinct)) for a in amount.reshape(-1, kappas).T])
+            s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.reshape(-1, kappas).T])
             best = np.where(s.max(axis=0) > gain, s.argmax(axis=0) + 1, 0).astype(np.int8)
-            out, figures = best[of], [0, 0]
+            out, wide, figures = best[of], False, [0, 0]
         cut = np.cumsum(size) - size
         n = len(rows)
         return pa.RecordBatch.from_arrays(
             [pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()),
-             pa.array([out[c:c + k].tobytes() for c, k in zip(cut, size)], pa.binary()),
+             pa.array([wide] * n), pa.array([out[c:c + k].tobytes() for c, k in zip(cut, size)], pa.binary()),
              pa.array([figures[0]] + [0] * (n - 1), pa.int64()), pa.array([figures[1]] + [0] * (n - 1), pa.int64())],
-            names=["block", "bucket", "answer", "distinct", "total"])
+            names=["block", "bucket", "wide", "answer", "distinct", "total"])
 
     def run(batches):
         held: list[dict] = []
@@ -285,24 +280,24 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, g
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), "text")
     store = _Table(docs)
     try:
-        known = store.keep(rows.mapInArrow(_tokenize(block), BLOCKS), "blocks")
+        known = store.keep(rows.mapInArrow(freed(_tokenize(block)), BLOCKS), "blocks")
         parts = max(1, known.count())
         totals = (0, 0)
         for step in range(2 * depth + 1):
             verdict = step > 0 and step % 2 == 0
-            asked = known.mapInArrow(_ask(step, totals, options, parts), ASK)
+            asked = known.mapInArrow(freed(_ask(step, totals, options, parts)), ASK)
             answers = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(
-                _reply(gain if verdict else None, len(kappas)), "block long, bucket int, answer binary, distinct long, total long")
+                freed(_reply(gain if verdict else None, len(kappas))), "block long, bucket int, wide boolean, answer binary, distinct long, total long")
             mine = store.keep(answers.groupBy("block").agg(
-                F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias(f"a{step}"),
+                F.array_sort(F.collect_list(F.struct("bucket", "wide", "answer"))).alias(f"a{step}"),
                 F.sum("distinct").alias("distinct"), F.sum("total").alias("total")), f"a{step}")
             if step == 0:
                 r = mine.agg(F.sum("total"), F.sum("distinct")).first()
                 totals = (r[0] or 0, r[1] or 0)
             # a block that asked nothing has no row: its answer is empty
-            empty = F.array().cast("array<struct<bucket:int,answer:binary>>")
+            empty = F.array().cast("array<struct<bucket:int,wide:boolean,answer:binary>>")
             known = known.join(mine.select("block", f"a{step}").hint("merge"), "block", "left").withColumn(
                 f"a{step}", F.coalesce(f"a{step}", empty))
-        return write_table(known.mapInArrow(_score(2 * depth + 1, totals, options), SCORES), "lm-scores")
+        return write_table(known.mapInArrow(freed(_score(2 * depth + 1, totals, options)), SCORES), "lm-scores")
     finally:
         store.drop()
