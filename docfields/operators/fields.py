@@ -356,21 +356,51 @@ def apply_field_edits(fields: DataFrame, edits: DataFrame, keys: list[str] | Non
         F.coalesce("seq", F.element_at("log", 1)["seq"]).alias("seq"))
 
 
+def carry_replacements(values: DataFrame, edits: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The user's replacement values follow the renames of their references, in edit order.  A renamed
+    reference takes its old value along, or its new name where it had none (or a blank one); a value the new name
+    already had gives way.  values: (keys, field_key, ref, value); edits as in ``apply_field_edits``."""
+    keys = [*(keys or ["workspace_id"]), "field_key"]
+    renames = edits.where((F.col("op") == "rename") & (F.length(T.py_strip(F.coalesce("new_ref", F.lit("")))) > 0)) \
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "ref", T.py_strip("new_ref").alias("new")))).alias("log"))
+    # one field's references bound the map
+    held = values.where(F.col("ref").isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.struct("ref", "value"))).alias("held"))
+    start = F.coalesce("held", F.create_map().cast("map<string,string>"))
+
+    def step(st, e):
+        old = F.element_at(F.map_filter(st, lambda k, v: k == e["ref"]), e["ref"])
+        kept = F.map_filter(st, lambda k, v: (k != e["ref"]) & (k != e["new"]))
+        value = F.when(F.coalesce(F.length(old), F.lit(0)) > 0, old).otherwise(e["new"])
+        return F.when(e["ref"].eqNullSafe(e["new"]), st).otherwise(F.map_concat(kept, F.create_map(e["new"], value)))
+
+    j = held.join(renames, keys, "full_outer")
+    done = F.when(F.col("log").isNull(), start).otherwise(F.aggregate("log", start, step))
+    return j.select(*keys, F.explode(done).alias("ref", "value"))
+
+
 def read_fields(df: DataFrame, json_col: str = "schema_json", keys: list[str] | None = None) -> DataFrame:
     """A stored schema JSON ``{"field": {"label":..., "references": [...]}}`` (also
     nested under schema.document_fields.fields) -> long fields.  Parsed to
-    MAP<STRING,STRING> first so one odd entry does not null the whole value."""
+    MAP<STRING,STRING> first so one odd entry does not null the whole value.  Lists of the user under
+    ``fieldReferences`` stand in for the discovered ones, key by key; a key that only they have comes last,
+    without a label."""
     keys = keys or ["workspace_id"]
     j = F.col(json_col)
     inner = F.coalesce(F.get_json_object(j, "$.schema.document_fields.fields"), j)
-    m = F.from_json(inner, "map<string,string>")
-    ex = df.select(*keys, F.posexplode(m).alias("pos", "field_key", "val"))
-    val_schema = "struct<label:string, references:array<string>>"
-    v = F.from_json("val", val_schema)
-    return ex.where(F.col("val").startswith("{")).select(
+    m = F.coalesce(F.from_json(inner, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    own = F.coalesce(F.from_json(F.get_json_object(j, "$.fieldReferences"), "map<string,array<string>>"),
+                     F.create_map().cast("map<string,array<string>>"))
+    d = df.select(*keys, F.map_filter(m, lambda k, v: v.startswith("{")).alias("m"), own.alias("own"))
+    v = F.from_json("val", "struct<label:string, references:array<string>>")
+    found = d.select(*keys, "own", F.posexplode("m").alias("pos", "field_key", "val")).select(
         *keys, "field_key", v["label"].alias("label"),
-        F.coalesce(v["references"], F.array().cast("array<string>")).alias("refs"),
+        F.coalesce(F.try_element_at("own", F.col("field_key")), v["references"], F.array().cast("array<string>")).alias("refs"),
         F.col("pos").cast("bigint").alias("seq"))
+    rest = d.select(*keys, F.size("m").alias("n"), F.posexplode(F.map_filter(
+        "own", lambda k, r: ~F.map_contains_key(F.col("m"), k) & r.isNotNull())).alias("pos", "field_key", "refs"))
+    return found.unionByName(rest.select(*keys, "field_key", F.lit(None).cast("string").alias("label"), "refs",
+                                         (F.col("n") + F.col("pos")).cast("bigint").alias("seq")))
 
 
 # ----------------------------------------------------------------------------- A3

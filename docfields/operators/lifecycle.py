@@ -6,6 +6,7 @@ MERGE INTO where the catalog supports it.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Add immutable rows (audit log)."""
+    """Add immutable rows (audit log).  Each call adds files; none is ever rewritten."""
     df.write.mode("append").format(fmt).save(path)
 
 
@@ -165,17 +166,38 @@ def fingerprint(docs: DataFrame, group: str = "workspace_id", order: str = "doc_
                 prefix_chars: int | None = None, paths_col: str | None = None) -> DataFrame:
     """SHA-256 over ``name:text`` of each document in order, ``docx:path`` of each attached
     path and ``user_instructions:`` with the trimmed instructions, joined without separators.
-    Whole texts and instructions by default (D6); ``prefix_chars`` cuts the texts."""
+    Whole texts and instructions by default (D6); ``prefix_chars`` cuts the texts.
+
+    A group's parts stream through one digest in order, batch by batch, so no row holds the texts of a group; only
+    its paths are kept until its end."""
+    import hashlib
+
     txt = F.col("text") if prefix_chars is None else F.substring("text", 1, prefix_chars)
     part = F.concat(F.col("name"), F.lit(":"), F.coalesce(txt, F.lit("")))
-    g = docs.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"),
-                                             (F.concat(F.lit("docx:"), F.col(paths_col)) if paths_col
-                                              else F.lit("")).alias("path")))).alias("l"))
-    body = F.concat(F.array_join(F.transform("l", lambda x: x["p"]), ""),
-                    F.array_join(F.transform("l", lambda x: x["path"]), ""),
-                    F.lit("user_instructions:" + instructions.strip()))
-    return g.select(group, F.sha2(body, 256).alias("fingerprint"))
+    path = F.concat(F.lit("docx:"), F.col(paths_col)) if paths_col else F.lit("")
+    tail = ("user_instructions:" + instructions.strip()).encode()
+
+    def digests(frames):
+        key, digest, paths = None, None, []
+
+        def close():
+            digest.update("".join(paths).encode() + tail)
+            return pd.DataFrame({"g": [key], "fingerprint": [digest.hexdigest()]})
+        for frame in frames:
+            for g, p, q in zip(frame["g"], frame["p"], frame["q"]):
+                if digest is None or g != key:
+                    if digest is not None:
+                        yield close()
+                    key, digest, paths = g, hashlib.sha256(), []
+                digest.update(p.encode())
+                paths.append(q)
+        if digest is not None:
+            yield close()
+    rows = docs.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(part, F.lit("")).alias("p"),
+                                                       F.coalesce(path, F.lit("")).alias("q"))
+    kind = rows.schema["g"].dataType.simpleString()
+    ordered = rows.repartition("g").sortWithinPartitions("g", "o", "p", "q").select("g", "p", "q")
+    return ordered.mapInPandas(digests, f"g {kind}, fingerprint string").withColumnRenamed("g", group)
 
 
 def doc_fingerprint(name: Column, text: Column) -> Column:

@@ -284,7 +284,7 @@ def write_report(wide: DataFrame, cols: list[str], path: str, title: str | None
     """Ordered columns, list values joined by ', '.  Rows are ranged by ``order`` into as many files as
     there are ranges; the header is a row before the first one, so the files, put together by name, are one
     CSV sheet with one header, and no task sees all rows.  The title goes into a side file (``_title``)."""
-    text = [(F.array_join(F.col(f"`{c}`"), ", ") if str(wide.schema[c].dataType).startswith("Array")
+    text = [(T.list_to_cell(F.col(f"`{c}`")) if str(wide.schema[c].dataType).startswith("Array")
              else F.col(f"`{c}`").cast("string")).alias(c) for c in cols]
     body = wide.select(F.col(f"`{order}`").cast("long").alias("__pos"), *text)
     head = wide.sparkSession.range(1).select(F.lit(0).cast("long").alias("__pos"), *[F.lit(c).alias(c) for c in cols])

@@ -106,14 +106,17 @@ c0 AS (SELECT doc_id, table_index, row, col, paras, 0 AS n FROM cells),
 
 
 @register("N4_apply_cell_edits", f"""{N4_CTES}
-SELECT doc_id, table_index, row, col,
-       array_to_string(list_filter(list_transform(paras, lambda p: PYSTRIP(p)), lambda p: p <> ''), chr(10)) AS display,
-       CAST(n AS BIGINT) AS n_applied
-FROM n2""")
+SELECT doc_id, table_index, count(*) AS n_cells, sha256(string_agg(display, chr(31) ORDER BY row, col)) AS digest,
+       CAST(sum(n) AS BIGINT) AS n_applied
+FROM (SELECT *, array_to_string(list_filter(list_transform(paras, lambda p: PYSTRIP(p)), lambda p: p <> ''), chr(10)) AS display FROM n2)
+GROUP BY ALL""")
 def n4_apply_cell_edits(spark, sf_dir):
-    """Ordered, bounds-checked cell edits (replace in paragraphs, or set)."""
+    """Ordered, bounds-checked cell edits (replace in paragraphs, or set), as a digest of each edited table."""
     out = E.apply_cell_edits(FX.cells(spark, sf_dir), FX.table_edits(spark, sf_dir))
-    return out.select("doc_id", "table_index", "row", "col", T.cell_text("paras").alias("display"), "n_applied")
+    cells = F.array_sort(F.collect_list(F.struct("row", "col", T.cell_text("paras").alias("display"))))
+    return out.groupBy("doc_id", "table_index").agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.sha2(F.array_join(F.transform(cells, lambda c: c["display"]), SEP), 256).alias("digest"), F.sum("n_applied").alias("n_applied"))
 
 
 @register("A6_replacement_counts", f"""{X22_CTES},

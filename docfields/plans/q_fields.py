@@ -295,6 +295,37 @@ def s6_read_fields(spark, sf_dir):
     return out.select("workspace_id", "field_key", "label", F.array_join("refs", " | ").alias("refs"))
 
 
+@register("S6_read_fields_overlay", f"""WITH {MERGED_SQL}
+SELECT workspace_id, field_key, label, array_to_string(CASE WHEN field_key = 'email' THEN list_reverse(refs) ELSE refs END, ' | ') AS refs
+FROM merged UNION ALL SELECT workspace_id, 'custom_' || field_key, NULL, 'x | y' FROM merged WHERE field_key = 'phone'""")
+def s6_read_fields_overlay(spark, sf_dir):
+    """S6 with the user's saved lists: they replace the discovered ones, new keys come with them."""
+    m = merged_fields(spark, sf_dir)
+    entry = F.to_json(F.create_map("field_key", F.struct("label", F.col("refs").alias("references"))))
+    own = F.when(F.col("field_key") == "email", F.to_json(F.create_map("field_key", F.reverse("refs")))) \
+        .when(F.col("field_key") == "phone", F.lit('{"custom_phone": ["x", "y"]}')).otherwise(F.lit("{}"))
+    j = F.concat(F.lit('{"schema": {"document_fields": {"fields": '), F.col("e"), F.lit('}}, "fieldReferences": '), F.col("own"), F.lit("}"))
+    out = FLD.read_fields(m.select("workspace_id", entry.alias("e"), own.alias("own")).select("workspace_id", j.alias("schema_json")))
+    return out.select("workspace_id", "field_key", "label", F.array_join("refs", " | ").alias("refs"))
+
+
+@register("M11_carry_replacements", f"""WITH {MERGED_SQL},
+pex AS (SELECT workspace_id, field_key, refs[1] AS top, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos FROM merged),
+uv AS (SELECT *, CASE WHEN field_key = 'email' AND pos % 2 = 0 THEN upper(ref) WHEN field_key = 'license' THEN '' ELSE 'v' || pos END AS value
+       FROM pex WHERE field_key <> 'phone' OR pos > 0)
+SELECT workspace_id, field_key, ref, value FROM uv WHERE ref <> top
+UNION ALL SELECT m.workspace_id, m.field_key, 'renamed', CASE WHEN length(coalesce(u.value, '')) > 0 THEN u.value ELSE 'renamed' END
+FROM merged m LEFT JOIN uv u ON u.workspace_id = m.workspace_id AND u.field_key = m.field_key AND u.ref = m.refs[1]""")
+def m11_carry_replacements(spark, sf_dir):
+    """The replacement values of a field follow the rename of its first reference."""
+    m = merged_fields(spark, sf_dir)
+    ex = m.select("workspace_id", "field_key", F.posexplode("refs").alias("pos", "ref"))
+    value = F.when((F.col("field_key") == "email") & (F.col("pos") % 2 == 0), F.upper("ref")).when(
+        F.col("field_key") == "license", F.lit("")).otherwise(F.concat(F.lit("v"), F.col("pos").cast("string")))
+    values = ex.where((F.col("field_key") != "phone") | (F.col("pos") > 0)).select("workspace_id", "field_key", "ref", value.alias("value"))
+    return FLD.carry_replacements(values, _edits(spark, m))
+
+
 @register("U3_fuzzy_dedupe")
 def u3_fuzzy_dedupe(spark, sf_dir):
     """Fuzzy de-duplication (ratio >= 85) of each document field's references."""

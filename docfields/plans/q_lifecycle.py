@@ -193,6 +193,30 @@ def x9_fingerprint(spark, sf_dir):
     return d.select("doc_id", LC.doc_fingerprint(F.col("name"), F.col("text")).alias("fingerprint"))
 
 
+@register("X9_fingerprint_group", f"""{with_sql("docs")}
+SELECT workspace_id, sha256(string_agg(name || ':' || coalesce(text, ''), '' ORDER BY doc_id)
+    || string_agg('docx:' || '/files/' || name, '' ORDER BY doc_id) || 'user_instructions:keep dates') AS fingerprint
+FROM docs GROUP BY workspace_id""")
+def x9_fingerprint_group(spark, sf_dir):
+    """One fingerprint for all documents of each workspace, their paths and the trimmed instructions."""
+    d = FX.documents(spark, sf_dir).withColumn("path", F.concat(F.lit("/files/"), "name"))
+    return LC.fingerprint(d, instructions="  keep dates\n", paths_col="path")
+
+
+@register("S10_append_log", f"""{with_sql("calls")}
+SELECT 'call' AS action, run_id, CAST(input_tokens AS BIGINT) AS amount FROM calls
+UNION ALL SELECT 'cost', run_id, CAST(sum(output_tokens) AS BIGINT) FROM calls GROUP BY run_id""")
+def s10_append_log(spark, sf_dir):
+    """Two appends to an audit log, read back."""
+    from docfields.sources.arrivals import shared_folder
+
+    c, path = FX.calls(spark, sf_dir), shared_folder(spark, "audit")
+    LC.append(c.select(F.lit("call").alias("action"), "run_id", F.col("input_tokens").alias("amount")), path)
+    LC.append(c.groupBy("run_id").agg(F.sum("output_tokens").alias("amount")).select(
+        F.lit("cost").alias("action"), "run_id", "amount"), path)
+    return spark.read.parquet(path)
+
+
 @register("J8_split_cached", f"""{X9_SQL},
 fr AS (SELECT * FROM results WHERE epoch(TIMESTAMP '{FX.AS_OF}') - epoch(stored_at) < 3600)
 SELECT fp.doc_id, CASE WHEN fr.fingerprint IS NULL THEN 0 ELSE 1 END AS cache_hit, fr.payload

@@ -123,7 +123,17 @@ def w8_line_offsets(spark, sf_dir):
     return lines.select("doc_id", "line_index", "line_start", F.length("line").alias("line_length"))
 
 
-J9_SQL = f"""WITH locs AS ({_locations_sql("refs")}),
+TWICE_SQL = """locs AS (SELECT * FROM one UNION ALL BY NAME SELECT * REPLACE (ref_id + 1000000 AS ref_id) FROM one WHERE ref_id % 3 = 0)"""
+
+
+def _refs_twice(spark, sf_dir):
+    """Every third reference stands in the list twice, so that some locations are equal intervals."""
+    r = FX.refs(spark, sf_dir)
+    return r.unionByName(r.where(F.col("ref_id") % 3 == 0).withColumn("ref_id", F.col("ref_id") + 1000000))
+
+
+J9_SQL = f"""WITH one AS ({_locations_sql("refs")}),
+{TWICE_SQL},
 k AS (SELECT *, max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end DESC, ref_id, line_index
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM locs)
 SELECT doc_id, ref_id, ref, char_start, char_end FROM k WHERE prev_max IS NULL OR prev_max < char_end"""
@@ -132,11 +142,12 @@ SELECT doc_id, ref_id, ref, char_start, char_end FROM k WHERE prev_max IS NULL O
 @register("J9_drop_contained", J9_SQL)
 def j9_drop_contained(spark, sf_dir):
     """Keep locations not covered by another location of the same document."""
-    locs = L.locate(FX.documents(spark, sf_dir), FX.refs(spark, sf_dir))
+    locs = L.locate(FX.documents(spark, sf_dir), _refs_twice(spark, sf_dir))
     return L.drop_contained(locs).select("doc_id", "ref_id", "ref", "char_start", "char_end")
 
 
-J9_STRICT_SQL = f"""WITH locs AS ({_locations_sql("refs")}),
+J9_STRICT_SQL = f"""WITH one AS ({_locations_sql("refs")}),
+{TWICE_SQL},
 k AS (SELECT *, max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end DESC, ref_id, line_index
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max,
              count(*) OVER (PARTITION BY doc_id, char_start, char_end) AS dup FROM locs)
@@ -146,7 +157,7 @@ SELECT doc_id, ref_id, ref, char_start, char_end FROM k WHERE (prev_max IS NULL
 @register("J9_drop_contained_strict", J9_STRICT_SQL)
 def j9_drop_contained_strict(spark, sf_dir):
     """J9 strict (D4): equal intervals remove each other, as the reference does."""
-    locs = L.locate(FX.documents(spark, sf_dir), FX.refs(spark, sf_dir))
+    locs = L.locate(FX.documents(spark, sf_dir), _refs_twice(spark, sf_dir))
     return L.drop_contained(locs, strict=True).select("doc_id", "ref_id", "ref", "char_start", "char_end")
 
 
