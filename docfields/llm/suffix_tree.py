@@ -15,8 +15,8 @@ its history that is a state.
 How it runs.  Documents are tokenized once into *blocks* of about ``BLOCK`` tokens (a row each: word numbers
 and the distinct words' hashes), written bucketed by block, so that no later join moves them.  Whatever
 a block must know about the whole corpus -- the count of a word or of a context with its successor, the
-verdict on a context -- it *asks*: its distinct keys, sorted, are cut by key range into as many parts as there are
-blocks, parts of one range meet in one task, are summed by key, and the answers go back in key order.
+verdict on a context -- it *asks*: its distinct keys, sorted, are cut by key range into a quarter as many parts
+as there are blocks, parts of one range meet in one task, are summed by key, and the answers go back in key order.
 A word in every document costs each block one key, so hot words, copies and sources are no hot groups.
 The tree is spread over the key ranges; nothing of it is collected or broadcast, and no count is dropped.
 Only two numbers, training tokens and distinct words, reach the driver.
@@ -46,6 +46,8 @@ DEPTH, MIN_COUNT, GAIN = 2, 8, 4.0
 KAPPAS = (3.0, 30.0, 300.0, 3000.0)
 FOLDS, HELD_OUT = 5, 1
 BLOCK = 500_000
+#: Blocks' worth of keys that meet in one task.
+BLOCKS_A_PART = 4
 END = R.content_hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -165,7 +167,7 @@ def _answers_of(row: dict, depth_known: int) -> list[np.ndarray]:
     """Answers of a block in key order: counts as 64-bit numbers, verdicts as bytes."""
     def whole(i, kind):
         parts = [np.frombuffer(x["answer"], kind if kind == np.int8 or x["wide"] else np.uint32) for x in row[f"a{i}"]]
-        return np.concatenate([np.zeros(0, kind), *parts], dtype=kind, casting="same_kind" if kind == np.int8 else "unsafe")
+        return np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)
     return [whole(i, np.int64 if i == 0 or i % 2 else np.int8) for i in range(depth_known)]
 
 
@@ -207,8 +209,7 @@ def _reply(gain: float | None, kappas: int):
         amount = np.concatenate([np.frombuffer(r["amounts"], kind) for r in rows])
         distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         if gain is None:
-            s = np.zeros(len(distinct), np.int64)
-            np.add.at(s, of, amount)
+            s = np.bincount(of, weights=amount, minlength=len(distinct)).astype(np.int64)  # exact below 2^53
             out = s[of] << 1
             out[first] |= 1  # one block speaks for the key
             wide = bool(out.max() >> 32)
@@ -281,7 +282,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, g
     store = _Table(docs)
     try:
         known = store.keep(rows.mapInArrow(freed(_tokenize(block)), BLOCKS), "blocks")
-        parts = max(1, known.count())
+        parts = -(-known.count() // BLOCKS_A_PART) or 1
         totals = (0, 0)
         for step in range(2 * depth + 1):
             verdict = step > 0 and step % 2 == 0
