@@ -71,18 +71,27 @@ def match_messages(messages: DataFrame, names: DataFrame, msg_keys: list[str]) -
     n_tok = n.select("workspace_id", "nn", F.explode(F.filter(F.split("nn", " "), lambda t: F.length(t) > 2)).alias("tok"))
     by_tok = m_tok.join(n_tok, "tok").groupBy(*msg_keys, "workspace_id", "nn").agg(F.count(F.lit(1)).alias("tok_score"))
 
-    # candidates through containment: a 3-gram anchor of the name must occur in the message
-    q = F.least(F.length("nn"), F.lit(QGRAM))
-    n_anchor = n.select("workspace_id", "nn", q.alias("q"), F.substring("nn", 1, QGRAM).alias("g"))
-    grams = []
-    for qv in (1, 2, 3):
+    # candidates through containment.  A name of three words or more shows an inner word as a whole word of the
+    # message; a shorter one shows its first characters (messages are cut up only for lengths some name has)
+    words = F.split("nn", " ")
+    inner = F.aggregate(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), F.lit(""),
+                        lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    anchors = n.select("workspace_id", "nn", inner.alias("tok"), F.least(F.length("nn"), F.lit(QGRAM)).alias("q"),
+                       F.substring("nn", 1, QGRAM).alias("g"))
+    parts = [m_tok.join(anchors.where(F.length("tok") > 0).drop("q", "g"), "tok").drop("tok")]
+    for qv in range(1, QGRAM + 1):
+        short = anchors.where((F.length("tok") == 0) & (F.col("q") == qv)).select("workspace_id", "nn", "g")
         g = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.length("nm") - qv, F.lit(-1))),
                                          lambda i: F.substring("nm", i + 1, qv)))
-        mg = m.select(*msg_keys, "nm", F.explode(F.filter(g, lambda s: F.length(s) == qv)).alias("g"))
-        grams.append(mg.join(n_anchor.where(F.col("q") == qv).drop("q"), "g"))
-    by_sub = grams[0].unionByName(grams[1]).unionByName(grams[2]) \
-        .where(F.col("nm").contains(F.col("nn"))).select(*msg_keys, "workspace_id", "nn").distinct() \
-        .withColumn("sub", F.lit(True))
+        mg = m.where(short.agg(F.count(F.lit(1))).scalar() > 0).select(
+            *msg_keys, F.explode(F.filter(g, lambda s: F.length(s) == qv)).alias("g"))
+        parts.append(mg.join(short, "g").drop("g"))
+    cand_sub = parts[0]
+    for p in parts[1:]:
+        cand_sub = cand_sub.unionByName(p)
+    # the candidates fetch their message's text once
+    by_sub = cand_sub.distinct().join(m, msg_keys).where(F.col("nm").contains(F.col("nn"))).select(
+        *msg_keys, "workspace_id", "nn").distinct().withColumn("sub", F.lit(True))
 
     cand = by_tok.join(by_sub, [*msg_keys, "workspace_id", "nn"], "full_outer")
     score = F.when(F.coalesce("sub", F.lit(False)), 100 + F.length("nn")).otherwise(F.coalesce("tok_score", F.lit(0)))

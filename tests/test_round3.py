@@ -285,3 +285,25 @@ def test_generate_without_runs_equals_runs(spark):
     a, b = generate(docs, fields, user_values(fields)), generate(docs, fields, user_values(fields), runs=runs)
     assert rows_of(a.select(cols)) == rows_of(b.select(cols))
     assert a.agg(F.sum("total_replacements")).first()[0] > 0
+
+
+def test_carry_replacements(spark):
+    values = spark.createDataFrame([("w", "f", "a", "A"), ("w", "f", "b", ""), ("w", "f", "n2", "gives way"), ("w", "g", "x", "X")],
+                                   "workspace_id string, field_key string, ref string, value string")
+    log = [(1, "a", " n1 "), (2, "n1", "n2"), (3, "b", "n3"), (4, "c", "n4"), (5, "n3", "  "), (6, "n4", "n4")]
+    edits = spark.createDataFrame([("w", "f", s, "rename", o, n, None) for s, o, n in log] + [("w", "h", 9, "rename", "q", "r", None)],
+                                  "workspace_id string, field_key string, seq long, op string, ref string, new_ref string, label string")
+    got = {(r["field_key"], r["ref"]): r["value"] for r in FLD.carry_replacements(values, edits).collect()}
+    assert got == {("f", "n2"): "A", ("f", "n3"): "n3", ("f", "n4"): "n4", ("g", "x"): "X", ("h", "r"): "r"}
+
+
+def test_group_fingerprint_streams(spark):
+    import hashlib
+
+    from docfields.operators import lifecycle as LC
+
+    rows = [("w", 2, "b", "two", "p2"), ("w", 1, "a", None, "p1"), ("v", 3, "c", "three", None), (None, 4, "d", "x", "y")]
+    df = spark.createDataFrame(rows, "workspace_id string, doc_id long, name string, text string, path string").repartition(4)
+    got = {r["workspace_id"]: r["fingerprint"] for r in LC.fingerprint(df, instructions=" i ", paths_col="path").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {"w": sha("a:b:twodocx:p1docx:p2user_instructions:i"), "v": sha("c:threeuser_instructions:i")}
