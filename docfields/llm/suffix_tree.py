@@ -43,7 +43,7 @@ from docfields.llm import rolling as R
 from docfields.llm.common import doc_slices, freed, shared_path, text_bytes, write_table
 
 DEPTH, MIN_COUNT, GAIN = 2, 8, 4.0
-KAPPAS = (3.0, 30.0, 300.0, 3000.0)
+KAPPAS = (5.0, 70.0, 1000.0)
 FOLDS, HELD_OUT = 5, 1
 BLOCK = 500_000
 #: Blocks' worth of keys that meet in one task.
@@ -57,6 +57,19 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "score double")
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes first: sorted keys and small counts compress well that way."""
+    a = np.ascontiguousarray(a)
+    return a.view(np.uint8).reshape(len(a), a.nbytes // max(len(a), 1)).T.tobytes() if len(a) else b""
+
+
+def _unpack(raw: bytes, kind, width: int = 1) -> np.ndarray:
+    """Inverse of ``_pack``; ``width`` numbers a row."""
+    size = np.dtype(kind).itemsize * width
+    a = np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T.copy().view(kind)
+    return a if width > 1 else a.ravel()
+
+
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of each document and one end token each; tokens by document."""
     data = _LOWER[data]
@@ -74,7 +87,7 @@ def _tokenize(limit: int):
         words, seq = np.unique(np.concatenate(parts), return_inverse=True)
         cols = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([np.concatenate(sizes).astype(np.int32)], pa.list_(pa.int32())),
-                pa.array([words.tobytes()], pa.binary()), pa.array([seq.astype(np.int32).tobytes()], pa.binary())]
+                pa.array([_pack(words)], pa.binary()), pa.array([_pack(seq.astype(np.int32))], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     def run(batches):
@@ -107,7 +120,7 @@ class Block:
     is known; ``prob`` is a position's probability if the tree ended at the level reached."""
 
     def __init__(self, row: dict, answers: list, totals: tuple[int, int], options: dict):
-        words, seq = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["seq"], np.int32)
+        words, seq = _unpack(row["words"], np.uint64), _unpack(row["seq"], np.int32)
         self.sizes = np.asarray(row["sizes"], np.int64)
         self.held = np.asarray(row["held"], bool)
         self.ends = np.cumsum(self.sizes)
@@ -166,7 +179,7 @@ class Block:
 def _answers_of(row: dict, depth_known: int) -> list[np.ndarray]:
     """Answers of a block in key order: counts as 64-bit numbers, verdicts as bytes."""
     def whole(i, kind):
-        parts = [np.frombuffer(x["answer"], kind if kind == np.int8 or x["wide"] else np.uint32) for x in row[f"a{i}"]]
+        parts = [_unpack(x["answer"], kind if kind == np.int8 or x["wide"] else np.uint32) for x in row[f"a{i}"]]
         return np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)
     return [whole(i, np.int64 if i == 0 or i % 2 else np.int8) for i in range(depth_known)]
 
@@ -193,8 +206,8 @@ def _ask(known: int, totals, options: dict, buckets: int):
             size = np.float32 if amounts.dtype == np.float64 else np.int32
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at.astype(np.int32)), pa.array([number] * len(at), pa.int64()),
-                 pa.array([keys[cut[j]:cut[j + 1]].tobytes() for j in at], pa.binary()),
-                 pa.array([amounts[cut[j]:cut[j + 1]].astype(size).tobytes() for j in at], pa.binary())],
+                 pa.array([_pack(keys[cut[j]:cut[j + 1]]) for j in at], pa.binary()),
+                 pa.array([_pack(amounts[cut[j]:cut[j + 1]].astype(size)) for j in at], pa.binary())],
                 names=[c.split()[0] for c in ASK.split(", ")])
     return run
 
@@ -203,10 +216,10 @@ def _reply(gain: float | None, kappas: int):
     """Rows of one bucket come together: sum the amounts by key.  With ``gain``, the bound that makes a context
     a state, the answer is the number of its best kappa from 1, or 0."""
     def total(rows: list[dict]):
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [_unpack(r["keys"], np.uint64) for r in rows]
         size = np.array([len(k) for k in keys])
-        kind = np.int32 if gain is None else np.float32
-        amount = np.concatenate([np.frombuffer(r["amounts"], kind) for r in rows])
+        kind, width = (np.int32, 1) if gain is None else (np.float32, kappas)
+        amount = np.concatenate([_unpack(r["amounts"], kind, width) for r in rows])
         distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         if gain is None:
             s = np.bincount(of, weights=amount, minlength=len(distinct)).astype(np.int64)  # exact below 2^53
@@ -216,14 +229,14 @@ def _reply(gain: float | None, kappas: int):
             out = out if wide else out.astype(np.uint32)
             figures = [int((s > 0).sum()), int(s.sum())]
         else:
-            s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.reshape(-1, kappas).T])
+            s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.reshape(len(amount), -1).T])
             best = np.where(s.max(axis=0) > gain, s.argmax(axis=0) + 1, 0).astype(np.int8)
             out, wide, figures = best[of], False, [0, 0]
         cut = np.cumsum(size) - size
         n = len(rows)
         return pa.RecordBatch.from_arrays(
             [pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()),
-             pa.array([wide] * n), pa.array([out[c:c + k].tobytes() for c, k in zip(cut, size)], pa.binary()),
+             pa.array([wide] * n), pa.array([_pack(out[c:c + k]) for c, k in zip(cut, size)], pa.binary()),
              pa.array([figures[0]] + [0] * (n - 1), pa.int64()), pa.array([figures[1]] + [0] * (n - 1), pa.int64())],
             names=["block", "bucket", "wide", "answer", "distinct", "total"])
 

@@ -287,3 +287,64 @@ def test_archives_of_a_repeated_task_are_not_read(spark):
     shutil.copy(names[0], os.path.join(path, "pages-00000000-lost-00000.warc.zst"))
     assert warc.read_archives(spark, path).count() > 20 == warc.read_archives(spark, names).count()
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
+
+
+def test_ftrl_row_by_row(odd, spark):
+    """The learner against plain dictionaries, row by row in the order of the written sample."""
+    from docfields.llm import toxicity as tox
+
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    rows = [(r["toxic"], [*np.frombuffer(r["feats"], "<i4").tolist(), tox.DIM]) for r in tox.training_rows(odd, labels).collect()]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == tox.DIM else tox.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) * tox.ALPHA / (tox.BETA + math.sqrt(n[i]))
+    for _ in range(tox.ROUNDS):
+        for toxic, feats in rows:
+            w = {i: weight(i) for i in feats}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - toxic
+            for i in feats:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / tox.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    learned = tox.train(odd, labels)
+    want = np.zeros(tox.DIM + 1)
+    for i in list(z):
+        want[i] = weight(i)
+    assert len(rows) > 20 and np.count_nonzero(want) > 1
+    assert np.allclose(learned, want, atol=1e-7)
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_pipeline_on_odd_and_empty_tables(request, spark, which):
+    import corpus_pipeline
+    from llm_models import SF
+
+    table = request.getfixturevalue(which)
+    columns = table.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == columns, name
+        table = corpus_pipeline.write_table(out, name)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, table, SF).toPandas()
+    ends = pieces[pieces.start + pieces.length == pieces.doc_tokens]
+    assert Counter(ends.doc_id.dropna().astype(int)) == Counter(r["doc_id"] for r in table.select("doc_id").collect() if r["doc_id"] is not None)
+    assert which != "none" or len(pieces) == 0
+
+
+def test_packing_with_default_bounds(spark):
+    """More open windows than one partition keeps, over several partitions."""
+    import public_tokenizers
+    from docfields.llm import packing
+
+    df = spark.createDataFrame([(i, "word " * (1 + i * 37 % 1900)) for i in range(900)], "doc_id long, text string").repartition(5)
+    p = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    p = p.sort_values(["sequence_id", "offset"])
+    size = p.groupby("sequence_id").length.sum()
+    assert size.max() <= packing.LENGTH
+    gapless = p.groupby("sequence_id").apply(lambda g: (g.offset == g.length.cumsum() - g.length).all(), include_groups=False)
+    assert gapless.all()
+    whole = p.groupby("doc_id").agg(n=("length", "sum"), t=("doc_tokens", "first"))
+    assert (whole.n == whole.t).all() and len(whole) == 900
+    assert 1 - size.sum() / (len(size) * packing.LENGTH) < 0.02
