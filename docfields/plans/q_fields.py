@@ -330,15 +330,17 @@ def m11_carry_replacements(spark, sf_dir):
 def u3_fuzzy_dedupe(spark, sf_dir):
     """Fuzzy de-duplication (ratio >= 85) of each document field's references."""
     d = doc_fields(spark, sf_dir)
-    return d.select("doc_id", "field_key", F.size("refs").alias("n_refs"),
-                    F.size(fuzzy_dedupe_col("refs")).alias("n_kept"))
+    out = d.select("doc_id", "field_key", F.size("refs").alias("n_refs"), fuzzy_dedupe_col("refs").alias("kept"))
+    return out.select("doc_id", "field_key", "n_refs", F.size("kept").alias("n_kept"), F.array_join("kept", " | ").alias("kept"))
 
 
 @register("U3_fuzzy_corpus")
 def u3_fuzzy_corpus(spark, sf_dir):
-    """U3 over the whole table of line references: those that resemble (ratio >= 85) no reference kept before them."""
-    refs = FX.refs_many(spark, sf_dir)
-    return fuzzy_dedupe_table(refs, FLD.FUZZY_THRESHOLD, order="ref_id").select("ref_id", "ref")
+    """U3 over all documents: of each field of a workspace the references that resemble (ratio >= 85) none kept
+    before them, in the order of A1."""
+    refs = doc_fields(spark, sf_dir).select("workspace_id", "field_key", "seq", F.posexplode("refs").alias("pos", "ref"))
+    out = fuzzy_dedupe_table(refs.withColumn("at", F.struct("seq", "pos")), FLD.FUZZY_THRESHOLD, ["workspace_id", "field_key"], "at")
+    return out.select("workspace_id", "field_key", "ref", F.col("at.seq").cast("bigint").alias("seq"))
 
 
 V2_SQL = MERGED_SQL + """,

@@ -158,12 +158,19 @@ def test_fuzzy_table_equals_the_list_rule(spark, threshold):
 
 def test_fuzzy_corpus_query_equals_all_pairs(spark):
     from docfields.plans import load_all
+    from docfields.plans.q_fields import doc_fields
     from docfields.sources import fixtures as FX
 
-    refs = [(r["ref_id"], r["ref"]) for r in FX.refs_many(spark, SF).collect()]
-    want = fuzzy.fuzzy_dedupe([r for _, r in sorted(refs)], 85)
-    got = load_all()[0]["U3_fuzzy_corpus"](spark, SF)
-    assert sorted(r["ref"] for r in got.collect()) == sorted(want) and len(want) < len(refs)
+    sf = SF.replace("0.001", "0.01")
+    lists = {}
+    for r in doc_fields(spark, sf).orderBy("seq").collect():
+        lists.setdefault((r["workspace_id"], r["field_key"]), []).extend(r["refs"])
+    want = sorted((*k, r) for k, refs in lists.items() for r in fuzzy.fuzzy_dedupe(refs, 85))
+    got = load_all()[0]["U3_fuzzy_corpus"](spark, sf).drop("seq")
+    assert rows_of(got) == sorted(want, key=str) and want
+    lines = FX.refs_many(spark, SF)
+    kept = fuzzy.fuzzy_dedupe([r["ref"] for r in lines.orderBy("ref_id").collect()], 85)
+    assert sorted(r["ref"] for r in fuzzy.fuzzy_dedupe_table(lines, 85, order="ref_id").collect()) == sorted(kept) and len(kept) < lines.count()
 
 
 # ----------------------------------------------------------------------------- ids, lineage, callables, sinks
