@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import rolling as R
-from docfields.llm.common import doc_slices, freed, shared_path, text_bytes, write_table
+from docfields.llm.common import doc_slices, drop_finished_shuffles, freed, shared_path, text_bytes, write_table
 
 DEPTH, MIN_COUNT, GAIN = 2, 8, 4.0
 KAPPAS = (3.0, 30.0, 300.0, 3000.0)
@@ -291,7 +291,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, g
     options = {"depth": depth, "min_count": max(1, min_count), "kappas": kappas}
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), "text")
-    store = _Table(docs)
+    store, session = _Table(docs), docs.sparkSession
     try:
         known = store.keep(rows.mapInArrow(freed(_tokenize(block)), BLOCKS), "blocks")
         parts = -(-known.count() // BLOCKS_A_PART) or 1
@@ -307,6 +307,8 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, g
             if step == 0:
                 r = mine.agg(F.sum("total"), F.sum("distinct")).first()
                 totals = (r[0] or 0, r[1] or 0)
+            del asked, answers  # written: their shuffle files can go
+            drop_finished_shuffles(session)
             # a block that asked nothing has no row: its answer is empty
             empty = F.array().cast("array<struct<bucket:int,wide:boolean,answer:binary>>")
             known = known.join(mine.select("block", f"a{step}").hint("merge"), "block", "left").withColumn(
