@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import uuid
 
 import numpy as np
@@ -72,13 +71,6 @@ def release_memory() -> None:
         pass
 
 
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of steps that nothing refers to any more.  It acts when the
-    driver collects garbage, which between the steps of a loop on a large corpus may be late."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def freed(run):
     """A ``mapInArrow`` function that hands its memory back when its task ends."""
     @functools.wraps(run)

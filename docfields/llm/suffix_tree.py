@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import rolling as R
-from docfields.llm.common import doc_slices, drop_finished_shuffles, freed, shared_path, text_bytes, write_table
+from docfields.llm.common import doc_slices, freed, shared_path, text_bytes, write_table
 
 DEPTH, MIN_COUNT, GAIN = 2, 8, 4.0
 KAPPAS = (3.0, 30.0, 300.0, 3000.0)
@@ -58,7 +58,7 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """The bytes of an array, all first bytes first: sorted keys and small counts compress well that way."""
+    """The bytes of an array that is kept, all first bytes first: sorted keys and small counts compress well that way."""
     return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
@@ -201,12 +201,11 @@ def _ask(known: int, totals, options: dict, buckets: int):
             del block
             cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             at = np.flatnonzero(np.diff(cut))
-            # counts by byte planes; gains by row, since most rows are zero
-            raw = (lambda a: a.astype(np.float32).tobytes()) if amounts.ndim > 1 else (lambda a: _pack(a.astype(np.int32)))
+            kind = np.float32 if amounts.ndim > 1 else np.int32
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at.astype(np.int32)), pa.array([number] * len(at), pa.int64()),
-                 pa.array([_pack(keys[cut[j]:cut[j + 1]]) for j in at], pa.binary()),
-                 pa.array([raw(amounts[cut[j]:cut[j + 1]]) for j in at], pa.binary())],
+                 pa.array([keys[cut[j]:cut[j + 1]].tobytes() for j in at], pa.binary()),
+                 pa.array([amounts[cut[j]:cut[j + 1]].astype(kind).tobytes() for j in at], pa.binary())],
                 names=[c.split()[0] for c in ASK.split(", ")])
     return run
 
@@ -215,10 +214,9 @@ def _reply(gain: float | None, kappas: int):
     """Rows of one bucket come together: sum the amounts by key.  With ``gain``, the bound that makes a context
     a state, the answer is the number of its best kappa from 1, or 0."""
     def total(rows: list[dict]):
-        keys = [_unpack(r["keys"], np.uint64) for r in rows]
+        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
         size = np.array([len(k) for k in keys])
-        amount = np.concatenate([_unpack(r["amounts"], np.int32) if gain is None else
-                                 np.frombuffer(r["amounts"], np.float32).reshape(-1, kappas) for r in rows])
+        amount = np.concatenate([np.frombuffer(r["amounts"], np.int32 if gain is None else np.float32) for r in rows])
         distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         if gain is None:
             s = np.bincount(of, weights=amount, minlength=len(distinct)).astype(np.int64)  # exact below 2^53
@@ -228,7 +226,7 @@ def _reply(gain: float | None, kappas: int):
             out = out if wide else out.astype(np.uint32)
             figures = [int((s > 0).sum()), int(s.sum())]
         else:
-            s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.T])
+            s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.reshape(-1, kappas).T])
             best = np.where(s.max(axis=0) > gain, s.argmax(axis=0) + 1, 0).astype(np.int8)
             out, wide, figures = best[of], False, [0, 0]
         cut = np.cumsum(size) - size
@@ -291,7 +289,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, g
     options = {"depth": depth, "min_count": max(1, min_count), "kappas": kappas}
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), "text")
-    store, session = _Table(docs), docs.sparkSession
+    store = _Table(docs)
     try:
         known = store.keep(rows.mapInArrow(freed(_tokenize(block)), BLOCKS), "blocks")
         parts = -(-known.count() // BLOCKS_A_PART) or 1
@@ -307,8 +305,6 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, g
             if step == 0:
                 r = mine.agg(F.sum("total"), F.sum("distinct")).first()
                 totals = (r[0] or 0, r[1] or 0)
-            del asked, answers  # written: their shuffle files can go
-            drop_finished_shuffles(session)
             # a block that asked nothing has no row: its answer is empty
             empty = F.array().cast("array<struct<bucket:int,wide:boolean,answer:binary>>")
             known = known.join(mine.select("block", f"a{step}").hint("merge"), "block", "left").withColumn(
