@@ -63,21 +63,22 @@ def replacement_count(text, old):
     return count_nonoverlapping(text, old)
 
 
-def replace_runs(runs: DataFrame, pairs: DataFrame, key: str | None = None) -> DataFrame:
+def replace_runs(runs: DataFrame, pairs: DataFrame, key: str | None = None, owners: DataFrame | None = None) -> DataFrame:
     """Run-preserving replacement per paragraph.
 
     runs: (doc_id, para_idx, run_idx, text); pairs: (seq, old, new[, key]).
     For each pair in order: join the runs, count non-overlapping occurrences, replace,
     then hand the text back to the runs by their previous lengths (the last run takes
     the overflow); a paragraph without the old text is left as is.  Returns one row per
-    paragraph: (doc_id, para_idx, runs ARRAY<STRING>, count).
+    paragraph: (doc_id, para_idx, runs ARRAY<STRING>, count).  ``owners`` (doc_id, key), one row a document, says
+    whose pairs a document takes where the runs don't.
     """
     from docfields.functions.text import count_nonoverlapping, running_starts
 
     paras = runs.groupBy("doc_id", "para_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "text"))), lambda x: x["text"]).alias("runs"))
     if key:
-        paras = paras.join(runs.select("doc_id", key).distinct(), "doc_id")
+        paras = paras.join(runs.select("doc_id", key).distinct() if owners is None else owners.select("doc_id", key), "doc_id")
     paras = attach_pairs(paras, pairs, key)
 
     def step(st, p):

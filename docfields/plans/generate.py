@@ -36,8 +36,7 @@ def _replace_text(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _replace_runs(docs: DataFrame, runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """X22 on the runs of paragraphs: (doc_id, paragraphs ARRAY<STRUCT<para_idx, runs>>, text, n_text)."""
-    keyed = runs.join(docs.select("doc_id", "workspace_id"), "doc_id")
-    done = E.replace_runs(keyed, pairs, key="workspace_id")
+    done = E.replace_runs(runs, pairs, key="workspace_id", owners=docs)
     return done.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("para_idx", "runs"))).alias("paragraphs"),
         F.sum("count").alias("n_text")).select(
