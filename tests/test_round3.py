@@ -314,3 +314,15 @@ def test_group_fingerprint_streams(spark):
     got = {r["workspace_id"]: r["fingerprint"] for r in LC.fingerprint(df, instructions=" i ", paths_col="path").collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == {"w": sha("a:b:twodocx:p1docx:p2user_instructions:i"), "v": sha("c:threeuser_instructions:i")}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_anchor_forms_agree(spark, monkeypatch, most):
+    """Few references are broadcast with their anchors, many meet the lines by key; duplicates count twice."""
+    monkeypatch.setattr(L, "ANCHOR_MAX_REFS", most)
+    docs = spark.createDataFrame([(1, "x a@b.org, a@b.org.\n(555) 1-2 é è à\n\naaa"), (2, "a@b.org"), (3, None)], "doc_id long, text string")
+    refs = spark.createDataFrame([(1, "a@b.org"), (1, "a@b.org"), (2, "aa"), (3, "é è"), (4, "(555) 1"), (5, ""), (6, "b.org, a")],
+                                 "ref_id long, ref string")
+    a = L.locate(docs, refs, strategy="anchor")
+    assert rows_of(a) == rows_of(L.locate(docs, refs, strategy="broadcast")) and a.count() == 11
+    assert L.locate(docs, refs.limit(0), strategy="anchor").count() == 0
