@@ -326,3 +326,15 @@ def test_anchor_forms_agree(spark, monkeypatch, most):
     a = L.locate(docs, refs, strategy="anchor")
     assert rows_of(a) == rows_of(L.locate(docs, refs, strategy="broadcast")) and a.count() == 11
     assert L.locate(docs, refs.limit(0), strategy="anchor").count() == 0
+
+
+# ----------------------------------------------------------------------------- whole jobs of N4 and P6
+def test_cell_edits_give_every_cell(spark):
+    """N4 gives a row a cell (not a digest a table), edited or not."""
+    from docfields.plans import load_all
+    from docfields.sources import fixtures as FX
+
+    out = load_all()[0]["N4_apply_cell_edits"](spark, SF)
+    assert set(out.columns) == {"doc_id", "table_index", "row", "col", "display", "n_applied"}
+    assert out.count() == FX.cells(spark, SF).count()
+    assert {r["display"] for r in out.where("n_applied > 0").select("display").distinct().collect()} >= {"Returned", "Returned (set)"}
