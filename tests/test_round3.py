@@ -338,3 +338,12 @@ def test_cell_edits_give_every_cell(spark):
     assert set(out.columns) == {"doc_id", "table_index", "row", "col", "display", "n_applied"}
     assert out.count() == FX.cells(spark, SF).count()
     assert {r["display"] for r in out.where("n_applied > 0").select("display").distinct().collect()} >= {"Returned", "Returned (set)"}
+
+
+def test_fresh_clock_keeps_the_whole_table(spark, tmp_path):
+    """P6 at its first clock: every entry after 2024-01-01 00:00 is younger than 24 h, that of the very second is not."""
+    from docfields.plans import load_all
+
+    spark.sql("""SELECT * FROM VALUES (1L, timestamp_ntz'2024-01-01 00:00:00'), (2L, timestamp_ntz'2024-01-01 00:00:01'),
+        (3L, timestamp_ntz'2024-01-02 12:00:00'), (4L, null) AS t(event_id, ts)""").write.parquet(str(tmp_path / "events.parquet"))
+    assert rows_of(load_all()[0]["P6_fresh"](spark, str(tmp_path))) == [(2,), (3,)]
