@@ -347,3 +347,85 @@ def test_fresh_clock_keeps_the_whole_table(spark, tmp_path):
     spark.sql("""SELECT * FROM VALUES (1L, timestamp_ntz'2024-01-01 00:00:00'), (2L, timestamp_ntz'2024-01-01 00:00:01'),
         (3L, timestamp_ntz'2024-01-02 12:00:00'), (4L, null) AS t(event_id, ts)""").write.parquet(str(tmp_path / "events.parquet"))
     assert rows_of(load_all()[0]["P6_fresh"](spark, str(tmp_path))) == [(2,), (3,)]
+
+
+# ----------------------------------------------------------------------------- steps that grow with the input
+def test_two_neighbouring_runs_are_the_anchor(spark, monkeypatch):
+    """J1 by anchors: pairs of runs, runs and grams, broadcast or exchanged, short lines or long, give what ``find`` gives."""
+    rnd = random.Random(7)
+    words = ["ab", "b1", "é", "x-y", "zz", "c\U0001f600d", "th"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) + "\n" + "thth anan" * rnd.randint(0, 3) for _ in range(30)]
+    refs = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5))) for _ in range(40)} | {"th", "anan", "h", "\U0001f600d ab"})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = spark.createDataFrame(list(enumerate(refs)), "ref_id bigint, ref string")
+    want = sorted((i, k, n, at) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n")) for k, r in enumerate(refs)
+                  for at in range(len(line)) if line.startswith(r, at))
+    kinds = {r["kind"] for r in L.ref_anchors(rows, []).select("kind").distinct().collect()}
+    assert {L.PAIR, L.RUN, 1, 2} <= kinds and want
+    for most, carried, probed in ((200_000, 2_000, 32), (0, 2_000, 0), (0, 50, 0), (200_000, 2_000, 0)):
+        monkeypatch.setattr(L, "ANCHOR_MAX_REFS", most)
+        monkeypatch.setattr(L, "CARRY_MAX_CHARS", carried)
+        monkeypatch.setattr(L, "PROBE_MAX_REFS", probed)
+        got = L.locate(docs, rows, strategy="anchor").select("doc_id", "ref_id", "line_index", "line_char_start")
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_line_type_is_found_once_a_line(spark):
+    """What belongs to the line is computed below the expansion of its occurrences."""
+    docs = spark.createDataFrame([(1, "| th th")], "doc_id bigint, text string")
+    refs = spark.createDataFrame([(1, "th")], "ref_id bigint, ref string")
+    plan = L.locate(docs, refs, strategy="broadcast")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Generate explode(at")]
+    assert "regexp_replace" not in above and "regexp_replace" in plan
+
+
+def test_marks_that_reach_into_each_other(spark):
+    """X23 piece by piece equals wrapping in the whole text again and again."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abc é\U0001f600") for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    marks = [(i, s, s + rnd.randint(0, 9), rnd.choice(["x", "yy", ""])) for i, t in enumerate(texts) if i % 9
+             for s in (rnd.randint(-1, len(t)) for _ in range(rnd.randint(1, 12)))]
+
+    def wrapped(i, t):
+        for _, s, e, r in sorted((-s, s, e, r) for j, s, e, r in marks if j == i):
+            if 0 <= s < e <= len(t):
+                t = t[:s] + "<mark>" + r + "</mark>" + t[e:]
+        return t
+
+    got = L.highlight(spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id bigint, text string"),
+                      spark.createDataFrame(marks, "doc_id bigint, char_start int, char_end int, ref string"))
+    assert dict(map(tuple, got.collect())) == {**{i: wrapped(i, t) for i, t in enumerate(texts)}, 99: None}
+
+
+def test_runs_and_texts_by_workspace_take_pairs_that_arise(spark):
+    """X22 with one list or a list a workspace, X20: a later pair may apply to what an earlier one wrote."""
+    from docfields.operators import edits as E
+    from docfields.plans.generate import _replace_text
+
+    pairs = [(1, "a@b.example", "Q 7"), (2, "Q 7!", "z"), (3, "nowhere at all", "n")]
+    lines = {1: "to a@b.example! and a@b.example", 2: "nothing Q 8", 3: ""}
+    runs = spark.createDataFrame([(d, 0, k, t[i:i + 5]) for d, t in lines.items() for k, i in enumerate(range(0, max(len(t), 1), 5))],
+                                 "doc_id bigint, para_idx int, run_idx int, text string").withColumn("ws", F.lit("w"))
+    plain = spark.createDataFrame(pairs, "seq bigint, old string, new string")
+    one = rows_of(E.replace_runs(runs, plain).select("doc_id", F.array_join("runs", "|"), "count"))
+    own = rows_of(E.replace_runs(runs, plain.withColumn("ws", F.lit("w")), key="ws").select("doc_id", F.array_join("runs", "|"), "count"))
+    assert one == own == [(1, "to z |and Q| 7||||", 3), (2, "nothi|ng Q |8", 0), (3, "", 0)]
+    held = E.attach_candidate_pairs(spark.createDataFrame([(d, "w", t) for d, t in lines.items()], "doc_id bigint, ws string, text string"),
+                                    plain.withColumn("ws", F.lit("w")), "ws", F.col("text"))
+    assert rows_of(held.select("doc_id", F.size("pairs"))) == [(1, 3), (2, 0), (3, 0)]
+    docs = spark.createDataFrame([(d, "w", t) for d, t in lines.items()], "doc_id bigint, workspace_id string, text string")
+    assert rows_of(_replace_text(docs, plain.withColumn("workspace_id", F.lit("w")))) == [
+        (1, "to z and Q 7", 3), (2, "nothing Q 8", 0), (3, "", 0)]
+
+
+def test_scopes_meet_only_the_latest_documents(spark):
+    """T2 for many scopes: the plan ranks a workspace's documents before scopes join them; a scope may have two workspaces."""
+    from docfields.operators import retrieve as R
+
+    docs = spark.createDataFrame([(i, f"w{i % 3}", i // 2) for i in range(60)], "doc_id bigint, workspace_id string, upload_date int")
+    scopes = spark.createDataFrame([(m, f"w{m % 3}") for m in range(9)] + [(0, "w1")], "msg bigint, workspace_id string")
+    out = R.latest_docs_per_scope(docs, scopes, "msg", 4)
+    want = [(m, d) for m in range(9) for d in [59 - i for i in range(60) if (59 - i) % 3 in ({0, 1} if m == 0 else {m % 3})][:4]]
+    assert sorted(map(tuple, out.select("msg", "doc_id").collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.index("Join"):]
