@@ -30,7 +30,8 @@ def _replace_text(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         (st["count"] + T.count_nonoverlapping(t, p["old"])).alias("count"))
 
     init = F.struct(F.col("text").alias("text"), F.lit(0).cast("bigint").alias("count"))
-    out = E.attach_pairs(docs, pairs, key="workspace_id").withColumn("st", F.aggregate("pairs", init, step))
+    out = E.attach_candidate_pairs(docs, pairs, "workspace_id", F.col("text")).withColumn(
+        "st", F.when(F.size("pairs") > 0, F.aggregate("pairs", init, step)).otherwise(init))
     return out.select("doc_id", F.col("st.text").alias("text"), F.col("st.count").alias("n_text"))
 
 
