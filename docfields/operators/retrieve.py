@@ -22,14 +22,23 @@ MIN_TAIL = 200
 QGRAM = 3
 
 
+def cut_chunks(text: Column, budget: int = BUDGET, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """X19 + X12 of a text that ``compress`` will have to pack: its chunks (c) with their keywords (w); shorter ones: none."""
+    cut = F.transform(T.chunks(text, size, overlap), lambda c: F.struct(c.alias("c"), T.keyword_tokens(c).alias("w")))
+    return F.when(F.length(text) > budget, cut)
+
+
 def compress(text: Column, question_tokens: Column, budget: int = BUDGET, size: int = CHUNK,
-             overlap: int = OVERLAP, k: int = TOP_K) -> Column:
+             overlap: int = OVERLAP, k: int = TOP_K, cut: Column | None = None) -> Column:
     """X18 + X19 + U2 + T3 + W5 for one text: short texts unchanged; no question
     keywords -> head and tail; else the top-k chunks by keyword overlap (ties by
-    index), in index order, packed to the budget."""
-    chunks = T.chunks(text, size, overlap)
-    scored = F.transform(chunks, lambda c, i: F.struct(
-        (-T.keyword_overlap(T.keyword_tokens(c), question_tokens)).alias("neg"), i.alias("idx"), c.alias("c")))
+    index), in index order, packed to the budget.  ``cut``: the text's ``cut_chunks``, made once for many questions."""
+    if cut is not None:
+        scored = F.transform(cut, lambda x, i: F.struct(
+            (-T.keyword_overlap(x["w"], question_tokens)).alias("neg"), i.alias("idx"), x["c"].alias("c")))
+    else:
+        scored = F.transform(T.chunks(text, size, overlap), lambda c, i: F.struct(
+            (-T.keyword_overlap(T.keyword_tokens(c), question_tokens)).alias("neg"), i.alias("idx"), c.alias("c")))
     top = F.slice(F.array_sort(scored), 1, k)
     in_order = F.array_sort(F.transform(top, lambda x: F.struct(x["idx"].alias("idx"), x["c"].alias("c"))))
     init = F.struct(F.lit(0).alias("total"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("parts"))
@@ -153,8 +162,12 @@ def latest_docs(docs: DataFrame, scope: DataFrame | None, n: int = 6) -> DataFra
 
 def latest_docs_per_scope(docs: DataFrame, scopes: DataFrame, scope_key: str, n: int = 6) -> DataFrame:
     """T2 batch form: per scope (e.g. one chat request) the latest ``min(n, 20)`` documents."""
-    j = docs.join(scopes.select(scope_key, "workspace_id"), "workspace_id")
-    w = Window.partitionBy(scope_key).orderBy(F.col("upload_date").desc(), F.col("doc_id").desc())
+    newest = [F.col("upload_date").desc(), F.col("doc_id").desc()]
+    # only the latest of a workspace can be among the latest of a scope, so no scope meets all documents
+    own = docs.withColumn("rn", F.row_number().over(Window.partitionBy("workspace_id").orderBy(*newest))) \
+        .where(F.col("rn") <= min(n, 20)).drop("rn")
+    j = own.join(scopes.select(scope_key, "workspace_id"), "workspace_id")
+    w = Window.partitionBy(scope_key).orderBy(*newest)
     return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= min(n, 20))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docfields.functions import text as T
 from docfields.operators import retrieve as R
+from docfields.session import cut_lineage
 
 
 def retrieve_for_messages(messages: DataFrame, names: DataFrame, docs: DataFrame,
@@ -23,9 +24,13 @@ def retrieve_for_messages(messages: DataFrame, names: DataFrame, docs: DataFrame
     scopes = matched.select(F.struct("conv_id", "turn").alias("msg"), F.col("workspace_id").cast("string").alias("workspace_id"))
     picked = R.latest_docs_per_scope(docs.select("doc_id", "workspace_id", "upload_date"), scopes, "msg", n_docs)
     q = messages.select(F.struct("conv_id", "turn").alias("msg"), T.keyword_tokens("text").alias("qt"))
-    j = picked.join(q, "msg").join(docs.select("doc_id", "text"), "doc_id")
+    # a picked text is fetched and cut once, however many messages ask it
+    picked = cut_lineage(picked)
+    texts = docs.select("doc_id", "text").join(picked.select("doc_id").distinct(), "doc_id", "left_semi").withColumn(
+        "cut", R.cut_chunks(F.col("text"), budget))
+    j = picked.join(q, "msg").join(texts, "doc_id")
     return j.select(F.col("msg.conv_id").alias("conv_id"), F.col("msg.turn").alias("turn"), "workspace_id", "doc_id",
-                    R.compress(F.col("text"), F.col("qt"), budget=budget).alias("excerpt"))
+                    R.compress(F.col("text"), F.col("qt"), budget=budget, cut=F.col("cut")).alias("excerpt"))
 
 
 # ----------------------------------------------------------------------------- V5
