@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import rolling as R
-from docfields.llm.common import doc_slices, freed, shared_path, text_bytes, write_table
+from docfields.llm.common import doc_slices, finished_shuffles_go, freed, shared_path, text_bytes, write_table
 
 DEPTH, MIN_COUNT, GAIN = 2, 8, 4.0
 KAPPAS = (3.0, 30.0, 300.0, 3000.0)
@@ -68,6 +68,20 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T.copy().view(kind).ravel()
 
 
+def _pack_gains(a: np.ndarray) -> bytes:
+    """A bit a row, whether it has an entry but 0, and those rows: a block speaks for few of the contexts it asks for."""
+    some = a.any(axis=1)
+    return np.packbits(some).tobytes() + _pack(a[some].ravel())
+
+
+def _unpack_gains(raw: bytes, n: int, width: int) -> np.ndarray:
+    """Inverse of ``_pack_gains``: n rows."""
+    head = -(-n // 8)
+    out = np.zeros((n, width), np.float32)
+    out[np.unpackbits(np.frombuffer(raw, np.uint8, head), count=n).astype(bool)] = _unpack(raw[head:], np.float32).reshape(-1, width)
+    return out
+
+
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of each document and one end token each; tokens by document."""
     data = _LOWER[data]
@@ -201,11 +215,11 @@ def _ask(known: int, totals, options: dict, buckets: int):
             del block
             cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             at = np.flatnonzero(np.diff(cut))
-            kind = np.float32 if amounts.ndim > 1 else np.int32
+            said = (lambda a: _pack_gains(a.astype(np.float32))) if amounts.ndim > 1 else (lambda a: _pack(a.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at.astype(np.int32)), pa.array([number] * len(at), pa.int64()),
-                 pa.array([keys[cut[j]:cut[j + 1]].tobytes() for j in at], pa.binary()),
-                 pa.array([amounts[cut[j]:cut[j + 1]].astype(kind).tobytes() for j in at], pa.binary())],
+                 pa.array([_pack(keys[cut[j]:cut[j + 1]]) for j in at], pa.binary()),
+                 pa.array([said(amounts[cut[j]:cut[j + 1]]) for j in at], pa.binary())],
                 names=[c.split()[0] for c in ASK.split(", ")])
     return run
 
@@ -214,9 +228,10 @@ def _reply(gain: float | None, kappas: int):
     """Rows of one bucket come together: sum the amounts by key.  With ``gain``, the bound that makes a context
     a state, the answer is the number of its best kappa from 1, or 0."""
     def total(rows: list[dict]):
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [_unpack(r["keys"], np.uint64) for r in rows]
         size = np.array([len(k) for k in keys])
-        amount = np.concatenate([np.frombuffer(r["amounts"], np.int32 if gain is None else np.float32) for r in rows])
+        amount = np.concatenate([_unpack(r["amounts"], np.int32) if gain is None else _unpack_gains(r["amounts"], n, kappas)
+                                 for r, n in zip(rows, size)])
         distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         if gain is None:
             s = np.bincount(of, weights=amount, minlength=len(distinct)).astype(np.int64)  # exact below 2^53
@@ -226,7 +241,7 @@ def _reply(gain: float | None, kappas: int):
             out = out if wide else out.astype(np.uint32)
             figures = [int((s > 0).sum()), int(s.sum())]
         else:
-            s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.reshape(-1, kappas).T])
+            s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.T])
             best = np.where(s.max(axis=0) > gain, s.argmax(axis=0) + 1, 0).astype(np.int8)
             out, wide, figures = best[of], False, [0, 0]
         cut = np.cumsum(size) - size
@@ -273,8 +288,9 @@ class _Table:
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         name = f"docfields_lm_{tag}_{uuid.uuid4().hex}"
-        (df.write.format("parquet").option("compression", "zstd").option("path", shared_path(self.spark, f"lm-{tag}"))
-         .bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name))
+        with finished_shuffles_go(self.spark):
+            (df.write.format("parquet").option("compression", "zstd").option("path", shared_path(self.spark, f"lm-{tag}"))
+             .bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name))
         self.names.append(name)
         return self.spark.table(name)
 

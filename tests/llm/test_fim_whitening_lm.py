@@ -348,3 +348,22 @@ def test_packing_with_default_bounds(spark):
     whole = p.groupby("doc_id").agg(n=("length", "sum"), t=("doc_tokens", "first"))
     assert (whole.n == whole.t).all() and len(whole) == 900
     assert 1 - size.sum() / (len(size) * packing.LENGTH) < 0.02
+
+
+def test_gains_travel_as_they_are(spark):
+    """op13: rows of zeros cost a bit; a step's shuffle files go when it ends, and the setting is put back."""
+    import numpy as np
+
+    from docfields.llm import suffix_tree as S
+    from docfields.llm.common import finished_shuffles_go
+
+    for n in (0, 1, 7, 8, 1000):
+        a = np.random.default_rng(n).normal(size=(n, 4)).astype(np.float32)
+        a[::3] = 0
+        assert (S._unpack_gains(S._pack_gains(a), n, 4) == a).all()
+    assert len(S._pack_gains(np.zeros((800, 4), np.float32))) == 100
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with finished_shuffles_go(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
