@@ -11,6 +11,7 @@ from pyspark.sql import types as Ty
 from docfields.session import ensure_checkpoint_dir
 
 ROWS_PER_FILE = 500_000
+BYTES_PER_FILE = 128 << 20
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -18,16 +19,25 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{tag}-{uuid.uuid4().hex}")
 
 
+def _row_bytes(schema: Ty.StructType):
+    """About the bytes of a row: what its texts hold, 8 for any other column."""
+    texts = [F.coalesce(F.octet_length(c.name), F.lit(0)) for c in schema if isinstance(c.dataType, (Ty.StringType, Ty.BinaryType))]
+    return sum(texts, F.lit(8 * (len(schema) - len(texts)))).cast("long")
+
+
 def write_arrivals(df: DataFrame, order: str, key: str, path: str, arrivals: int) -> int:
     """Write ``df`` as ``arrivals`` successive groups of files, cut by equal ranges of the integer column
     ``order``.  All rows of one ``key`` of an arrival lie in one file, in order, so a stream that takes the
-    files as they came sees every key in order.  Returns the files an arrival has at most."""
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    files = max(1, -(-n // (arrivals * ROWS_PER_FILE)))
+    files as they came sees every key in order.  A file has about ``ROWS_PER_FILE`` rows or ``BYTES_PER_FILE`` bytes at most,
+    whatever comes first.  Returns the files an arrival has at most."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
     if low is None:
         df.write.mode("append").parquet(path)
-        return files
+        return 1
     edge = [low + (high + 1 - low) * i // arrivals for i in range(arrivals + 1)]
+    number = sum(((F.col(order) >= e).cast("int") for e in edge[1:-1]), F.lit(0))
+    sizes = df.groupBy(number).agg(F.count(F.lit(1)), F.sum(_row_bytes(df.schema))).collect()  # a row an arrival
+    files = max(max(-(-n // ROWS_PER_FILE), -(-size // BYTES_PER_FILE)) for _, n, size in sizes)
     for a, z in zip(edge, edge[1:]):
         part = df.where((F.col(order) >= a) & (F.col(order) < z))
         part.repartition(files, key).sortWithinPartitions(key, order).write.mode("append").parquet(path)
