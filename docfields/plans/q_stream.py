@@ -128,11 +128,19 @@ def r3_activity_stream(spark, sf_dir):
     return C.activity_rows(C.run_to_table(C.activity_stream(ev), _ckpt(spark, "r3"), keys=["thread_id"]))
 
 
+def _chunks(spark, sf_dir):
+    """The byte stream, encoded once and written: its arrivals are cut from the table, not encoded again each."""
+    path = shared_folder(spark, "chunks")
+    chunks = C.encode_chunks(FX.chat_stream_events(spark, sf_dir))
+    chunks.write.parquet(path)
+    return spark.read.schema(chunks.schema).parquet(path)
+
+
 @register("R1_parse_frames_stream", f"""{with_sql("chat_stream_events")}
 SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS pos, type, content FROM chat_stream_events""")
 def r1_parse_frames_stream(spark, sf_dir):
     """R1 streaming: every frame is cut by a chunk border, some by the border of two micro-batches."""
-    chunks = arrival_stream(C.encode_chunks(FX.chat_stream_events(spark, sf_dir)), "chunk_no", "thread_id", ARRIVALS, "r1")
+    chunks = arrival_stream(_chunks(spark, sf_dir), "chunk_no", "thread_id", ARRIVALS, "r1")
     path = shared_folder(spark, "frames")
     return C.run_batches(C.frames_stream(chunks), path, _ckpt(spark, "r1"), mode="append").drop("batch")
 
@@ -164,7 +172,7 @@ QUALIFY sum(length(text) // 4 + 1) OVER (PARTITION BY thread_id) < {MAX_TOKENS}
      OR row_number() OVER (PARTITION BY thread_id ORDER BY msg DESC) <= {KEEP}""")
 def q6_chat_stream(spark, sf_dir):
     """Q6: R1 -> W7 -> R2 / R3 in one streaming query over a cut byte stream, then W6 on the messages."""
-    chunks = arrival_stream(C.encode_chunks(FX.chat_stream_events(spark, sf_dir)), "chunk_no", "thread_id", ARRIVALS, "q6")
+    chunks = arrival_stream(_chunks(spark, sf_dir), "chunk_no", "thread_id", ARRIVALS, "q6")
     messages = C.chat_stream(chunks, shared_folder(spark, "responses"), _ckpt(spark, "q6"))
     kept = R.retain(messages, "thread_id", "msg", MAX_TOKENS, KEEP)
     return kept.select("thread_id", "msg", F.sha2("text", 256).alias("digest"), "n_tokens", "n_errors", "error", "n_hints",

@@ -158,7 +158,9 @@ def fold_messages_stream(stream: DataFrame) -> DataFrame:
 
 def _in_order(pdfs, order: str) -> pd.DataFrame:
     """One thread's rows of one micro-batch."""
-    return pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
+    frames = list(pdfs)
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    return rows if rows[order].is_monotonic_increasing else rows.sort_values(order, kind="stable")
 
 
 def _activity_state(key, pdfs, state):
@@ -240,6 +242,7 @@ def frames_stream(chunks: DataFrame) -> DataFrame:
 
 RESPONSES = ("thread_id long, msg long, text string, n_tokens long, n_errors long, error string, n_hints long, "
              "activity array<string>")
+RESPONSE_COLS = [c.split()[0] for c in RESPONSES.split(", ")]
 FRESH = {"text": "", "n_tokens": 0, "n_errors": 0, "error": None, "n_hints": 0, "cut": False, "hint": None, "open": []}
 
 
@@ -277,7 +280,7 @@ def _responses_state(key, pdfs, state):
     out[msg] = now
     state.update((rest, msg, json.dumps(now)))
     yield pd.DataFrame([(key[0], m, *(r[c] for c in ("text", "n_tokens", "n_errors", "error", "n_hints", "open")))
-                        for m, r in out.items()], columns=[c.split()[0] for c in RESPONSES.split(", ")])
+                        for m, r in out.items()], columns=RESPONSE_COLS)
 
 
 def responses_stream(chunks: DataFrame) -> DataFrame:
@@ -292,7 +295,7 @@ def responses_stream(chunks: DataFrame) -> DataFrame:
 def chat_stream(chunks: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Q6: R1 -> W7 -> R2 / R3 as one streaming query; of every response the state of its last micro-batch."""
     rows = run_batches(responses_stream(chunks), path, checkpoint, mode="append")
-    return latest(rows, ["thread_id", "msg"], [c.split()[0] for c in RESPONSES.split(", ")])
+    return latest(rows, ["thread_id", "msg"], RESPONSE_COLS)
 
 
 def usage_stream(calls_stream: DataFrame) -> DataFrame:
