@@ -161,7 +161,8 @@ def j4_field_locations_paras(spark, sf_dir):
     """J4 with separate paragraph text (J3 rows added), on long lineage."""
     d = cut_lineage(doc_fields(spark, sf_dir))
     docs = FX.documents(spark, sf_dir)
-    paras = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text"))
+    paras = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("para_idx", "text")).where(
+        F.col("para_idx").isNotNull())
     fields, locs = L.field_locations_long(cut_lineage(FLD.merge_fields(d, sources=False)), FLD.field_lineage(d), docs, paras)
     per = locs.groupBy("workspace_id", "field_key").agg(F.count_if(F.col("part") == "line").alias("in_lines"),
                                                         F.count_if(F.col("part") == "paragraph").alias("in_paragraphs"))
