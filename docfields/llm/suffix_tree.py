@@ -17,6 +17,8 @@ and the distinct words' hashes), written bucketed by block, so that no later joi
 a block must know about the whole corpus -- the count of a word or of a context with its successor, the
 verdict on a context -- it *asks*: its distinct keys, sorted, are cut by key range into a quarter as many parts
 as there are blocks, parts of one range meet in one task, are summed by key, and the answers go back in key order.
+Blocks of one task ask together: a key that several of them hold is sent once, with their amounts summed and a bit
+a block; each still gets its own answer.
 A word in every document costs each block one key, so hot words, copies and sources are no hot groups.
 The tree is spread over the key ranges; nothing of it is collected or broadcast, and no count is dropped.
 Only two numbers, training tokens and distinct words, reach the driver.
@@ -48,11 +50,13 @@ FOLDS, HELD_OUT = 5, 1
 BLOCK = 500_000
 #: Blocks' worth of keys that meet in one task.
 BLOCKS_A_PART = 4
+#: Blocks of a task that ask together: at most so many, with so many keys between them (but one block at least).
+GROUP_BLOCKS, GROUP_KEYS = 8, 2_500_000
 END = R.content_hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 BLOCKS = "block long, docs array<long>, held array<boolean>, sizes array<int>, words binary, seq binary"
-ASK = "bucket int, block long, keys binary, amounts binary"
+ASK = "bucket int, blocks array<long>, keys binary, amounts binary, askers binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
 
@@ -68,6 +72,26 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T.copy().view(kind).ravel()
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """zstd behind the length: in byte planes most of what is left is skewed, which the codec of shuffles does not see."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _expand(raw: bytes) -> bytes:
+    """Inverse of ``_squeeze``."""
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their gaps, which are shorter the more keys there are."""
+    return _squeeze(_pack(np.diff(keys, prepend=np.uint64(0))))
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    """Inverse of ``_pack_keys``."""
+    return np.cumsum(_unpack(_expand(raw), np.uint64), dtype=np.uint64)
+
+
 def _pack_gains(a: np.ndarray) -> bytes:
     """A bit a row, whether it has an entry but 0, and those rows: a block speaks for few of the contexts it asks for."""
     some = a.any(axis=1)
@@ -97,9 +121,12 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _tokenize(limit: int):
     def block(number, ids, held, sizes, parts):
         words, seq = np.unique(np.concatenate(parts), return_inverse=True)
+        often = np.argsort(-np.bincount(seq), kind="stable")  # frequent words first: small numbers compress well
+        rank = np.empty(len(words), np.int32)
+        rank[often] = np.arange(len(words))
         cols = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([np.concatenate(sizes).astype(np.int32)], pa.list_(pa.int32())),
-                pa.array([_pack(words)], pa.binary()), pa.array([_pack(seq.astype(np.int32))], pa.binary())]
+                pa.array([_pack(words[often])], pa.binary()), pa.array([_pack(rank[seq])], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     def run(batches):
@@ -132,7 +159,11 @@ class Block:
     is known; ``prob`` is a position's probability if the tree ended at the level reached."""
 
     def __init__(self, row: dict, answers: list, totals: tuple[int, int], options: dict):
-        words, seq = _unpack(row["words"], np.uint64), _unpack(row["seq"], np.int32)
+        words = _unpack(row["words"], np.uint64)
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words))
+        words, seq = words[order], place[_unpack(row["seq"], np.int32)]
         self.sizes = np.asarray(row["sizes"], np.int64)
         self.held = np.asarray(row["held"], bool)
         self.ends = np.cumsum(self.sizes)
@@ -208,19 +239,39 @@ def _each(batches, known: int, totals, options):
 def _ask(known: int, totals, options: dict, buckets: int):
     edges = np.array([-(-i * (1 << 64) // buckets) for i in range(1, buckets)], np.uint64)
 
+    def together(held: list):
+        """One row a key range for some blocks: their distinct keys, the amounts summed, who asked for which."""
+        size = [len(keys) for _, keys, _ in held]
+        keys, of = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+        amounts = np.concatenate([a for _, _, a in held])
+        add = lambda a: np.bincount(of, weights=a, minlength=len(keys))
+        gains = amounts.ndim > 1
+        amounts = np.stack([add(a) for a in amounts.T], axis=1).astype(np.float32) if gains else add(amounts).astype(np.int64)
+        asked = np.zeros((len(held), len(keys)), bool)
+        asked[np.repeat(np.arange(len(held)), size), of] = True
+        said = _pack_gains if gains else _pack
+        cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+        at = np.flatnonzero(np.diff(cut))
+        spans = [slice(cut[j], cut[j + 1]) for j in at]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)), pa.array([[number for number, _, _ in held]] * len(at), pa.list_(pa.int64())),
+             pa.array([_pack_keys(keys[x]) for x in spans], pa.binary()),
+             pa.array([_squeeze(said(amounts[x])) for x in spans], pa.binary()),
+             pa.array([_squeeze(np.packbits(asked[:, x], axis=1).tobytes()) for x in spans], pa.binary())],
+            names=[c.split()[0] for c in ASK.split(", ")])
+
     def run(batches):
+        held, load = [], 0
         for b, i, block in _each(batches, known, totals, options):
             keys, amounts = block.question
-            number = b.column("block")[i].as_py()
             del block
-            cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-            at = np.flatnonzero(np.diff(cut))
-            said = (lambda a: _pack_gains(a.astype(np.float32))) if amounts.ndim > 1 else (lambda a: _pack(a.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array([number] * len(at), pa.int64()),
-                 pa.array([_pack(keys[cut[j]:cut[j + 1]]) for j in at], pa.binary()),
-                 pa.array([said(amounts[cut[j]:cut[j + 1]]) for j in at], pa.binary())],
-                names=[c.split()[0] for c in ASK.split(", ")])
+            if held and (len(held) == GROUP_BLOCKS or load + len(keys) > GROUP_KEYS):
+                yield from together(held)
+                held, load = [], 0
+            held.append((b.column("block")[i].as_py(), keys, amounts.astype(np.float32 if amounts.ndim > 1 else np.int32)))
+            load += len(keys)
+        if load:
+            yield from together(held)
     return run
 
 
@@ -228,10 +279,11 @@ def _reply(gain: float | None, kappas: int):
     """Rows of one bucket come together: sum the amounts by key.  With ``gain``, the bound that makes a context
     a state, the answer is the number of its best kappa from 1, or 0."""
     def total(rows: list[dict]):
-        keys = [_unpack(r["keys"], np.uint64) for r in rows]
+        keys = [_unpack_keys(r["keys"]) for r in rows]
         size = np.array([len(k) for k in keys])
-        amount = np.concatenate([_unpack(r["amounts"], np.int32) if gain is None else _unpack_gains(r["amounts"], n, kappas)
-                                 for r, n in zip(rows, size)])
+        said = [_expand(r["amounts"]) for r in rows]
+        amount = np.concatenate([_unpack(a, np.int64) if gain is None else _unpack_gains(a, n, kappas)
+                                 for a, n in zip(said, size)])
         distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         if gain is None:
             s = np.bincount(of, weights=amount, minlength=len(distinct)).astype(np.int64)  # exact below 2^53
@@ -244,11 +296,21 @@ def _reply(gain: float | None, kappas: int):
             s = np.stack([np.bincount(of, weights=a.astype(float), minlength=len(distinct)) for a in amount.T])
             best = np.where(s.max(axis=0) > gain, s.argmax(axis=0) + 1, 0).astype(np.int8)
             out, wide, figures = best[of], False, [0, 0]
-        cut = np.cumsum(size) - size
-        n = len(rows)
+        number, answer = [], []
+        for r, c, k in zip(rows, np.cumsum(size) - size, size):
+            mine = out[c:c + k]
+            asked = np.frombuffer(_expand(r["askers"]), np.uint8).reshape(len(r["blocks"]), -1)
+            for block, bits in zip(r["blocks"], asked):
+                some = np.flatnonzero(np.unpackbits(bits, count=k))
+                if len(some):
+                    number.append(block)
+                    answer.append(_pack(mine[some]))
+                    if gain is None:
+                        mine[some] = mine[some] >> 1 << 1  # the others that asked do not speak for it
+        n = len(number)
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()),
-             pa.array([wide] * n), pa.array([_pack(out[c:c + k]) for c, k in zip(cut, size)], pa.binary()),
+            [pa.array(number, pa.int64()), pa.array([rows[0]["bucket"]] * n, pa.int32()),
+             pa.array([wide] * n), pa.array(answer, pa.binary()),
              pa.array([figures[0]] + [0] * (n - 1), pa.int64()), pa.array([figures[1]] + [0] * (n - 1), pa.int64())],
             names=["block", "bucket", "wide", "answer", "distinct", "total"])
 
@@ -313,7 +375,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, g
         for step in range(2 * depth + 1):
             verdict = step > 0 and step % 2 == 0
             asked = known.mapInArrow(freed(_ask(step, totals, options, parts)), ASK)
-            answers = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(
+            answers = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "blocks").mapInArrow(
                 freed(_reply(gain if verdict else None, len(kappas))), "block long, bucket int, wide boolean, answer binary, distinct long, total long")
             mine = store.keep(answers.groupBy("block").agg(
                 F.array_sort(F.collect_list(F.struct("bucket", "wide", "answer"))).alias(f"a{step}"),

@@ -367,3 +367,35 @@ def test_gains_travel_as_they_are(spark):
     with finished_shuffles_go(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name, None) == before
+
+
+def test_blocks_of_a_task_ask_together(spark):
+    """op13: a key that several blocks of a task hold is sent once, with a bit a block, and sorted keys go as gaps."""
+    import numpy as np
+
+    from docfields.llm import suffix_tree as S
+
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 2**64 - 1, n, np.uint64, endpoint=True))
+        assert (S._unpack_keys(S._pack_keys(keys)) == keys).all()
+    rows = [(i, " ".join(f"w{j % (i + 2)}" for j in range(40)), False) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").coalesce(1)
+    known = df.mapInArrow(S._tokenize(100), S.BLOCKS)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")  # small batches, so that there are many blocks
+    try:
+        blocks = {r["block"]: np.sort(S._unpack(r["words"], np.uint64)) for r in known.collect()}
+        asked = known.mapInArrow(S._ask(0, (0, 0), {}, 3), S.ASK).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(blocks) > S.GROUP_BLOCKS
+    sent = [S._unpack_keys(r["keys"]) for r in asked]
+    assert sum(map(len, sent)) < sum(map(len, blocks.values())) / 2
+    assert sum(S._unpack(S._expand(r["amounts"]), np.int64).sum() for r in asked) == 30 * 41
+    got = {b: [] for b in blocks}
+    for r, keys in zip(asked, sent):
+        bits = np.frombuffer(S._expand(r["askers"]), np.uint8).reshape(len(r["blocks"]), -1)
+        for b, mine in zip(r["blocks"], bits):
+            got[b].append(keys[np.unpackbits(mine, count=len(keys)).astype(bool)])
+    assert all((np.sort(np.concatenate(got[b])) == words).all() for b, words in blocks.items())
