@@ -36,7 +36,9 @@ def write_arrivals(df: DataFrame, order: str, key: str, path: str, arrivals: int
         return 1
     edge = [low + (high + 1 - low) * i // arrivals for i in range(arrivals + 1)]
     number = sum(((F.col(order) >= e).cast("int") for e in edge[1:-1]), F.lit(0))
-    sizes = df.groupBy(number).agg(F.count(F.lit(1)), F.sum(_row_bytes(df.schema))).collect()  # a row an arrival
+    # a row an arrival; by name, since a single arrival's number is a literal, which GROUP BY takes for a position
+    sizes = df.select(number.alias("number"), _row_bytes(df.schema).alias("bytes")).groupBy("number").agg(
+        F.count(F.lit(1)), F.sum("bytes")).collect()
     files = max(max(-(-n // ROWS_PER_FILE), -(-size // BYTES_PER_FILE)) for _, n, size in sizes)
     for a, z in zip(edge, edge[1:]):
         part = df.where((F.col(order) >= a) & (F.col(order) < z))
