@@ -45,9 +45,9 @@ def lookup(df: DataFrame, key: str, value, cols: list[str], single: bool = False
     return out
 
 
-def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_documents(docs: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
     """Every document after edits, partitioned by workspace, named as the original."""
-    docs.write.mode("overwrite").partitionBy("workspace_id").format(fmt).save(path)
+    docs.write.mode("overwrite").partitionBy("workspace_id").format(fmt).options(**options).save(path)
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:

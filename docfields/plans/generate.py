@@ -13,6 +13,8 @@ from docfields.functions import text as T
 from docfields.operators import edits as E
 from docfields.operators import tables as TB
 from docfields.operators.lifecycle import write_documents
+from docfields.session import cut_lineage, dealt_by_some_keys, finished_shuffles_go
+from docfields.sources.arrivals import shared_folder
 
 
 def workspace_pairs(fields: DataFrame, user_values: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def _replace_runs(docs: DataFrame, runs: DataFrame, pairs: DataFrame) -> DataFra
     """X22 on the runs of paragraphs: (doc_id, paragraphs ARRAY<STRUCT<para_idx, runs>>, text, n_text)."""
     done = E.replace_runs(runs, pairs, key="workspace_id", owners=docs)
     return done.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("para_idx", "runs"))).alias("paragraphs"),
+        F.sort_array(F.collect_list(F.struct("para_idx", "runs"))).alias("paragraphs"),
         F.sum("count").alias("n_text")).select(
         "doc_id", "paragraphs",
         F.array_join(F.transform("paragraphs", lambda p: F.array_join(p["runs"], "")), "\n").alias("text"), "n_text")
@@ -59,10 +61,15 @@ def generate(docs: DataFrame, fields: DataFrame, user_values: DataFrame, runs: D
     if runs is None:
         edited = _replace_text(docs, pairs).withColumn("paragraphs", F.lit(None).cast(kind))
     else:
-        plain = docs.join(runs.select("doc_id").distinct(), "doc_id", "left_anti")
+        pairs = cut_lineage(pairs)
+        # the documents without runs by their keys alone, so that no text is exchanged for it (a null key finds no edited text below)
+        bare = docs.select("doc_id").distinct().join(runs.select("doc_id").distinct(), "doc_id", "left_anti")
+        bare.write.parquet(path := shared_folder(docs.sparkSession, "bare"))
+        plain = docs.join(docs.sparkSession.read.schema(bare.schema).parquet(path), "doc_id", "left_semi")
         edited = _replace_runs(docs, runs, pairs).unionByName(
             _replace_text(plain, pairs).withColumn("paragraphs", F.lit(None).cast(kind)))
-    out = docs.select("doc_id", "workspace_id", "name").join(edited, "doc_id", "left")
+    # the hint: edited texts need no sort to meet their names
+    out = docs.select("doc_id", "workspace_id", "name").hint("shuffle_hash").join(edited, "doc_id", "left")
     none = F.lit(0).cast("bigint")
     if cells is not None:
         done = E.apply_cell_edits(cells, table_edits) if table_edits is not None else cells.withColumn("n_applied", none)
@@ -77,6 +84,7 @@ def generate(docs: DataFrame, fields: DataFrame, user_values: DataFrame, runs: D
 
 def generate_to(path: str, docs: DataFrame, *args, **kwargs) -> DataFrame:
     """``generate`` into the S8 sink, one folder a workspace, and read back from it."""
-    out = generate(docs, *args, **kwargs)
-    write_documents(out, path)
+    with finished_shuffles_go(docs.sparkSession), dealt_by_some_keys(docs.sparkSession):
+        out = generate(docs, *args, **kwargs)
+        write_documents(out, path, compression="zstd")
     return out.sparkSession.read.schema(out.schema).parquet(path)

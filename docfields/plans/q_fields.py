@@ -13,7 +13,7 @@ from docfields.sources import fixtures as FX
 
 
 def doc_fields(spark, sf_dir):
-    return FLD.extract_fields_rules(FLD.discovery_input(FX.documents(spark, sf_dir)))
+    return FLD.extract_fields_rules(FLD.discovery_input(FX.documents(spark, sf_dir, keyed=False)))
 
 
 def merged_fields(spark, sf_dir, cut=True):
