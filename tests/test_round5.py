@@ -93,3 +93,36 @@ def test_cells_of_given_documents(spark):
     assert FX.cells(spark, sf, own).count() > 0
     plan = FX.cells(spark, sf, own)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Join LeftSemi")
+
+
+def test_many_references_are_found_by_windows(spark, monkeypatch):
+    """J1 beyond the broadcast limit: windows of bytes give what ``find`` gives; passes over the lines, long lines, rows twice."""
+    from docfields.operators import locate as L
+
+    rnd = random.Random(11)
+    words = ["ab", "b1", "é", "x-y", "zz", "c\U0001f600d", "th", "a" * 33]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) + "\n\n" + "thth anan" * rnd.randint(0, 3) for _ in range(24)] + [""]
+    refs = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))) for _ in range(60)} | {"th", "é", "h", "a" * 33 + " " + "a" * 33})
+    rows = [*enumerate(texts), (0, texts[0]), (90, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = [*enumerate(refs), (0, refs[0]), (91, "")]
+    want = sorted((i, k, n, at) for i, t in rows if t is not None for n, line in enumerate(t.split("\n")) for k, r in asked if r
+                  for at in range(len(line)) if line.startswith(r, at))
+    monkeypatch.setattr(L, "ANCHOR_MAX_REFS", 0)
+    monkeypatch.setattr(L, "PROBE_MAX_REFS", 0)
+    for carried, most in ((2_000, 4_000_000), (60, 25)):
+        monkeypatch.setattr(L, "CARRY_MAX_CHARS", carried)
+        monkeypatch.setattr(L, "FILTER_MAX_ANCHORS", most)
+        got = L.locate(docs, spark.createDataFrame(asked, "ref_id bigint, ref string"), strategy="anchor")
+        assert sorted(map(tuple, got.select("doc_id", "ref_id", "line_index", "line_char_start").collect())) == want
+
+
+def test_only_lines_with_a_reference_are_exchanged(spark, monkeypatch):
+    """J1 beyond the broadcast limit: lines that share words with references, but hold none, stay where they are."""
+    from docfields.operators import locate as L
+
+    monkeypatch.setattr(L, "ANCHOR_MAX_REFS", 0)
+    docs = spark.createDataFrame([(i, f"to be or not to be {i}, that is the question\nit was to be {i}") for i in range(50)], "doc_id bigint, text string")
+    refs = L.ref_windows(spark.createDataFrame([(1, "be or not to be 7, that is the question"), (2, "was to be 8"), (3, "was to be 9")], "ref_id bigint, ref string"), [])
+    lines = L.explode_lines(docs)
+    assert rows_of(L._known_windows(lines, refs, ["doc_id", "line_index"]).select("doc_id", "line_index", "q")) == [(7, 0, 32), (8, 1, 8), (9, 1, 8)]
