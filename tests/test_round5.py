@@ -81,16 +81,20 @@ def test_runs_are_dealt_as_texts(spark, tmp_path):
     assert below.count("Exchange hashpartitioning(doc_id") == 1
 
 
-def test_cells_of_given_documents(spark):
+def test_cells_of_given_documents(spark, tmp_path):
     """Cells and edits built for some documents are those of all, picked by document."""
     from docfields.sources import fixtures as FX
 
-    sf = "/root/testdata/sf0.001"
+    sf = str(tmp_path)
+    spark.range(60).selectExpr(
+        "nullif(id % 9, 3) AS l_orderkey", "id % 4 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "1.5D AS l_extendedprice",
+        "CAST(id AS double) AS l_quantity", "timestamp_ntz'1996-01-02 00:00:00' AS l_shipdate", "IF(id % 2 = 0, 'R', 'N') AS l_returnflag",
+        "'F' AS l_linestatus").write.parquet(f"{sf}/lineitem.parquet")
     own = spark.createDataFrame([(1,), (5,), (5,), (7,), (None,)], "doc_id bigint")
     for table in (FX.cells, FX.table_edits):
         want = table(spark, sf).join(own, "doc_id", "left_semi")
         assert rows_of(table(spark, sf, own)) == rows_of(want)
-    assert FX.cells(spark, sf, own).count() > 0
+    assert FX.cells(spark, sf, own).count() > 0 and FX.table_edits(spark, sf, own).count() > 0
     plan = FX.cells(spark, sf, own)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Join LeftSemi")
 
